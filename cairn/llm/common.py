@@ -120,3 +120,11 @@ def text_blocks(column: pa.Array, limit: int = 1 << 22):
             size += len(held[-1])
             at += 1
         yield begin, at, held
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now rather than at the next collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
