@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, cover_tree, jaccard, mixing, pii, quality, token_counts, tokenize
+from cairn.llm import chat, cover_tree, jaccard, line_dedup, mixing, pii, quality, token_counts, tokenize
 from cairn.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -14,6 +14,11 @@ PATTERN = public_tokenizers.PATTERN
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("deleted_lines").cast("long").alias("n_deleted"), "n_runs", "deleted_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"))
 
