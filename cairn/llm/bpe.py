@@ -13,6 +13,7 @@ behind the input.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 
@@ -32,7 +33,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """pieces -> token ids. At most max_states determinised states are held; beyond that they are built anew."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.max_states = max_states
@@ -154,7 +155,7 @@ class Encoder:
     unit of a bounded memory (two generations of max_memory stretches).
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memory: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memory: int = 400_000):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.max_memory = max_memory
@@ -165,8 +166,10 @@ class Encoder:
         return self.pattern.findall(text)
 
     def _cut(self, text: str) -> tuple[int, ...]:
-        out: list[int] = []
         encode = self.transducer.encode_piece
+        if text.isalpha() or (text[:1] == " " and text[1:].isalpha()):  # letters only, as the pattern's: one piece
+            return encode(text.encode())
+        out: list[int] = []
         for p in self.pattern.findall(text):
             out += encode(p.encode("utf-8", "surrogatepass"))
         return tuple(out)
@@ -174,6 +177,10 @@ class Encoder:
     def stretch(self, text: str) -> tuple[int, ...]:
         found = self.old.get(text)
         if found is None:
+            if text[-1] in ".," and text[-2:-1].isalpha() and text[1:-1].isalpha():  # a word and its mark: two pieces
+                word = text[:-1]
+                found = self.new.get(word)
+                return (self.stretch(word) if found is None else found) + self.transducer.encode_piece(text[-1].encode())
             found = self._cut(text)
         if len(self.new) >= self.max_memory:
             self.old, self.new = self.new, {}
@@ -244,4 +251,6 @@ def encoder(data: bytes, pattern: str) -> Encoder:
     key = (hashlib.sha256(data).hexdigest(), pattern)
     if key not in _held:
         _held[key] = Encoder(load_ranks(data), pattern)
+        gc.freeze()  # the trie stays; states and memory hold no cycles
+        gc.set_threshold(200_000, 50, 1000)
     return _held[key]
