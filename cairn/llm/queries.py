@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, cover_tree, jaccard, line_dedup, mixing, pii, quality, token_counts, tokenize
+from cairn.llm import chat, cover_tree, jaccard, katz, line_dedup, mixing, pii, quality, token_counts, tokenize
 from cairn.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -49,6 +49,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
