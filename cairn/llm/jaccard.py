@@ -300,3 +300,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("root"))
     out = scanned.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs with one document of each group of near duplicates: the one with the smallest doc_id.
+
+    Texts without words are no duplicates and stay, as do rows with a null doc_id; of rows that share a doc_id one stays.
+    """
+    found = near_duplicates(docs, percent)
+    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from itertools import accumulate
 from pathlib import Path
 
 import pyarrow as pa
@@ -18,10 +19,6 @@ def _vocabulary(docs: DataFrame, ranks_path: str):
     return docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
 
-def _arrays(batch: pa.RecordBatch) -> list:
-    return [batch.column(i) for i in range(batch.num_columns)]
-
-
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array<int>) of every row's whole text; a null text is empty and has no ids.
 
@@ -55,28 +52,36 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes the ids, one text at a time.
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encodes, then decodes the ids, one text at a time.
 
     The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded bytes.
     A null text is empty; repeated rows give repeated results.
     """
     held = _vocabulary(docs, ranks_path)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches):
         enc = encoder(held.value, pattern)
         bytes_of = enc.transducer.bytes_of
         for batch in batches:
-            counts, packed, decoded = [], [], []
+            counts, packed, decoded, kept = [], [], [], []
             for t in batch.column(1).to_pylist():
                 ids = enc.encode(t) if t else []
                 counts.append(len(ids))
+                if keep_ids:
+                    kept.append(pa.array(ids, pa.int32()))
                 packed.append(hashlib.sha256(array("I", ids).tobytes()).hexdigest())
                 back = hashlib.sha256()
                 for data, _ in decode_stream(bytes_of, ids):
                     back.update(data)
                 decoded.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.string()), pa.array(decoded, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                edges = pa.array([0, *accumulate(counts)], pa.int32())
+                values = pa.concat_arrays(kept) if kept else pa.array([], pa.int32())
+                columns, names = [*columns, pa.ListArray.from_arrays(edges, values)], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
