@@ -29,11 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Spark then deletes a query's shuffle files when it ends, not when the driver next collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives executor loss."""
+    """Write df to the shared folder and read it back: cuts lineage, survives executor loss, frees its shuffle files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out
