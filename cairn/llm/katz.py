@@ -80,14 +80,52 @@ class Layout:
             return (mix(h * _S[2] + sub * _S[3]) % np.uint64(self.parts)).astype(np.int64)
 
 
+_ROWS = "chunk long, ids array<long>, held_out array<boolean>, ties array<long>, sizes array<int>, blob binary"
+
+
+def _pack(batches):
+    """Rows of (doc_id, text, held_out, tie, chunk) as one compressed row for each chunk and batch."""
+    for batch in batches:
+        ids, texts, held, ties = (batch.column(i).to_pylist() for i in range(4))
+        chunk = np.asarray(batch.column(4))
+        order = np.argsort(chunk, kind="stable")
+        edges = np.flatnonzero(np.diff(chunk[order])) + 1
+        out: list[list] = [[], [], [], [], [], []]
+        for rows in np.split(order, edges) if len(order) else []:
+            data = [(texts[i] or "").encode() for i in rows]
+            values = (int(chunk[rows[0]]), [ids[i] for i in rows], [held[i] for i in rows], [ties[i] for i in rows], [len(x) for x in data], pa.compress(b"".join(data), codec="zstd", asbytes=True))
+            for column, x in zip(out, values, strict=True):
+                column.append(x)
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [x.split()[0] for x in _ROWS.split(", ")])
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers from nought in the narrowest type, compressed; its width and length go before."""
+    top = int(x.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(x.astype(f"u{width}").tobytes(), codec="zstd", asbytes=True)
+
+
+def spread(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    return np.frombuffer(pa.decompress(data[9:], decompressed_size=width * n, codec="zstd", asbytes=True), f"u{width}").astype(np.int64)
+
+
 class Chunk:
-    """Tokens of a chunk's texts, in the order of the digest of their rows."""
+    """Tokens of a chunk's texts, by doc_id and the digest of the text."""
 
     def __init__(self, table: pa.Table):
-        held = table.sort_by([("doc_id", "ascending"), ("tie", "ascending")])
-        self.ids = held.column("doc_id")
-        self.train = ~np.array([bool(x) for x in held.column("held_out").to_pylist()], bool)
-        texts = held.column("text").cast(pa.large_binary()).to_pylist()
+        rows = []
+        for ids, held, ties, sizes, blob in zip(*(table.column(n).to_pylist() for n in ("ids", "held_out", "ties", "sizes", "blob")), strict=True):
+            data, at = pa.decompress(blob, decompressed_size=sum(sizes), codec="zstd", asbytes=True), 0
+            for i, h, t, n in zip(ids, held, ties, sizes, strict=True):
+                rows.append((i is not None, i or 0, t, h, data[at : at + n]))
+                at += n
+        rows.sort(key=lambda r: r[:3])
+        self.ids = [r[1] if r[0] else None for r in rows]
+        self.train = ~np.array([bool(r[3]) for r in rows], bool)
+        texts = [r[4] for r in rows]
         words, sizes, at, size = [], [], 0, 0
         for i, t in enumerate(texts):
             size += len(t or b"")
@@ -113,7 +151,7 @@ def _request(layout: Layout):
         edges = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0)))
         rows = [[], [], [], []]
         for i in np.split(order, edges[1:]):
-            for column, x in zip(rows, (int(part[i[0]]), key[0].as_py(), c.types[i].tobytes(), c.type_train[i].astype(np.uint32).tobytes()), strict=True):
+            for column, x in zip(rows, (int(part[i[0]]), key[0].as_py(), c.types[i].tobytes(), squeeze(c.type_train[i])), strict=True):
                 column.append(x)
         return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], ["part", "chunk", "words", "counts"])
 
@@ -123,7 +161,7 @@ def _request(layout: Layout):
 def _count_words(key, table):
     """Answers each chunk with its words' training counts; one row more has counts of counts and the sum and number of words."""
     words = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
-    counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
+    counts = [spread(x) for x in table.column("counts").to_pylist()]
     unique, at = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts).astype(np.float64), minlength=len(unique)).astype(np.int64)
     answers = np.split(total[at], np.cumsum([len(w) for w in words])[:-1])
@@ -131,7 +169,7 @@ def _count_words(key, table):
     big = total[total > K]
     stats = [*low[: K + 2].tolist(), int(total.sum()), int((total > 0).sum()), int(big.sum()), len(big)]
     chunks = [*table.column("chunk").to_pylist(), -1]
-    return pa.table([pa.array(chunks, pa.int64()), pa.array([key[0].as_py()] * len(chunks), pa.int64()), pa.array([*[a.astype(np.uint32).tobytes() for a in answers], b""], pa.binary()), pa.array([*[[]] * len(answers), stats], pa.list_(pa.int64()))], ["chunk", "part", "counts", "stats"])
+    return pa.table([pa.array(chunks, pa.int64()), pa.array([key[0].as_py()] * len(chunks), pa.int64()), pa.array([*[squeeze(a) for a in answers], b""], pa.binary()), pa.array([*[[]] * len(answers), stats], pa.list_(pa.int64()))], ["chunk", "part", "counts", "stats"])
 
 
 _BIGRAMS = "part long, chunk long, kind int, h binary, hc binary, hn binary, w binary, wc binary, tc binary, seen binary, doc binary, tf binary"
@@ -145,9 +183,10 @@ def _send(layout: Layout, uni: Unigrams, score: bool):
         chunk = key[0].as_py()
         out: dict[str, list] = {n: [] for n in _NAMES}
 
-        def put(part: int, kind: int, **data: np.ndarray) -> None:
+        def put(part: int, kind: int, **data: np.ndarray | bytes) -> None:
             for n in _NAMES[3:]:
-                out[n].append(data[n].tobytes() if n in data else b"")
+                x = data.get(n, b"")
+                out[n].append(x if isinstance(x, bytes) else x.tobytes())
             out["part"].append(part)
             out["chunk"].append(chunk)
             out["kind"].append(kind)
@@ -157,7 +196,7 @@ def _send(layout: Layout, uni: Unigrams, score: bool):
             part = layout.word_part(c.types)
             count = np.zeros(len(c.types), np.int64)
             for p, x in zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist(), strict=True):
-                count[part == p] = np.frombuffer(x, np.uint32)
+                count[part == p] = spread(x)
             wc = count[c.at]
             h_at = np.concatenate(([len(c.types)], c.at[:-1]))
             h_at[c.first] = len(c.types)
@@ -168,8 +207,8 @@ def _send(layout: Layout, uni: Unigrams, score: bool):
                 base = np.bincount(c.doc, weights=np.log10(wc + 0.5), minlength=n_docs) - c.n * np.log10(uni.tokens + 0.5 * (uni.types + 1))
                 plain = np.bincount(c.doc[~use], weights=np.log10(uni.p(wc[~use])), minlength=n_docs)
                 known = np.bincount(c.doc, weights=wc > 0, minlength=n_docs).astype(np.int64)
-                ids = np.array([0 if x is None else x for x in c.ids.to_pylist()], np.int64)
-                null = np.array([x is None for x in c.ids.to_pylist()], np.uint8)
+                ids = np.array([x or 0 for x in c.ids], np.int64)
+                null = np.array([x is None for x in c.ids], np.uint8)
                 put(layout.parts + chunk, 0, h=ids, hc=c.n.astype(np.int64), hn=known, w=base, wc=plain, tc=(~c.train).astype(np.uint8), seen=null)
             if use.any():
                 wide = len(c.types) + 1
@@ -186,11 +225,11 @@ def _send(layout: Layout, uni: Unigrams, score: bool):
                 edges = np.flatnonzero(np.concatenate(([True], np.diff(to[order]) != 0)))
                 for i in np.split(order, edges[1:]):
                     new = np.flatnonzero(np.concatenate(([True], h[i][1:] != h[i][:-1])))
-                    data = {"h": h[i][new], "hc": h_count[i][new].astype(np.uint32), "hn": np.diff(np.append(new, len(i))).astype(np.uint32), "w": w[i], "wc": count[pairs[i] % wide].astype(np.uint32), "tc": tc[i].astype(np.uint16 if tc.max(initial=0) < 65_536 else np.uint32)}
+                    data = {"h": h[i][new].tobytes(), "hc": squeeze(h_count[i][new]), "hn": squeeze(np.diff(np.append(new, len(i)))), "w": w[i].tobytes(), "wc": squeeze(count[pairs[i] % wide]), "tc": squeeze(tc[i])}
                     if score:
                         n = seen[i]
                         inside = np.repeat(begin[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        data |= {"seen": n.astype(np.uint16 if n.max(initial=0) < 65_536 else np.uint32), "doc": (places[inside] % len(c.n)).astype(np.uint16 if len(c.n) <= 65_536 else np.uint32), "tf": tf[inside].astype(np.uint16 if tf.max() < 65_536 else np.uint32)}
+                        data |= {"seen": squeeze(n), "doc": squeeze(places[inside] % len(c.n)), "tf": squeeze(tf[inside])}
                     put(int(to[i[0]]), 1, **data)
         kinds = {"part": pa.int64(), "chunk": pa.int64(), "kind": pa.int32()}
         return pa.table([pa.array(out[n], kinds.get(n, pa.binary())) for n in _NAMES], _NAMES)
@@ -198,11 +237,6 @@ def _send(layout: Layout, uni: Unigrams, score: bool):
     return run
 
 
-def _whole(data: bytes, n: int) -> np.ndarray:
-    """Unsigned numbers of two or four bytes, as many as n."""
-    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64)
-
-
 _PARTIAL = "chunk long, kind int, h long, doc binary, value binary, a double, b double, n long, stats array<long>"
 
 
@@ -217,14 +251,14 @@ def _count_bigrams(layout: Layout, uni: Unigrams, d: np.ndarray | None):
             return pa.table([pa.array([x], t) for x, t in zip((get["chunk"][0], 0, 0, None, None, 0.0, 0.0, 0, []), _partial_types(), strict=True)], _partial_names())
         h_each, hc_each = [], []
         for h, hc, hn in zip(get["h"], get["hc"], get["hn"], strict=True):
-            times = np.frombuffer(hn, np.uint32)
+            times = spread(hn)
             h_each.append(np.repeat(np.frombuffer(h, np.uint64), times))
-            hc_each.append(np.repeat(np.frombuffer(hc, np.uint32), times))
+            hc_each.append(np.repeat(spread(hc), times))
         sizes = [len(x) for x in h_each]
-        h, hc = np.concatenate(h_each), np.concatenate(hc_each).astype(np.int64)
+        h, hc = np.concatenate(h_each), np.concatenate(hc_each)
         w = np.concatenate([np.frombuffer(x, np.uint64) for x in get["w"]])
-        wc = np.concatenate([np.frombuffer(x, np.uint32) for x in get["wc"]]).astype(np.int64)
-        tc = np.concatenate([_whole(x, n) for x, n in zip(get["tc"], sizes, strict=True)])
+        wc = np.concatenate([spread(x) for x in get["wc"]])
+        tc = np.concatenate([spread(x) for x in get["tc"]])
         order = np.lexsort((w, h))
         new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])))
         first = np.flatnonzero(new)
@@ -252,9 +286,7 @@ def _count_bigrams(layout: Layout, uni: Unigrams, d: np.ndarray | None):
             at = 0
             for chunk, n, seen, doc, tf in zip(get["chunk"], sizes, get["seen"], get["doc"], get["tf"], strict=True):
                 g = kind_of[at : at + n]
-                times = _whole(seen, n)
-                m = int(times.sum())
-                docs, tfs = _whole(doc, m), _whole(tf, m)
+                times, docs, tfs = spread(seen), spread(doc), spread(tf)
                 where, into = np.unique(docs, return_inverse=True)
                 value = np.bincount(into, weights=np.repeat(logp[g], times) * tfs, minlength=len(where))
                 rows.append((chunk, 1, 0, where.astype(np.uint32).tobytes(), value.tobytes(), 0.0, 0.0, 0, []))
@@ -316,7 +348,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, chunk_d
         return spark.createDataFrame([], _SCORED)
     n_chunks = -(-sizes[0] // chunk_docs)
     n_parts = min(max_parts, max(16, n_chunks // 2))
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(n_chunks)))
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(n_chunks))).mapInArrow(_pack, _ROWS)
 
     layout = Layout(n_parts, 1, min_history)
     asked = chunked.groupBy("chunk").applyInArrow(_request(layout), "part long, chunk long, words binary, counts binary")
@@ -336,8 +368,10 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, chunk_d
         return chunked.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_send(layout, uni, score), _BIGRAMS)
 
     counted = sent(False).groupBy("part").applyInArrow(_count_bigrams(layout, uni, None), _PARTIAL)
-    low = [r[0] for r in counted.select("stats").collect()]  # one short row a partition
+    counted = materialize(counted.select("stats"))
+    low = [r[0] for r in counted.collect()]  # one short row a partition
     pairs = discounts([sum(s[i] for s in low) for i in range(K + 2)])
+    discard(counted)
     release(spark)
 
     bases = sent(True)
