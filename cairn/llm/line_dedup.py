@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.common import discard, materialize, release
+from cairn.llm.common import discard, materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -44,36 +44,54 @@ def _ranked(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def repeated_blocks(docs: DataFrame) -> list[DataFrame]:
     """Level k holds doc_id, th, pos, rank, first (and line, n_words at level 0) of the repeated blocks of 2**k lines."""
-    rows = materialize(line_table(docs).dropDuplicates(["doc_id", "th", "pos"]))
+    rows = materialize(line_table(docs))
     levels = [materialize(rows.join(_ranked(rows, ["h1", "h2"]), ["h1", "h2"]).drop("h1", "h2"))]
     discard(rows)
     while not levels[-1].isEmpty():
         ahead = 2 ** (len(levels) - 1)
         window = W.partitionBy("doc_id", "th").orderBy("pos").rangeBetween(ahead, ahead)
-        pairs = levels[-1].select("doc_id", "th", "pos", "rank", F.first("rank").over(window).alias("rank2")).filter("rank2 is not null")
-        pairs = materialize(pairs)
-        halves = pairs.withColumnRenamed("rank", "r1").withColumnRenamed("rank2", "r2")
-        levels.append(materialize(halves.join(_ranked(halves, ["r1", "r2"]), ["r1", "r2"]).drop("r1", "r2")))
-        discard(pairs)
-        release(docs.sparkSession)
+        pairs = levels[-1].select("doc_id", "th", "pos", F.col("rank").alias("r1"), F.first("rank").over(window).alias("r2")).filter("r2 is not null")
+        levels.append(materialize(pairs.join(_ranked(pairs, ["r1", "r2"]), ["r1", "r2"]).drop("r1", "r2")))
     return levels
 
 
 def later_runs(levels: list[DataFrame]) -> DataFrame:
-    """doc_id, th, start, end (positions, end exclusive), from_doc, from_pos: maximal runs that repeat earlier lines."""
+    """One row per document with later copies: doc_id, th, lines, runs.
+
+    lines: (pos, line, words up to and with it) of the lines that repeat earlier ones, by position. runs: the maximal runs, as
+    (start, size, from_doc, from_pos, at): their first line is lines[at - 1], and all their lines follow it there. All
+    steps after the first exchange keep a document's rows together.
+    """
     copies = None
+    own = F.struct("doc_id", "th", "pos")
     for k, level in enumerate(levels):
-        own = F.struct("doc_id", "th", "pos")
-        part = level.filter(F.col("first") != own).select("doc_id", "th", "pos", F.struct(F.lit(2**k).alias("n"), "first").alias("copy"))
+        info = F.struct("line", "n_words") if k == 0 else F.lit(None).cast("struct<line: int, n_words: int>")
+        part = level.filter(F.col("first") != own).select("doc_id", "th", "pos", F.struct(F.lit(2**k).alias("n"), "first").alias("copy"), info.alias("info"))
         copies = part if copies is None else copies.unionByName(part)
-    best = copies.groupBy("doc_id", "th", "pos").agg(F.max("copy").alias("copy"))
-    best = best.select("doc_id", "th", "pos", F.col("copy.first.doc_id").alias("from_doc"), F.col("copy.first.th").alias("from_th"), (F.col("copy.first.pos") - F.col("pos")).alias("shift"), (F.col("pos") + F.col("copy.n")).alias("end"))
-    line = W.partitionBy("doc_id", "th", "from_doc", "from_th", "shift").orderBy("pos")
-    reached = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))
+    best = copies.repartition("doc_id", "th").groupBy("doc_id", "th", "pos").agg(F.max("copy").alias("copy"), F.max("info").alias("info"))
+    by_pos = W.partitionBy("doc_id", "th").orderBy("pos")
+    best = best.select(
+        "doc_id",
+        "th",
+        "pos",
+        "info.line",
+        F.col("copy.first.doc_id").alias("from_doc"),
+        F.col("copy.first.th").alias("from_th"),
+        (F.col("copy.first.pos") - F.col("pos")).alias("shift"),
+        (F.col("pos") + F.col("copy.n")).alias("end"),
+        F.row_number().over(by_pos).alias("at"),
+        F.sum("info.n_words").over(by_pos.rowsBetween(W.unboundedPreceding, 0)).alias("words"),
+    )
+    diagonal = W.partitionBy("doc_id", "th", "from_doc", "from_th", "shift").orderBy("pos")
+    reached = F.max("end").over(diagonal.rowsBetween(W.unboundedPreceding, -1))
     marked = best.withColumn("opens", F.when(reached >= F.col("pos"), 0).otherwise(1))
-    numbered = marked.withColumn("run", F.sum("opens").over(line.rowsBetween(W.unboundedPreceding, 0)))
-    runs = numbered.groupBy("doc_id", "th", "from_doc", "from_th", "shift", "run").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
-    return runs.select("doc_id", "th", "start", "end", "from_doc", (F.col("start") + F.col("shift")).alias("from_pos"))
+    numbered = marked.withColumn("run", F.sum("opens").over(diagonal.rowsBetween(W.unboundedPreceding, 0)))
+    grouped = numbered.groupBy("doc_id", "th", "from_doc", "from_th", "shift", "run").agg(
+        F.min("pos").alias("start"), F.max("end").alias("end"), F.min("at").alias("at"), F.collect_list(F.struct("pos", "line", "words")).alias("held")
+    )
+    run = F.struct("start", (F.col("end") - F.col("start")).cast("int").alias("size"), "from_doc", (F.col("start") + F.col("shift")).alias("from_pos"), "at")
+    whole = grouped.groupBy("doc_id", "th").agg(F.array_sort(F.flatten(F.collect_list("held"))).alias("lines"), F.collect_list(run).alias("runs"))
+    return whole
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
@@ -88,16 +106,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """
     docs = docs.drop("deleted_lines", "n_runs")
     levels = repeated_blocks(docs)
-    runs = later_runs(levels).withColumn("run", F.struct("start", "end", "from_doc", "from_pos"))
-    inside = runs.select("doc_id", "th", "run", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    lines = inside.join(levels[0].select("doc_id", "th", "pos", "line", "n_words"), ["doc_id", "th", "pos"])
-    total = F.sum("n_words").over(W.partitionBy("doc_id", "th", "run"))
-    gone = lines.withColumn("total", total).filter(F.col("total") >= min_words)
-    gone = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("deleted_lines"), F.count_distinct("run").alias("n_runs"))
-    gone = materialize(gone.withColumnRenamed("doc_id", "_cairn_doc").withColumnRenamed("th", "_cairn_th"))
+    before = lambda r: F.when(r["at"] > 1, F.get("lines", r["at"] - 2)["words"]).otherwise(0)
+    words = lambda r: F.get("lines", r["at"] + r["size"] - 2)["words"] - before(r)
+    gone = later_runs(levels).withColumn("runs", F.filter("runs", lambda r: words(r) >= min_words)).filter(F.size("runs") > 0)
+    cut = F.flatten(F.transform("runs", lambda r: F.transform(F.slice("lines", r["at"], r["size"]), lambda x: x["line"])))
+    gone = gone.select(F.col("doc_id").alias("_cairn_doc"), F.col("th").alias("_cairn_th"), F.array_sort(F.array_distinct(cut)).alias("deleted_lines"), F.size("runs").alias("n_runs"))
+    gone = materialize(gone)
     for x in levels:
         discard(x)
-    release(docs.sparkSession)
     joined = docs.join(gone, (docs.doc_id.cast("long") == gone._cairn_doc) & (F.xxhash64(docs.text) == gone._cairn_th), "left")
     cut = _lines(F.col("text"))
     left = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), "deleted_lines")
