@@ -178,6 +178,34 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").mapInArrow(run, "sig long, fp long, leader long")
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """sig, fp, root, home of the signatures whose sets stand in two components or more; home: the commonest root, the smallest of equals."""
+
+    def run(batches):
+        held = [tuple(np.asarray(b.column(i)) for i in range(3)) for b in batches]
+        if not held:
+            return
+        sig, fp, root = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((root, sig))
+        sig, fp, root = sig[order], fp[order], root[order]
+        if not len(sig):
+            return
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        sizes = np.diff(np.append(first, len(sig)))
+        mixed = root[first] != root[first + sizes - 1]
+        run_at = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (root[1:] != root[:-1]))))
+        run_size = np.diff(np.append(run_at, len(sig)))
+        group = np.searchsorted(first, run_at, "right") - 1
+        best = np.lexsort((root[run_at], -run_size, group))
+        home = root[run_at][best[np.concatenate(([True], group[best][1:] != group[best][:-1]))]]
+        keep = np.repeat(mixed, sizes)
+        out = [x[keep] for x in (sig, fp, root, np.repeat(home, sizes))]
+        for i in range(0, len(out[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], pa.int64()) for x in out], ["sig", "fp", "root", "home"])
+
+    return rows.select("sig", "fp", "root").repartition("sig").mapInArrow(run, "sig long, fp long, root long, home long")
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and sketches don't rule out, with rep_a and rep_b; rules out none that link."""
     names = ["fp", "rep", "n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)]]
@@ -274,14 +302,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     roots = materialize(components(linked, "rep_a", "rep_b"))
     release(spark)
 
-    at = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", "n_shingles", "rep", *[f"s{i}" for i in range(SKETCH_WORDS)], F.coalesce("root", "rep").alias("root"))
-    at = groups.join(at, "fp")
-    apart = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("fp") == F.col("leader"), F.col("root"))).alias("home")).filter("lo < hi").select("sig", "home")
-    open_rows = materialize(at.join(apart, "sig"))
-    strangers = open_rows.filter("root <> home")
-    names = ["fp", "root", "rep", "n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)]]
-    left = strangers.select("sig", "home", *[F.col(c).alias(f"a_{c}") for c in names])
-    right = open_rows.select("sig", *[F.col(c).alias(f"b_{c}") for c in names])
+    class_root = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("root"))
+    open_rows = materialize(_apart(groups.select("sig", "fp").join(class_root, "fp")))
+    discard(groups)
+    names = ["rep", "n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)]]
+    known = open_rows.join(nodes.select("fp", *names), "fp")
+    left = known.filter("root <> home").select("sig", "home", *[F.col(c).alias(f"a_{c}") for c in ["fp", "root", *names]])
+    right = known.select("sig", *[F.col(c).alias(f"b_{c}") for c in ["fp", "root", *names]])
     across = (
         left.join(right, "sig")
         .filter((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("home")) | (F.col("a_fp") < F.col("b_fp"))) & _possible("a_", "b_", percent))
@@ -294,7 +321,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         if not more.isEmpty():
             linked = linked.unionByName(more)
     roots = materialize(components(linked, "rep_a", "rep_b"))
-    for t in (groups, stars, open_rows, across):
+    for t in (stars, open_rows, across):
         discard(t)
     release(spark)
     classes = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("root"))
