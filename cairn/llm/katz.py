@@ -330,7 +330,7 @@ def _finish(uni: Unigrams, alphas: dict[int, float]):
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, chunk_docs: int = 2048, min_history: int = 4, max_parts: int = 4096) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, chunk_docs: int = 1024, min_history: int = 4, max_parts: int = 4096) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Learns from the rows whose crc32(doc_id as text) mod folds isn't held_fold; the base score is the smoothed
