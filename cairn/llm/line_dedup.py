@@ -34,25 +34,34 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", F.posexplode("lines").alias("pos", "x")).select("doc_id", "th", "pos", "x.line", "x.h1", "x.h2", "x.n_words")
 
 
-def _ranked(rows: DataFrame, key: list[str]) -> DataFrame:
-    """key, rank, first of the keys that occur twice or more; ranks follow the order of the keys."""
+def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
+    """key, first of the keys that occur twice or more."""
     at = F.struct("doc_id", "th", "pos")
-    groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).filter("n > 1")
-    # Sorted ranges in partition order: the running id follows the order of the keys.
-    return groups.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id()).drop("n")
+    return materialize(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).filter("n > 1").drop("n"))
+
+
+def _ranked(groups: DataFrame, key: list[str], n: int, few: int = 50_000) -> DataFrame:
+    """groups with rank, in the order of the keys: the running id over sorted ranges; up to `few` keys are one range."""
+    ranges = groups.coalesce(1) if n <= few else groups.repartitionByRange(*key)
+    return ranges.sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id())
 
 
 def repeated_blocks(docs: DataFrame) -> list[DataFrame]:
     """Level k holds doc_id, th, pos, rank, first (and line, n_words at level 0) of the repeated blocks of 2**k lines."""
     rows = materialize(line_table(docs))
-    levels = [materialize(rows.join(_ranked(rows, ["h1", "h2"]), ["h1", "h2"]).drop("h1", "h2"))]
-    discard(rows)
-    while not levels[-1].isEmpty():
-        ahead = 2 ** (len(levels) - 1)
+    key, levels = ["h1", "h2"], []
+    while True:
+        groups = _groups(rows, key)
+        if (n := groups.count()) or not levels:
+            levels.append(materialize(rows.join(_ranked(groups, key, n), key).drop(*key)))
+        discard(groups)
+        if len(levels) == 1:
+            discard(rows)
+        if not n:
+            return levels
+        ahead, key = 2 ** (len(levels) - 1), ["r1", "r2"]
         window = W.partitionBy("doc_id", "th").orderBy("pos").rangeBetween(ahead, ahead)
-        pairs = levels[-1].select("doc_id", "th", "pos", F.col("rank").alias("r1"), F.first("rank").over(window).alias("r2")).filter("r2 is not null")
-        levels.append(materialize(pairs.join(_ranked(pairs, ["r1", "r2"]), ["r1", "r2"]).drop("r1", "r2")))
-    return levels
+        rows = levels[-1].select("doc_id", "th", "pos", F.col("rank").alias("r1"), F.first("rank").over(window).alias("r2")).filter("r2 is not null")
 
 
 def later_runs(levels: list[DataFrame]) -> DataFrame:
