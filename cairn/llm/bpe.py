@@ -33,7 +33,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """pieces -> token ids. At most max_states determinised states are held; beyond that they are built anew."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.max_states = max_states
@@ -196,6 +196,17 @@ class Encoder:
         first, *more = text.split(" ")
         return [first, *[" " + x for x in more]]
 
+    def count(self, stretches: list[str]) -> int:
+        """How many tokens the stretches have."""
+        n, known = 0, self.new.get
+        for x in stretches:
+            found = known(x)
+            if found is None:
+                found = self.stretch(x)
+                known = self.new.get
+            n += len(found)
+        return n
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         if not text:
