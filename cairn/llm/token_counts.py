@@ -26,16 +26,17 @@ class TokenTree:
         self._build(text)
 
     def _count(self, text: str) -> int:
-        return len(self.enc.encode(text))
+        return self.enc.count(self.enc.stretches(text)) if text else 0
 
     def _build(self, text: str) -> None:
         cuts = self.enc.stretches(text) if text else []
-        self.texts = ["".join(cuts[i : i + self.leaf]) for i in range(0, len(cuts), self.leaf)] or [""]
+        parts = [cuts[i : i + self.leaf] for i in range(0, len(cuts), self.leaf)] or [[]]
+        self.texts = ["".join(p) for p in parts]
         self.size = 1 << (len(self.texts) - 1).bit_length()
         self.chars = [0] * (2 * self.size)
         self.tokens = [0] * (2 * self.size)
-        for i, t in enumerate(self.texts):
-            self.chars[self.size + i], self.tokens[self.size + i] = len(t), self._count(t)
+        for i, p in enumerate(parts):
+            self.chars[self.size + i], self.tokens[self.size + i] = len(self.texts[i]), self.enc.count(p)
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
 
