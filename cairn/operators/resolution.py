@@ -58,13 +58,14 @@ def near_pairs(docs: DataFrame) -> DataFrame:
     left = worded.select("type", F.col("key").alias("k1"), "w").join(alike, "w")
     pairs = left.join(worded.select("type", F.col("key").alias("k2"), F.col("w").alias("v")), ["type", "v"])
     pairs = pairs.filter("k1 < k2").select("type", "k1", "k2").distinct()
+    # Scores depend on the order of the arguments: both are taken per pair of keys, before members are joined.
+    keyed = pairs.select("k1", "k2").distinct().withColumn("s12", near_match("k1", "k2")).withColumn("s21", near_match("k2", "k1"))
+    scored = pairs.join(keyed.filter("s12 is not null or s21 is not null"), ["k1", "k2"])
     members = docs.select("type", "key", "concept_id")
-    left = pairs.join(members.select("type", F.col("key").alias("k1"), F.col("concept_id").alias("c1")), ["type", "k1"])
+    left = scored.join(members.select("type", F.col("key").alias("k1"), F.col("concept_id").alias("c1")), ["type", "k1"])
     both = left.join(members.select("type", F.col("key").alias("k2"), F.col("concept_id").alias("c2")), ["type", "k2"])
-    first = F.col("c1") < F.col("c2")
-    ordered = both.select("type", F.least("c1", "c2").alias("id_a"), F.greatest("c1", "c2").alias("id_b"), F.when(first, F.col("k1")).otherwise(F.col("k2")).alias("key_a"), F.when(first, F.col("k2")).otherwise(F.col("k1")).alias("key_b"))
-    distinct = ordered.select("key_a", "key_b").distinct().withColumn("score", near_match("key_a", "key_b")).filter("score is not null")
-    return ordered.join(distinct, ["key_a", "key_b"]).select("type", "id_a", "id_b", F.round("score", 6).alias("score"))
+    score = F.when(F.col("c1") < F.col("c2"), F.col("s12")).otherwise(F.col("s21"))
+    return both.select("type", F.least("c1", "c2").alias("id_a"), F.greatest("c1", "c2").alias("id_b"), F.round(score, 6).alias("score")).filter("score is not null")
 
 
 def _alike_words(words: DataFrame) -> DataFrame:
