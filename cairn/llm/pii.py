@@ -237,21 +237,15 @@ def train(texts: list[str], steps: int = 200) -> SkipChain:
     return SkipChain({f: weights[i].tolist() for f, i in at.items()}, potential(chain).tolist(), potential((skip + skip.T) / 2 + 2 * np.eye(5)).tolist())
 
 
-def fit(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 4_000_000) -> SkipChain:
-    """Trains on at most max_docs texts with a digit or @, those whose md5(doc_id) comes first, and on max_chars of them.
+def fit(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000) -> SkipChain:
+    """Trains on at most max_docs texts of at most max_chars characters with a digit or @, those whose md5(doc_id) comes first.
 
-    This bounds what is learned from, not what is searched: every text is searched whole.
+    This bounds what is learned from, not what is searched: every text is searched whole. Without such texts all weights are even.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    ids = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id", key.alias("_key"), F.length("text").alias("_n")).orderBy("_key", "doc_id").limit(max_docs)
-    room = [r[0] for r in ids.collect()]
-    some = docs.filter(F.col("doc_id").isin(room) & F.col("text").rlike("[0-9@]")).select("doc_id", "text") if room else docs.limit(0).select("doc_id", "text")
-    texts, size = [], 0
-    for r in some.toLocalIterator():
-        if size < max_chars:
-            texts.append((r[0], r[1]))
-            size += len(r[1])
-    return train([t for _, t in sorted(texts)])
+    fit_for = F.col("text").rlike("[0-9@]") & (F.length("text") <= max_chars)
+    some = docs.filter(fit_for).select(key.alias("_key"), "doc_id", "text").orderBy("_key", "doc_id", "text").limit(max_docs)
+    return train([r["text"] for r in some.collect()])
 
 
 def find(text: str, model: SkipChain, certain: float = 0.95) -> tuple[list[Span], list[Span]]:
