@@ -51,5 +51,38 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+OP5 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.m, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT u, min(v) AS m FROM r GROUP BY u) m ON m.u = w.doc_id
+"""
+
+OP7 = """
+WITH RECURSIVE c AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
+x AS (SELECT s, (1024 - (SELECT count(*) FROM c)) * sqrt(n) / (SELECT sum(sqrt(n)) FROM c) AS e FROM c),
+h AS (SELECT s, CAST(1 + floor(e) + CASE WHEN row_number() OVER (ORDER BY floor(e) - e, s) <= 1024 - (SELECT sum(1 + floor(e)) FROM x) THEN 1 ELSE 0 END AS BIGINT) AS share FROM x),
+a AS (SELECT list(share ORDER BY s) AS k, list(s ORDER BY s) AS names FROM h),
+t AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, list_transform(k, lambda y: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM a
+  UNION ALL
+  SELECT slot + 1, list_transform(range(1, len(k) + 1), lambda i: done[i] + CASE WHEN i = next THEN 1 ELSE 0 END), next FROM (
+    SELECT slot, done, k, list_min(list_transform(range(1, len(k) + 1), lambda i: CASE WHEN done[i] * 1024 // k[i] <= slot + 1
+      THEN ((done[i] + 1) * 1024 + k[i] - 1) // k[i] * 100000 + i ELSE 900000000000000 END)) % 100000 AS next FROM t, a WHERE slot < 1023)
+), z AS (SELECT a.names[pick] AS s, slot, done[pick] - 1 AS turn FROM t, a WHERE slot >= 0),
+d AS (SELECT doc_id, source, coalesce(source, '') AS mix_source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS i FROM documents)
+SELECT d.doc_id, d.source, d.mix_source, d.i // 16 AS mix_block, d.i // 16 // h.share * 1024 + z.slot AS mix_slot, d.i % 16 AS mix_pos
+FROM d JOIN h ON h.s = d.mix_source JOIN z ON z.s = d.mix_source AND z.turn = d.i // 16 % h.share
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2, "op10_chat_format": OP10}
+    return {"op2_top_k": OP2, "op5_jaccard_join": OP5, "op7_mix_sources": OP7, "op10_chat_format": OP10}
