@@ -37,12 +37,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives executor loss, frees its shuffle files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out

@@ -319,8 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     if not across.isEmpty():
         more = _verify(across, docs, percent)
         if not more.isEmpty():
-            linked = linked.unionByName(more)
-    roots = materialize(components(linked, "rep_a", "rep_b"))
+            roots = materialize(components(linked.unionByName(more), "rep_a", "rep_b"))
     for t in (stars, open_rows, across):
         discard(t)
     release(spark)
