@@ -193,6 +193,8 @@ class Encoder:
         """The text cut into stretches that encode independently of each other."""
         if _ODD_SPACE.search(text) or text[:1] == " " or text[-1:] == " ":
             return _BORDER.split(text)
+        if "\0" not in text:
+            return text.replace(" ", "\0 ").split("\0")
         first, *more = text.split(" ")
         return [first, *[" " + x for x in more]]
 
@@ -211,9 +213,13 @@ class Encoder:
         out: list[int] = []
         if not text:
             return out
+        known = self.new.get
         for x in self.stretches(text):
-            found = self.new.get(x)
-            out += self.stretch(x) if found is None else found
+            found = known(x)
+            if found is None:
+                found = self.stretch(x)
+                known = self.new.get
+            out += found
         return out
 
 
