@@ -25,6 +25,7 @@ from cairn.llm.common import discard, materialize, mix, release, text_blocks, wo
 WIDTH = 5
 _M = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 SKETCH_WORDS = 4
+WIDE_BITS, WIDE_FROM = 2048, 300
 
 
 def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
@@ -62,6 +63,15 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def wide_sketch(x: np.ndarray) -> list[int]:
+    """The same over WIDE_BITS bits, for sets that fill the small one; empty for others."""
+    if len(x) <= WIDE_FROM:
+        return []
+    bit = mix(x ^ _M[22]) >> np.uint64(64 - WIDE_BITS.bit_length() + 1)
+    odd = np.bincount(bit.astype(np.int64), minlength=WIDE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 class Bands:
     """Sizes to instances (k, parts, spare) for links at 100 * intersection >= percent * union."""
 
@@ -121,16 +131,17 @@ def _scan(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            n, fp, sk = [], [], []
+            n, fp, sk, wide = [], [], [], []
             for _, _, held in text_blocks(batch.column(1)):
                 for x in shingle_sets(held):
                     n.append(len(x))
                     fp.append(fingerprint(x))
                     sk.append(sketch(x))
+                    wide.append(wide_sketch(x))
             sk = np.array(sk, np.uint64).reshape(-1, SKETCH_WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _signed(np.array(fp, np.uint64)), *[_signed(sk[:, i]) for i in range(SKETCH_WORDS)]], ["doc_id", "n_shingles", "fp", *[f"s{i}" for i in range(SKETCH_WORDS)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _signed(np.array(fp, np.uint64)), *[_signed(sk[:, i]) for i in range(SKETCH_WORDS)], pa.array(wide, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", *[f"s{i}" for i in range(SKETCH_WORDS)], "wide"])
 
-    schema = "doc_id long, n_shingles long, fp long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
+    schema = "doc_id long, n_shingles long, fp long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)) + ", wide array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -220,6 +231,15 @@ def _possible(a: str, b: str, percent: int):
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * differ <= (100 - percent) * (n_a + n_b))
 
 
+def _still_likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that wide sketches don't rule out either; pairs of small sets pass."""
+    side = lambda k: nodes.select(F.col("fp").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("wide").alias(f"w_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = F.aggregate(F.zip_with("w_a", "w_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    small = (F.size("w_a") == 0) | (F.size("w_b") == 0)
+    return both.filter(small | ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select(*pairs.columns)
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int, most: int = 256) -> DataFrame:
     """rep_a, rep_b of the pairs (a, b, rep_a, rep_b) that link. A set with many partners is sent in salted copies."""
 
@@ -292,12 +312,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     scanned = materialize(_scan(docs))
-    nodes = scanned.filter("fp <> 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)])])
+    nodes = scanned.filter("fp <> 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)], "wide")])
     nodes = materialize(nodes)
     groups = materialize(_shared(_signature_rows(docs, percent)))
     release(spark)
     stars = groups.filter("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct()
-    stars = materialize(_likely(stars, nodes, percent))
+    stars = materialize(_still_likely(_likely(stars, nodes, percent), nodes, percent))
     linked = _verify(stars, docs, percent)
     roots = materialize(components(linked, "rep_a", "rep_b"))
     release(spark)
@@ -315,7 +335,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         .select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"), F.col("a_rep").alias("rep_a"), F.col("b_rep").alias("rep_b"))
         .distinct()
     )
-    across = materialize(across)
+    across = materialize(_still_likely(across, nodes, percent))
     if not across.isEmpty():
         more = _verify(across, docs, percent)
         if not more.isEmpty():

@@ -317,6 +317,9 @@ def test_signatures_lose_no_pair():
             assert np.intersect1d(jaccard.signatures(a, bands), jaccard.signatures(b, bands)).size
             differ = sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(jaccard.sketch(a), jaccard.sketch(b), strict=True))
             assert differ <= len(a) + len(b) - 2 * both
+            wide = [jaccard.wide_sketch(s) for s in (a, b)]
+            if all(wide):
+                assert sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(*wide, strict=True)) <= len(a) + len(b) - 2 * both
 
 
 # 6 and 9
