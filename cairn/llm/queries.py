@@ -50,7 +50,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_documents(table(spark, sf_dir, "documents"))
+    return katz.score_documents(table(spark, sf_dir, "documents"), min_history=1)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

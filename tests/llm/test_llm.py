@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, cover_tree, jaccard, katz, line_dedup, mixing, pii, quality, token_counts, tokenize
+from cairn.llm import chat, cover_tree, jaccard, katz, line_dedup, mixing, pii, quality, queries, token_counts, tokenize
 from cairn.llm.bpe import Encoder, Utf8Stream, decode_stream, load_ranks
 from cairn.llm.common import word_hashes
 
@@ -483,6 +483,41 @@ def test_split_histories_score_alike(spark, monkeypatch):
     assert real and all(abs(one[d] - two[d]) < 1e-8 for d in one)
 
 
+def test_registered_katz_counts_and_scores_rare_histories(spark, tmp_path):
+    rnd = random.Random(14)
+    vocab = [f"w{int(rnd.paretovariate(0.8))}" for _ in range(3000)]
+    data = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(0, 40)))) for i in range(200)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    toks = {d: [*WORD.findall(t), "</>"] for d, t in data}
+    uni, bi, hist = Counter(), Counter(), Counter()
+    for d, w in toks.items():
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            h = ["<>", *w[:-1]]
+            uni.update(w)
+            bi.update(zip(h, w, strict=True))
+            hist.update(h)
+
+    def disc(counts):
+        n = Counter(counts)
+        d = katz.discounts([0, *[n[r] for r in range(1, 7)]])
+        return lambda r: r - 5 * (1 - d[5]) if r > 5 else d[r] * r
+
+    n, v = sum(uni.values()), len(uni)
+    du, db = disc(uni.values()), disc(bi.values())
+    left = 1 - sum(map(du, uni.values())) / n
+    p = lambda w: du(uni[w]) / n if w in uni else left / v
+    after = defaultdict(list)
+    for (h, w), c in bi.items():
+        after[h].append((w, c))
+    alpha = {h: (1 - sum(db(c) for _, c in f) / hist[h]) / (1 - sum(p(w) for w, _ in f)) for h, f in after.items()}
+    assert any(bi[g, x] and hist[g] < 4 for w in toks.values() for g, x in zip(w, w[1:], strict=False))
+    got = {r["doc_id"]: r["score"] for r in queries.op8_katz_scores(spark, str(tmp_path)).collect()}
+    assert set(got) == set(toks)
+    for d, w in toks.items():
+        want = sum(math.log10(db(bi[g, x]) / hist[g] if bi[g, x] else alpha.get(g, 1.0) * p(x)) for g, x in zip(["<>", *w[:-1]], w, strict=True))
+        assert abs(got[d] - want) < 1e-8
+
+
 # 10
 
 
