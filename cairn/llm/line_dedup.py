@@ -6,6 +6,9 @@ suffixes by their first 2**k lines: the suffix array of the repeated part, refin
 level. All blocks of one rank form a longest-common-prefix interval of depth 2**k or more.
 A block that isn't the first of its interval is a later copy. Copies that lie on one
 diagonal (the same distance to the block they repeat) and touch form a maximal run.
+Maximal runs may also repeat blocks whose first occurrences lie apart. A line lies in a repeated
+run of min_words words or more just if a shortest such window around it, from its first line on or up
+to its last, occurs earlier; two overlapping blocks of 2**k lines name a window (see whole_runs).
 All steps are DataFrame expressions; rows of hot lines meet only in counts and joins.
 """
 
@@ -46,8 +49,8 @@ def _ranked(groups: DataFrame, key: list[str], n: int, few: int = 50_000) -> Dat
     return ranges.sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id())
 
 
-def repeated_blocks(docs: DataFrame) -> list[DataFrame]:
-    """Level k holds doc_id, th, pos, rank, first (and line, n_words at level 0) of the repeated blocks of 2**k lines."""
+def repeated_blocks(docs: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """Level k holds doc_id, th, pos, rank, first (and line, n_words at level 0) of the repeated blocks of 2**k lines, up to most lines."""
     rows = materialize(line_table(docs))
     key, levels = ["h1", "h2"], []
     while True:
@@ -57,7 +60,7 @@ def repeated_blocks(docs: DataFrame) -> list[DataFrame]:
         discard(groups)
         if len(levels) == 1:
             discard(rows)
-        if not n:
+        if not n or (most is not None and 2 ** len(levels) > most):
             return levels
         ahead, key = 2 ** (len(levels) - 1), ["r1", "r2"]
         window = W.partitionBy("doc_id", "th").orderBy("pos").rangeBetween(ahead, ahead)
@@ -103,23 +106,70 @@ def later_runs(levels: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
+def whole_runs(levels: list[DataFrame], min_words: int) -> DataFrame:
+    """One row per document with later copies of windows: doc_id, th, held (sorted (pos, line) of all their lines).
+
+    A window is a run of lines with min_words words or more that loses them without its last line, or without its
+    first. If a longest earlier match of min_words words or more holds a line, so does a window within that match: the one
+    from the line or from the match's start on, or the one up to the line. It has min_words lines at most, and its words
+    follow from its lines, so copies of a window are windows. Two overlapping blocks of 2**k lines cover it: its
+    size and their ranks are its key.
+    """
+    at = ["doc_id", "th", "pos"]
+    rows = None
+    for k, level in enumerate(levels):
+        info = F.struct("line", "n_words") if k == 0 else F.lit(None).cast("struct<line: int, n_words: int>")
+        part = level.select(*at, F.lit(k).alias("k"), "rank", info.alias("info"))
+        rows = part if rows is None else rows.unionByName(part)
+    ranks = [F.max(F.when(F.col("k") == k, F.col("rank"))) for k in range(len(levels))]
+    rows = rows.repartition("doc_id", "th").groupBy(*at).agg(F.max("info").alias("info"), F.array(*ranks).alias("ranks"))
+    by_pos = W.partitionBy("doc_id", "th").orderBy("pos")
+    rows = rows.select(*at, "info.line", "info.n_words", "ranks", F.sum("info.n_words").over(by_pos.rowsBetween(W.unboundedPreceding, 0)).alias("words"))
+    own = F.struct("pos", "line", "n_words", "words", "ranks")
+    rows = rows.select(*at, "n_words", "words", F.collect_list(own).over(by_pos.rangeBetween(0, min_words - 1)).alias("on"), F.collect_list(own).over(by_pos.rangeBetween(1 - min_words, 0)).alias("up"))
+    short_on = F.filter("on", lambda x: x["words"] - F.col("words") + F.col("n_words") < min_words)
+    short_up = F.filter("up", lambda x: F.col("words") - x["words"] + x["n_words"] < min_words)
+    on = F.slice("on", 1, F.size(short_on) + 1)
+    up = F.slice("up", F.greatest(F.size("up") - F.size(short_up), F.lit(1)), F.size("up"))
+    both = rows.select("doc_id", "th", F.explode(F.array(F.struct(F.lit(True).alias("forward"), on.alias("w")), F.struct(F.lit(False).alias("forward"), up.alias("w")))).alias("x")).select("doc_id", "th", "x.*")
+    first, last, size = F.get("w", F.lit(0)), F.element_at("w", -1), F.size("w")
+    words = last["words"] - first["words"] + first["n_words"]
+    whole = (last["pos"] - first["pos"] + 1 == size) & (words >= min_words) & (F.col("forward") | (words - last["n_words"] >= min_words))
+    k = sum(((size >= 2**j).cast("int") for j in range(1, min_words.bit_length())), F.lit(0))
+    tail = F.get("w", size - F.pow(F.lit(2), k).cast("int"))
+    keyed = both.filter(whole).select("doc_id", "th", first["pos"].alias("pos"), F.transform("w", lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line"))).alias("w"), size.alias("size"), F.get(first["ranks"], k).alias("a"), F.get(tail["ranks"], k).alias("b"))
+    keyed = materialize(keyed.filter("a is not null and b is not null"))
+    groups = _groups(keyed, ["size", "a", "b"])
+    again = keyed.join(groups, ["size", "a", "b"]).filter(F.col("first") != F.struct(*at))
+    whole = materialize(again.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("held")))
+    discard(keyed)
+    discard(groups)
+    return whole
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 10, whole: bool = False) -> DataFrame:
     """docs with deleted_lines (sorted indexes), n_runs and text without them.
 
     A line goes if it lies in a maximal run that repeats an earlier run and holds min_words words
     or more. Earlier means a smaller (doc_id, digest of the text, position); the run a block repeats is
-    the first occurrence of the longest block of 2**k lines that begins there. Lines compare as
+    the first occurrence of the longest block of 2**k lines that begins there. With whole, a line goes if any run of
+    min_words words or more that holds it occurs earlier, and n_runs counts the stretches of lines that go. Lines compare as
     they are; lines without a word belong to no run and stay. A null or empty text has no lines to lose; rows
     alike in doc_id and text count once and get the same result; rows with a null doc_id stay as they are
     and are no source. An empty table gives no rows. Existing columns deleted_lines and n_runs are replaced.
     """
     docs = docs.drop("deleted_lines", "n_runs")
-    levels = repeated_blocks(docs)
-    before = lambda r: F.when(r["at"] > 1, F.get("lines", r["at"] - 2)["words"]).otherwise(0)
-    words = lambda r: F.get("lines", r["at"] + r["size"] - 2)["words"] - before(r)
-    gone = later_runs(levels).withColumn("runs", F.filter("runs", lambda r: words(r) >= min_words)).filter(F.size("runs") > 0)
-    cut = F.flatten(F.transform("runs", lambda r: F.transform(F.slice("lines", r["at"], r["size"]), lambda x: x["line"])))
-    gone = gone.select(F.col("doc_id").alias("_cairn_doc"), F.col("th").alias("_cairn_th"), F.array_sort(F.array_distinct(cut)).alias("deleted_lines"), F.size("runs").alias("n_runs"))
+    levels = repeated_blocks(docs, max(min_words, 1) if whole else None)
+    if whole:
+        gone = whole_runs(levels, max(min_words, 1))
+        stretches = F.array_distinct(F.transform("held", lambda x, i: x["pos"] - i))
+        gone = gone.select(F.col("doc_id").alias("_cairn_doc"), F.col("th").alias("_cairn_th"), F.col("held.line").alias("deleted_lines"), F.size(stretches).alias("n_runs"))
+    else:
+        before = lambda r: F.when(r["at"] > 1, F.get("lines", r["at"] - 2)["words"]).otherwise(0)
+        words = lambda r: F.get("lines", r["at"] + r["size"] - 2)["words"] - before(r)
+        gone = later_runs(levels).withColumn("runs", F.filter("runs", lambda r: words(r) >= min_words)).filter(F.size("runs") > 0)
+        cut = F.flatten(F.transform("runs", lambda r: F.transform(F.slice("lines", r["at"], r["size"]), lambda x: x["line"])))
+        gone = gone.select(F.col("doc_id").alias("_cairn_doc"), F.col("th").alias("_cairn_th"), F.array_sort(F.array_distinct(cut)).alias("deleted_lines"), F.size("runs").alias("n_runs"))
     gone = materialize(gone)
     for x in levels:
         discard(x)

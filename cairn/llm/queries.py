@@ -15,7 +15,7 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return out.select("doc_id", F.size("deleted_lines").cast("long").alias("n_deleted"), "n_runs", "deleted_lines", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and documents of which no word is left."""
-    out = line_dedup.dedup_lines(docs).filter((F.size("deleted_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = line_dedup.dedup_lines(docs, whole=True).filter((F.size("deleted_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -119,6 +119,40 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(df.limit(0)).collect() == []
 
 
+def brute_longest(docs, min_words):
+    """Lines within a longest earlier match of min_words words or more."""
+    seqs = [[(i, x, len(WORD.findall(x))) for i, x in enumerate(t.split("\n")) if WORD.search(x)] for t in docs]
+    places = [(d, p) for d, s in enumerate(seqs) for p in range(len(s))]
+    gone = [set() for _ in docs]
+    for d, p in places:
+        s = seqs[d][p:]
+        best = max((sum(1 for _ in itertools.takewhile(lambda x: x[0][1] == x[1][1], zip(s, seqs[e][q:], strict=False))) for e, q in places if (e, q) < (d, p)), default=0)
+        if sum(x[2] for x in s[:best]) >= min_words:
+            gone[d] |= {x[0] for x in s[:best]}
+    return [sorted(x) for x in gone]
+
+
+@pytest.mark.parametrize("min_words", [1, 3, 4, 7, 10])
+def test_whole_line_runs_equal_longest_earlier_matches(spark, min_words):
+    rnd = random.Random(min_words)
+    lines = ["a", "b b", "c c c", "d", "e e", "f f f f f f f f", "", "  "]
+    docs = ["\n".join(rnd.choice(lines[: rnd.randrange(2, 9)]) for _ in range(rnd.randrange(0, 18))) for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, min_words, whole=True).collect()}
+    for i, want in enumerate(brute_longest(docs, min_words)):
+        assert list(got[i]["deleted_lines"]) == want, (i, docs[i])
+        worded = [j for j, x in enumerate(docs[i].split("\n")) if WORD.search(x)]
+        assert got[i]["n_runs"] == sum(j in want and (n == 0 or worded[n - 1] not in want) for n, j in enumerate(worded))
+
+
+def test_registered_line_dedup_finds_runs_of_several_sources(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(4)) for x in "abc")
+    data = [(1, f"{b}\n{c}"), (2, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}"), (4, "\n".join(["w x y z"] * 4))]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (list(r["deleted_lines"]), r["n_runs"]) for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: ([], 0), 2: ([], 0), 3: ([0, 1, 2], 1), 4: ([1, 2, 3], 1)}
+
+
 # 2
 
 
