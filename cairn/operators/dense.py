@@ -24,7 +24,8 @@ def neighbours(vectors: DataFrame, k: int, block: int = 2048, most: int = 64) ->
     """(concept_id, neighbour_id, distance, rank) of every vector's k nearest, itself included; ties by id.
 
     Vectors are packed into blocks of bounded size; each pair of blocks is one row, whose distances one matrix
-    product gives, and only k candidates a vector and block leave the task. Null vectors take no part.
+    product gives; all rows as near as the kth smallest product are measured exactly, and only k candidates a vector and
+    block leave the task. Null vectors take no part.
     """
     n_blocks = max(1, min(most, -(-vectors.count() // block)))
     ids = vectors.filter("embedding is not null").select("concept_id", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -36,17 +37,23 @@ def neighbours(vectors: DataFrame, k: int, block: int = 2048, most: int = 64) ->
 
     def run(batches):
         for batch in batches:
-            for ids, vecs, ids2, vecs2 in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in range(batch.num_rows):  # a batch holds many pairs of blocks
+                ids, vecs, ids2, vecs2 = (batch.column(i)[row].as_py() for i in range(4))
                 x, y, names = np.array(vecs), np.array(vecs2), np.array(ids2)
-                squares = (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None]
+                x2, y2 = (x * x).sum(1), (y * y).sum(1)
+                squares = x2[:, None] - 2 * x @ y.T + y2[None]
+                #: Above what the product's rounding and that of the distances to 9 places can hide.
+                slack = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (x2 + y2.max())
                 out_a, out_b, out_d = [], [], []
-                m = min(len(ids2), k + 8)
-                near = np.argpartition(squares, m - 1, axis=1)[:, :m] if m < len(ids2) else np.tile(np.arange(len(ids2)), (len(ids), 1))
+                m = min(len(ids2), k)
+                kth = np.partition(squares, m - 1, axis=1)[:, m - 1]
+                top = (np.sqrt(np.maximum(kth + slack, 0)) + 2e-9) ** 2 + slack
                 for i, name in enumerate(ids):
-                    d = np.round(np.sqrt(((x[i] - y[near[i]]) ** 2).sum(1)), 9)  # exact where it ranks
-                    for j in np.lexsort((names[near[i]], d))[:k]:
+                    near = np.flatnonzero(~(squares[i] > top[i]))  # not a number: kept, ranks last
+                    d = np.round(np.sqrt(((x[i] - y[near]) ** 2).sum(1)), 9)  # exact where it ranks
+                    for j in np.lexsort((names[near], d))[:k]:
                         out_a.append(name)
-                        out_b.append(names[near[i]][j])
+                        out_b.append(names[near[j]])
                         out_d.append(float(d[j]))
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.string()), pa.array(out_b, pa.string()), pa.array(out_d, pa.float64())], ["concept_id", "neighbour_id", "distance"])
 

@@ -118,6 +118,24 @@ def test_proximity_bound_is_inclusive(spark):
     assert [r["concept_id"] for r in filed] == [None]  # c has no vector: all or nothing
 
 
+def test_neighbours_break_ties_of_many_copies_by_id(spark):
+    import math
+
+    rnd = random.Random(4)
+    vecs = [[rnd.uniform(-1, 1) for _ in range(16)] for _ in range(400)]
+    for i in rnd.sample(range(400), 40):
+        vecs[i] = vecs[7]
+    names = [f"v{i:04d}" for i in range(400)]
+    v = spark.createDataFrame(list(zip(names, vecs, strict=True)), "concept_id string, embedding array<double>")
+    want = {(a, n): b for a, x in zip(names, vecs, strict=True) for n, (_, b) in enumerate(sorted((round(math.dist(x, y), 9), b) for b, y in zip(names, vecs, strict=True))[:6], 1)}
+    for block in (2048, 100):
+        assert {(r["concept_id"], r["rank"]): r["neighbour_id"] for r in dense.neighbours(v, 6, block).collect()} == want
+    copies = [n for n, x in zip(names, vecs, strict=True) if x == vecs[7]]
+    pairs = {(r["id_a"], r["id_b"]) for r in dense.proximity_pairs(v, 0.999999).collect()}
+    near = {c: [b for b in copies[:6] if b != c][:5] for c in copies}
+    assert pairs == {tuple(sorted((c, b))) for c in copies for b in near[c]}
+
+
 def test_state_rules(spark):
     f = spark.createDataFrame([(1, [("a", "x")]), (2, [("b", "x")]), (3, [("gone", "x")])], "id long, input_digests array<struct<ref: string, digest: string>>")
     now = spark.createDataFrame([("a", "x"), ("b", "y")], "ref string, digest string")
