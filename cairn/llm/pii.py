@@ -158,10 +158,11 @@ class SkipChain:
             local[i, k] = 0.0
         local -= local.max(1, keepdims=True)
         edges = [(i, i + 1, 0) for i in range(n - 1) if text[spans[i][1] : spans[i + 1][0]] == " "]
+        chained = set(edges)
         first: dict[str, int] = {}
         for i, t in enumerate(tokens):
             for key in likeness(t):
-                if key in first and first[key] != i - 1:
+                if key in first and (first[key] != i - 1 or (i - 1, i, 0) not in chained):
                     edges.append((first[key], i, 1))
                 first.setdefault(key, i)
         if not edges:

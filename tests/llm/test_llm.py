@@ -292,6 +292,15 @@ def test_messages_are_exact_on_a_tree():
     assert np.allclose(got, [w.sum((1, 2)), w.sum((0, 2)), w.sum((0, 1))], atol=1e-6)
 
 
+def test_alike_neighbours_without_a_chain_edge_are_tied():
+    model = pii.SkipChain({}, np.zeros((5, 5)).tolist(), (4 * np.eye(5)).tolist())
+    for gap in ("\n", "\t", "  "):
+        text = f"555-0101{gap}555-0101"
+        spans = pii.candidates(text)
+        assert len(spans) == 2 and model.marginals(text, spans, {0: 2})[1, 2] > 0.9
+    assert np.allclose(model.marginals("555-0101 555-0101", pii.candidates("555-0101 555-0101"), {0: 2})[1], 0.2)
+
+
 # 5
 
 
