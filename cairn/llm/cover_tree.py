@@ -152,7 +152,9 @@ def _search(rows: DataFrame, k: int, leaf: int) -> DataFrame:
                     state["ids"] += ids
                     state["packs"] += packs
                     continue
-                if not state["ids"]:
+                if not state["ids"]:  # a home block without data: the queries go on to the other blocks
+                    for column, y in zip(out, ([chunk] * len(ids), [dim] * len(ids), ids, packs, [[]] * len(ids), [[]] * len(ids)), strict=True):
+                        column += y
                     continue
                 if state["tree"] is None:
                     unlike = sorted(set(zip(state["ids"], state["packs"], strict=True)))

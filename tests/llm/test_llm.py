@@ -179,6 +179,13 @@ def test_top_k_of_nothing(spark):
     assert cover_tree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_top_k_with_an_empty_home_block(spark):
+    data = [(20 * d + i, [1.0 + i] * d) for d in range(2, 14) for i in range(2)] * 40
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {r["query_id"]: (r["rank"], r["vec_id"], r["score"]) for r in cover_tree.top_k(df, block_rows=20).collect()}
+    assert got == {20 * d: (1, 20 * d + 1, 64 * 128 * d) for d in range(2, 14)}
+
+
 def test_dual_tree_prunes_clustered_data():
     rnd = np.random.default_rng(1)
     x = np.concatenate([rnd.integers(-3, 4, (500, 6)) + c for c in (200, -200)]).astype(float)
