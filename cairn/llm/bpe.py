@@ -13,9 +13,11 @@ behind the input.
 from __future__ import annotations
 
 import base64
+import ctypes
 import gc
 import hashlib
 import re
+from contextlib import contextmanager
 
 import regex
 
@@ -23,6 +25,7 @@ import regex
 _SPACES = r"\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_SPACE = re.compile(rf" [ {_SPACES}]|[{_SPACES}] ")
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -33,7 +36,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """pieces -> token ids. At most max_states determinised states are held; beyond that they are built anew."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.max_states = max_states
@@ -50,7 +53,12 @@ class Transducer:
                 node = nxt
             self.token_at[node] = i
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.allowed: dict[tuple[int, int], bool] = {}
+        self.allowed: dict[int, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all states and what is known of neighbours; the trie stays."""
+        self.allowed = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -79,10 +87,10 @@ class Transducer:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether no merge reaches across the border, undoing the later merge of the two sides step by step."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.allowed.get(key)
         if known is None:
-            if len(self.allowed) > 1_000_000:
+            if len(self.allowed) > 400_000:
                 self.allowed.clear()
             known = self.allowed[key] = self._may_follow(left, right)
         return known
@@ -155,13 +163,20 @@ class Encoder:
     unit of a bounded memory (two generations of max_memory stretches).
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memory: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memory: int = 200_000):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.max_memory = max_memory
         self.new: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        """Gives the memory back: Python workers are used again by tasks that need theirs for other things."""
+        self.new, self.old = {}, {}
+        self.transducer.forget()
+        if _TRIM:
+            _TRIM(0)
+
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
@@ -271,3 +286,13 @@ def encoder(data: bytes, pattern: str) -> Encoder:
         gc.freeze()  # the trie stays; states and memory hold no cycles
         gc.set_threshold(200_000, 50, 1000)
     return _held[key]
+
+
+@contextmanager
+def encoding(data: bytes, pattern: str):
+    """The worker's encoder for the length of a task, which forgets all but the trie when the task ends."""
+    held = encoder(data, pattern)
+    try:
+        yield held
+    finally:
+        held.forget()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.bpe import Encoder, encoder
+from cairn.llm.bpe import Encoder, encoding
 
 EDITS = "array<struct<pos: bigint, n_deleted: bigint, inserted: string>>"
 
@@ -138,22 +138,22 @@ def count_with_edits(docs: DataFrame, edits: Column, ranks_path: str, pattern: s
     schema = "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_reencoded long" + ", text_edited string" * keep_text
 
     def run(batches):
-        enc = encoder(held.value, pattern)
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, todo in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                tree = TokenTree(text or "", enc)
-                before = tree.n_tokens
-                for e in todo or []:
-                    e = e or {}
-                    tree.edit(e.get("pos") or 0, e.get("n_deleted") or 0, e.get("inserted") or "")
-                for column, x in zip(out, (before, len(todo or []), tree.n_tokens, tree.reencoded, tree.text if keep_text else None), strict=True):
-                    column.append(x)
-            columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in out[:4]]]
-            names = ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded"]
-            if keep_text:
-                columns, names = [*columns, pa.array(out[4], pa.string())], [*names, "text_edited"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        with encoding(held.value, pattern) as enc:
+            for batch in batches:
+                out: list[list] = [[], [], [], [], []]
+                for text, todo in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    tree = TokenTree(text or "", enc)
+                    before = tree.n_tokens
+                    for e in todo or []:
+                        e = e or {}
+                        tree.edit(e.get("pos") or 0, e.get("n_deleted") or 0, e.get("inserted") or "")
+                    for column, x in zip(out, (before, len(todo or []), tree.n_tokens, tree.reencoded, tree.text if keep_text else None), strict=True):
+                        column.append(x)
+                columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in out[:4]]]
+                names = ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded"]
+                if keep_text:
+                    columns, names = [*columns, pa.array(out[4], pa.string())], [*names, "text_edited"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col("doc_id").cast("long"), "text", edits.cast(EDITS).alias("edits")).mapInArrow(run, schema)
 

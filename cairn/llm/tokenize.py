@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.bpe import decode_stream, encoder
+from cairn.llm.bpe import decode_stream, encoder, encoding
 
 
 def _vocabulary(docs: DataFrame, ranks_path: str):
@@ -27,10 +27,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     held = _vocabulary(docs, ranks_path)
 
     def run(batches):
-        enc = encoder(held.value, pattern)
-        for batch in batches:
-            ids = [enc.encode(t) if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        with encoding(held.value, pattern) as enc:
+            for batch in batches:
+                ids = [enc.encode(t) if t else [] for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -62,26 +62,26 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool =
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches):
-        enc = encoder(held.value, pattern)
-        bytes_of = enc.transducer.bytes_of
-        for batch in batches:
-            counts, packed, decoded, kept = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                ids = enc.encode(t) if t else []
-                counts.append(len(ids))
+        with encoding(held.value, pattern) as enc:
+            bytes_of = enc.transducer.bytes_of
+            for batch in batches:
+                counts, packed, decoded, kept = [], [], [], []
+                for t in batch.column(1).to_pylist():
+                    ids = enc.encode(t) if t else []
+                    counts.append(len(ids))
+                    if keep_ids:
+                        kept.append(pa.array(ids, pa.int32()))
+                    packed.append(hashlib.sha256(array("I", ids).tobytes()).hexdigest())
+                    back = hashlib.sha256()
+                    for data, _ in decode_stream(bytes_of, ids):
+                        back.update(data)
+                    decoded.append(back.hexdigest())
+                columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.string()), pa.array(decoded, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    kept.append(pa.array(ids, pa.int32()))
-                packed.append(hashlib.sha256(array("I", ids).tobytes()).hexdigest())
-                back = hashlib.sha256()
-                for data, _ in decode_stream(bytes_of, ids):
-                    back.update(data)
-                decoded.append(back.hexdigest())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                edges = pa.array([0, *accumulate(counts)], pa.int32())
-                values = pa.concat_arrays(kept) if kept else pa.array([], pa.int32())
-                columns, names = [*columns, pa.ListArray.from_arrays(edges, values)], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    edges = pa.array([0, *accumulate(counts)], pa.int32())
+                    values = pa.concat_arrays(kept) if kept else pa.array([], pa.int32())
+                    columns, names = [*columns, pa.ListArray.from_arrays(edges, values)], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
