@@ -1,7 +1,7 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-The top of the tree is a bounded set of centres; each of its cells is cut into
-blocks of bounded size, each with a cover tree of its own. Queries are grouped by the
+The top two levels of the tree are bounded sets of centres; a cell that holds more than a block's
+rows is cut into blocks, each with a cover tree of its own. Queries are grouped by the
 same centres and form trees too. A pair of nodes is dropped when no inner product
 between them can reach the query node's worst kth score: the centres' product plus
 what the covering radii allow. Scores are whole numbers, worked out exactly.
@@ -30,6 +30,18 @@ def quantise(vector, scale: float = 64.0) -> np.ndarray | None:
     return x if np.isfinite(x).all() else None
 
 
+def quantised(column: pa.Array, scale: float = 64.0) -> list[np.ndarray | None]:
+    """quantise() of every row of a column of lists of doubles."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls are NaN
+    with np.errstate(over="ignore", invalid="ignore"):
+        values = np.floor(values * scale)
+    bad = np.concatenate(([0], np.cumsum(~np.isfinite(values))))
+    edges = lists.offsets.to_numpy()
+    here = lists.is_valid().to_numpy(zero_copy_only=False)
+    return [values[a:b] if ok and b > a and bad[a] == bad[b] else None for a, b, ok in zip(edges[:-1].tolist(), edges[1:].tolist(), here.tolist(), strict=True)]
+
+
 def pack(x: np.ndarray) -> bytes:
     """Two bytes a component where they fit, or else eight."""
     return x.astype(np.int16).tobytes() if np.abs(x).max(initial=0) < 32_768 else x.tobytes()
@@ -64,7 +76,11 @@ class Node:
 
 
 def build(x: np.ndarray, leaf: int, fan: int = 8) -> Node:
-    """A cover tree: children are chosen farthest first until they cover their node at half its radius, fan of them at most."""
+    """A cover tree: children are chosen farthest first until they cover their node at half its radius, fan of them at most.
+
+    Where fan children don't get below four fifths of the radius (unclustered rows in many dimensions) a node stays a leaf:
+    its parts would prune nothing that it doesn't, and one product of matrices is cheaper than many small ones.
+    """
 
     def node(rows: np.ndarray, centre: np.ndarray) -> Node:
         away = np.linalg.norm(x[rows] - centre, axis=1)
@@ -78,7 +94,7 @@ def build(x: np.ndarray, leaf: int, fan: int = 8) -> Node:
             d = np.linalg.norm(x[rows] - centres[-1], axis=1)
             owner = np.where(d < near, len(centres) - 1, owner)
             near = np.minimum(near, d)
-        if len(centres) > 1:
+        if len(centres) > 1 and near.max() <= 0.8 * out.radius:
             parts = [rows[owner == i] for i in range(len(centres))]
             out.children = [node(p, c) for p, c in zip(parts, centres, strict=True) if len(p)]
         return out
@@ -105,16 +121,24 @@ class Best:
         return np.maximum(self.scores[rows, -1], self.floor[rows])
 
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merges all rows' hits in one sort; a row offers what reaches its worst kth score and its own kth of these."""
         scores = np.where(self.ids[rows][:, None] == ids[None, :], LOW, scores)
         need = self.worst(rows)
+        open_ = np.flatnonzero(scores.max(1, initial=LOW) >= np.maximum(need, LOW + 1))
+        if not len(open_):
+            return
+        rows, scores, need = rows[open_], scores[open_], need[open_]
         if scores.shape[1] > self.k:
             need = np.maximum(need, np.partition(scores, -self.k, axis=1)[:, -self.k])
-        hit = (scores >= need[:, None]) & (scores > LOW)
-        for i in np.flatnonzero(hit.any(1)):
-            r, c = rows[i], np.flatnonzero(hit[i])
-            s, v = np.concatenate((self.scores[r], scores[i, c])), np.concatenate((self.found[r], ids[c]))
-            order = np.lexsort((v, -s.astype(np.float64) if abs(s[s > LOW]).max(initial=0) < 2**53 else [-int(y) for y in s]))[: self.k]
-            self.scores[r], self.found[r] = s[order], v[order]
+        at, column = np.nonzero((scores >= need[:, None]) & (scores > LOW))
+        owner = np.concatenate((np.repeat(np.arange(len(rows)), self.k), at))
+        value = np.concatenate((self.scores[rows].ravel(), scores[at, column]))
+        found = np.concatenate((self.found[rows].ravel(), ids[column]))
+        order = np.lexsort((found, ~value, owner))  # ~value falls as value rises, without overflow
+        owner = owner[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        first = order[place < self.k]
+        self.scores[rows], self.found[rows] = value[first].reshape(len(rows), self.k), found[first].reshape(len(rows), self.k)
 
 
 def dual_search(queries: np.ndarray, q_tree: Node, data: np.ndarray, ids: np.ndarray, d_tree: Node, best: Best) -> int:
@@ -187,39 +211,45 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, block_rows: int = 40
     floor(64 x); vectors that are null, empty or hold a null or non-finite component, and rows
     without a vec_id, take no part. Vectors of other lengths than the query's aren't candidates. Rows alike in
     vec_id and vector count once. Fewer than k candidates are all returned; no rows give no rows.
-    The centres are fitted on at most `sample` rows; every row is indexed and the result is exact.
+    The centres are fitted on about `sample` rows, 2 * sample at most; every row is indexed and the result is exact.
+    Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null and embedding is not null")
-    first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    known = [q for r in first if (q := quantise(r[1])) is not None]
     total = rows.count()
+    thin = F.pmod(F.xxhash64("vec_id"), F.lit(-(-max(total, 1) // sample))) == 0
+    known = [q for r in rows.filter(thin).limit(2 * sample).collect() if (q := quantise(r[1])) is not None]
     dim = max({len(q) for q in known}, key=lambda d: (sum(len(q) == d for q in known), d), default=0)
-    known = [q for q in known if len(q) == dim]
-    centres = _centres(np.stack(known), max(1, min(max_cells, total // block_rows, len(known)))) if known else np.zeros((1, 1))
+    tops, subs, first_of = _two_levels(np.stack([q for q in known if len(q) == dim]) if known else np.zeros((1, 1)), -(-total // block_rows), max_cells)
 
     def cells(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for v, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                q = quantise(e)
-                if q is None:
-                    continue
-                cell, away = 0, float(np.linalg.norm(q))
-                if len(q) == dim:
-                    d = np.linalg.norm(centres - q, axis=1)
-                    cell = int(d.argmin())
-                    away = float(d[cell])
-                for c, y in zip(out, (len(q), cell, away, v, pack(q)), strict=True):
-                    c.append(y)
-            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["dim", "cell", "away", "vec_id", "packed"])
+            vectors = quantised(batch.column(1))
+            kept = [i for i, q in enumerate(vectors) if q is not None]
+            cell, away = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
+            same = [i for i in kept if len(vectors[i]) == dim]
+            if same:
+                x = np.stack([vectors[i] for i in same])
+                top = _nearest(x, tops)
+                near = np.empty(len(x), np.int64)
+                for t in np.unique(top):
+                    here = np.flatnonzero(top == t)
+                    near[here] = first_of[t] + _nearest(x[here], subs[first_of[t] : first_of[t + 1]])
+                cell[same], away[same] = near, np.linalg.norm(x - subs[near], axis=1)
+            for i in kept:
+                if len(vectors[i]) != dim:
+                    away[i] = np.linalg.norm(vectors[i])
+            packs = [pack(vectors[i]) for i in kept]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(vectors[i]) for i in kept], pa.int32()), pa.array(cell[kept], pa.int32()), pa.array(away[kept], pa.float64()), batch.column(0).take(pa.array(kept, pa.int64())), pa.array(packs, pa.binary())],
+                ["dim", "cell", "away", "vec_id", "packed"],
+            )
 
     placed = materialize(rows.mapInArrow(cells, "dim int, cell int, away double, vec_id long, packed binary"))
     is_query = F.col("vec_id") % every == 0
     sizes = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("n_q"), F.max("away").alias("radius")).orderBy("dim", "cell").collect()
     layout, blocks, chunks = [], 0, 0
-    for r in sizes:  # at most max_cells rows for each vector length
+    for r in sizes:  # at most max_cells ** 1.5 rows for each vector length
         n, m = -(-r["n"] // block_rows), -(-max(r["n_q"], 1) // chunk_rows)
         layout.append((r["dim"], r["cell"], blocks, n, chunks, m, r["radius"]))
         blocks, chunks = blocks + n, chunks + m
@@ -239,25 +269,28 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, block_rows: int = 40
     homes = asked.select(F.col("block0").alias("block"), F.lit(1).alias("kind"), "dim", "chunk", F.col("held.vec_id").alias("ids"), F.col("held.packed").alias("packs"), lowest.alias("floor"))
     near = materialize(_search(data_rows.join(homes.select("block").distinct(), "block", "left_semi").unionByName(homes), k, leaf=512))
 
-    spread = [(d, c, b, n, centres[c] if d == dim else np.zeros(d), r) for d, c, b, n, _, _, r in layout]
-    home_of = {c0 + i: b for _, _, b, _, c0, m, _ in layout for i in range(m)}
+    chunk_starts = np.array([x[4] for x in layout])
+    home_block = [x[2] for x in layout]
+    spread = {}
+    for d in {x[0] for x in layout}:
+        own = [x for x in layout if x[0] == d]
+        middle = np.stack([subs[x[1]] if d == dim else np.zeros(d) for x in own])
+        spread[d] = (middle, np.array([x[6] for x in own]), [(x[2], x[2] + x[3]) for x in own])
 
     def visit(batches):
         """The chunk with the queries whose worst kth score a cell can reach, for each of its blocks but the home block."""
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
             for chunk, d, ids, packs, floor in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                q = _matrix(packs, d)
-                norms, least = np.linalg.norm(q, axis=1), np.array(floor, np.int64)
-                for dd, _, b, n, centre, radius in spread:
-                    if dd != d:
-                        continue
-                    most = q @ centre + norms * radius
-                    hit = np.flatnonzero(most + 1e-9 * abs(most) + 1e-6 >= least)
-                    if not len(hit):
-                        continue
-                    for block in range(b, b + n):
-                        if block != home_of[chunk]:
+                q, least = _matrix(packs, d), np.array(floor, np.int64)
+                middle, radius, blocks_of = spread[d]
+                most = q @ middle.T + np.linalg.norm(q, axis=1)[:, None] * radius
+                reached = most + 1e-9 * abs(most) + 1e-6 >= least[:, None]
+                home = home_block[int(np.searchsorted(chunk_starts, chunk, "right")) - 1]
+                for j in np.flatnonzero(reached.any(0)):
+                    hit = np.flatnonzero(reached[:, j])
+                    for block in range(*blocks_of[j]):
+                        if block != home:
                             for column, y in zip(out, (block, 1, d, chunk, [ids[i] for i in hit], [packs[i] for i in hit], least[hit].tolist()), strict=True):
                                 column.append(y)
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
@@ -273,6 +306,21 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, block_rows: int = 40
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
+
+
+def _two_levels(x: np.ndarray, blocks: int, max_cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres of the cells, those of their parts, and where each cell's parts begin: about as many parts as blocks, max_cells ** 1.5 at most."""
+    tops = _centres(x, max(1, min(max_cells, round(blocks**0.5), len(x))))
+    owner, parts = _nearest(x, tops), []
+    for t in range(len(tops)):
+        own = x[owner == t]
+        share = round(blocks * len(own) / len(x))
+        parts.append(_centres(own, max(1, min(int(max_cells**0.5), share))) if len(own) else tops[t : t + 1])
+    return tops, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+
 def _centres(x: np.ndarray, n: int) -> np.ndarray:
     """Farthest-first centres of the sample, the first nearest its mean."""
     away = np.linalg.norm(x - x.mean(0), axis=1)
