@@ -1,11 +1,14 @@
-"""Katz backoff: Good-Turing discounted bigram and unigram counts in partitioned tables, scored per token.
-
-P(w | h) = d(c(hw)) c(hw) / c(h) where the bigram was seen, or else alpha(h) P(w), with alpha(h) =
-(1 - sum of the seen) / (1 - sum of P over the words seen after h), so each history sums to one.
-Texts are dealt into chunks of about chunk_docs documents. A chunk asks the word table's partitions for
-the counts of its distinct words, then sends its distinct bigrams, with the documents they stand in,
-to the bigram table's partitions, where they are counted, scored and summed by document. A
-frequent history is split over partitions by the next word; its sums are joined afterwards.
+"""Katz backoff: Good-Turing discounted n-gram counts in partitioned tables, evaluated level by level per token.
+
+P(w | h) = d(c(hw)) c(hw) / c(h) where the gram was seen, or else alpha(h) P(w | h'), h' being h without its
+first word; alpha(h) = (1 - sum of the seen) / (1 - sum of P(w | h') over the words seen after h), so each history
+sums to one. A history that wasn't seen passes the shorter one's probability on.
+
+Texts are hashed once into chunks. Level m of a chunk asks the partitions of the m-gram table for its distinct
+grams, by the id of the history (an (m - 1)-gram) and of the word; a partition counts, gives seen grams ids
+for the next level and answers each chunk in the order it asked. A frequent history is split over partitions by
+the next word; its sums are joined to the chunks that need them. Counts of counts, sums and ids stay in Spark; only
+one row of totals a level reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,390 +17,459 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import discard, materialize, mix, release, word_hashes
 
 K = 5
-BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543211)
+END = np.uint64(0xFEDCBA9876543211)
+BEGIN_ID = 0  # of the empty beginning as a history; grams' ids begin at 1
 _S = mix(np.arange(101, 109, dtype=np.uint64)) | np.uint64(1)
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """Good-Turing ratios d[1..K] from counts of counts n[1..K+1] (n[0] unused).
+    """Good-Turing ratios d[1..K] from counts of counts n[1..K + 1] (n[0] unused): Katz's, with d[0] = 0 and none above K.
 
-    Where the counts of counts give none in (0, 1), half a count is taken off.
+    d[r] = (r*/r - a) / (1 - a) with r* = (r + 1) n[r + 1] / n[r] and a = (K + 1) n[K + 1] / n[1]. If that gives any d
+    outside (0, 1), counts of counts are smoothed first: log n[r] becomes a straight line over log r, fitted
+    by least squares to those that aren't nought (slope -2 if there are under two), and no flatter than slope -1.1.
     """
-    out = np.ones(K + 1)
-    cut = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
-    for r in range(1, K + 1):
-        d = ((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut) if n[r] and cut < 1 else 0.0
-        out[r] = d if 0.01 < d < 0.999 else (r - 0.5) / r
-    return out
 
+    def ratios(n) -> np.ndarray:
+        r = np.arange(1, K + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a = (K + 1) * n[K + 1] / n[1]
+            return ((r + 1) * n[2 : K + 2] / (r * n[1 : K + 1]) - a) / (1 - a)
 
-def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """d(c) c: beyond K what is taken off at K stays the same, so every history leaves mass."""
-    c = c.astype(np.float64)
-    return np.where(c > K, c - K * (1 - d[K]), d[np.minimum(c, K).astype(np.int64)] * c)
+    n = np.array([0, *n[1:]], np.float64)
+    d = ratios(n)
+    if not ((d > 0) & (d < 1)).all():
+        seen = np.flatnonzero(n > 0)
+        slope = min(-1.1, np.polyfit(np.log(seen), np.log(n[seen]), 1)[0]) if len(seen) > 1 else -2.0
+        d = ratios(np.concatenate(([0.0], np.arange(1, K + 2) ** slope)))
+    return np.concatenate(([0.0], d))
 
 
-@dataclass(frozen=True)
-class Unigrams:
-    tokens: int
-    types: int
-    docs: int
-    d: np.ndarray
-    left: float
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """d(c) c; counts above K stay whole."""
+    return np.where(c > K, c, d[np.minimum(c, K)] * c)
 
-    @classmethod
-    def of(cls, tokens: int, types: int, docs: int, n: list[int], mass: float) -> Unigrams:
-        """mass: the sum of discounted counts, worked out from counts of counts."""
-        return cls(tokens, types, docs, discounts(n), max(1e-12, 1 - mass / tokens) if tokens else 1.0)
 
-    def p(self, c: np.ndarray) -> np.ndarray:
-        """Of words by training count; the mass left is shared by as many unseen types as there are seen ones."""
-        return np.where(c > 0, discounted(c, self.d) / max(self.tokens, 1), self.left / max(self.types, 1))
+def shares(total, low: np.ndarray, big, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of histories with `total` tokens, low[r - 1] words seen r times and `big` tokens of words seen more than K times:
+    what counts are divided by, and the mass left. A history whose words all were seen more than K times
+    has one token more that goes to none of them."""
+    total = np.asarray(total, np.float64)
+    full = low.sum(0) == 0
+    mass = (d[1:, None] * np.arange(1, K + 1)[:, None] * low).sum(0) + big
+    divisor = total + full
+    return divisor, np.where(full, 1.0, total - mass) / np.maximum(divisor, 1)
 
 
 @dataclass(frozen=True)
-class Layout:
+class Model:
+    """What the chunks and partitions need of the levels counted so far."""
+
     parts: int
     split: int
-    min_history: int
+    order: int
+    tokens: int
+    types: int
+    docs: int
+    d: tuple[np.ndarray, ...] = ()
+    divisor: float = 1.0
+    left: float = 1.0
 
     def word_part(self, words: np.ndarray) -> np.ndarray:
         return (mix(words * _S[0]) % np.uint64(self.parts)).astype(np.int64)
 
-    def copies(self, history_counts: np.ndarray) -> np.ndarray:
+    def copies(self, counts: np.ndarray) -> np.ndarray:
         """Over how many partitions a history is split."""
-        return 1 + history_counts // self.split
+        return 1 + counts // self.split
 
-    def bigram_part(self, h: np.ndarray, w: np.ndarray, history_counts: np.ndarray) -> np.ndarray:
+    def gram_part(self, h: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            sub = mix(w * _S[1]) % self.copies(history_counts).astype(np.uint64)
-            return (mix(h * _S[2] + sub * _S[3]) % np.uint64(self.parts)).astype(np.int64)
-
-
-_ROWS = "chunk long, ids array<long>, held_out array<boolean>, ties array<long>, sizes array<int>, blob binary"
+            sub = mix(w.astype(np.uint64) * _S[1]) % self.copies(counts).astype(np.uint64)
+            return (mix(h.astype(np.uint64) * _S[2] + sub * _S[3]) % np.uint64(self.parts)).astype(np.int64)
 
-
-def _pack(batches):
-    """Rows of (doc_id, text, held_out, tie, chunk) as one compressed row for each chunk and batch."""
-    for batch in batches:
-        ids, texts, held, ties = (batch.column(i).to_pylist() for i in range(4))
-        chunk = np.asarray(batch.column(4))
-        order = np.argsort(chunk, kind="stable")
-        edges = np.flatnonzero(np.diff(chunk[order])) + 1
-        out: list[list] = [[], [], [], [], [], []]
-        for rows in np.split(order, edges) if len(order) else []:
-            data = [(texts[i] or "").encode() for i in rows]
-            values = (int(chunk[rows[0]]), [ids[i] for i in rows], [held[i] for i in rows], [ties[i] for i in rows], [len(x) for x in data], pa.compress(b"".join(data), codec="zstd", asbytes=True))
-            for column, x in zip(out, values, strict=True):
-                column.append(x)
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [x.split()[0] for x in _ROWS.split(", ")])
+    def word_p(self, c: np.ndarray) -> np.ndarray:
+        """Of words by training count; the mass left is shared by as many unseen types as there are seen ones."""
+        return np.where(c > 0, discounted(c, self.d[0]) / self.divisor, self.left / max(self.types, 1))
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """Whole numbers from nought in the narrowest type, compressed; its width and length go before."""
+    """Whole numbers from nought in the narrowest type, byte by byte, compressed; width and length go before."""
     top = int(x.max(initial=0))
     width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(x.astype(f"u{width}").tobytes(), codec="zstd", asbytes=True)
+    planes = np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def spread(data: bytes) -> np.ndarray:
     width, n = data[0], int.from_bytes(data[1:9], "little")
-    return np.frombuffer(pa.decompress(data[9:], decompressed_size=width * n, codec="zstd", asbytes=True), f"u{width}").astype(np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data[9:], decompressed_size=width * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def squeeze_floats(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Distinct values, and which one stands where."""
+    values, at = np.unique(x, return_inverse=True)
+    return values.tobytes(), squeeze(at)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+_CHUNK = "chunk long, n_docs long, n_train long, n_tokens long, ids array<long>, held_out array<boolean>, sizes binary, types binary, tokens binary"
+
+
+def _pack(chunk_bytes: int):
+    """Rows of (doc_id, text, held_out) as chunks of about chunk_bytes of text: their distinct words' hashes, and the place of each token's among these."""
+
+    def chunk(number: int, ids: list, held: list, texts: list[bytes]) -> pa.RecordBatch:
+        words, at = word_hashes(texts)
+        sizes = np.diff(at)
+        tokens = np.insert(words, np.cumsum(sizes), END)
+        types, place, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # small numbers for frequent words
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        values = (number, len(ids), len(ids) - sum(map(bool, held)), len(tokens), ids, held, squeeze(sizes + 1), types[order].tobytes(), squeeze(rank[place]))
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.bool_())] + [pa.binary()] * 3
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], [x.split()[0] for x in _CHUNK.split(", ")])
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        ids, held, texts, size = [], [], [], 0
+        for batch in batches:
+            for i, t, h in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), strict=True):
+                ids.append(i)
+                held.append(h)
+                texts.append(t.as_py() or b"")
+                size += len(texts[-1])
+                if size >= chunk_bytes:
+                    yield chunk(number, ids, held, texts)
+                    number += 1
+                    ids, held, texts, size = [], [], [], 0
+        if ids:
+            yield chunk(number, ids, held, texts)
+
+    return run
+
+
+_ANSWER = "chunk long, level int, kind int, part long, counts binary, ids binary, mask binary, stats binary, lower binary, ctx array<long>, sums array<double>"
+_ANSWER_NAMES = [x.split()[0] for x in _ANSWER.split(", ")]
+_ANSWER_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.float64())]
+#: Kinds of answers: to a chunk's message; split histories that a chunk needs; a partition's totals; its sums of a split history; joined sums of one.
+REPLY, NEED, TOTALS, PART_SUMS, SUMS = range(5)
+
+
+def _answers(rows: list[dict]) -> pa.Table:
+    return pa.table([pa.array([r.get(n) for r in rows], t) for n, t in zip(_ANSWER_NAMES, _ANSWER_KINDS, strict=True)], _ANSWER_NAMES)
 
 
 class Chunk:
-    """Tokens of a chunk's texts, by doc_id and the digest of the text."""
-
-    def __init__(self, table: pa.Table):
-        rows = []
-        for ids, held, ties, sizes, blob in zip(*(table.column(n).to_pylist() for n in ("ids", "held_out", "ties", "sizes", "blob")), strict=True):
-            data, at = pa.decompress(blob, decompressed_size=sum(sizes), codec="zstd", asbytes=True), 0
-            for i, h, t, n in zip(ids, held, ties, sizes, strict=True):
-                rows.append((i is not None, i or 0, t, h, data[at : at + n]))
-                at += n
-        rows.sort(key=lambda r: r[:3])
-        self.ids = [r[1] if r[0] else None for r in rows]
-        self.train = ~np.array([bool(r[3]) for r in rows], bool)
-        texts = [r[4] for r in rows]
-        words, sizes, at, size = [], [], 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size > 1 << 20 or i + 1 == len(texts):
-                w, edges = word_hashes(texts[at : i + 1])
-                words.append(w)
-                sizes.append(np.diff(edges))
-                at, size = i + 1, 0
-        words, sizes = np.concatenate(words), np.concatenate(sizes)
-        self.n = sizes + 1
-        self.tokens = np.insert(words, np.cumsum(sizes), END)
-        self.doc = np.repeat(np.arange(len(sizes)), self.n)
+    """A chunk's tokens, and what the answers say of them: word ids, and by level each token's gram (id, training count) and probability."""
+
+    def __init__(self, row: dict, model: Model):
+        self.row, self.model = row, model
+        self.types = np.frombuffer(row["types"], np.uint64)
+        self.at = spread(row["tokens"])
+        self.n = spread(row["sizes"])
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
         self.first = np.cumsum(self.n) - self.n
-        self.types, self.at = np.unique(self.tokens, return_inverse=True)
-        self.type_train = np.bincount(self.at, weights=self.train[self.doc], minlength=len(self.types)).astype(np.int64)
-
+        self.train = ~np.array([bool(x) for x in row["held_out"]], bool)
 
-def _request(layout: Layout):
-    def run(key, table):
-        c = Chunk(table)
-        part = layout.word_part(c.types)
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order in which types are asked for, and where partitions begin in it."""
+        part = self.model.word_part(self.types)
         order = np.argsort(part, kind="stable")
-        edges = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0)))
-        rows = [[], [], [], []]
+        return order, _runs(part[order])
+
+    def read_words(self, answers: list[dict]) -> None:
+        order, edges = self.words()
+        count, ids = np.zeros(len(self.types), np.int64), np.zeros(len(self.types), np.int64)
+        by_part = {a["part"]: a for a in answers if a["level"] == 1 and a["kind"] == REPLY}
+        part = self.model.word_part(self.types)
         for i in np.split(order, edges[1:]):
-            for column, x in zip(rows, (int(part[i[0]]), key[0].as_py(), c.types[i].tobytes(), squeeze(c.type_train[i])), strict=True):
-                column.append(x)
-        return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], ["part", "chunk", "words", "counts"])
+            a = by_part[int(part[i[0]])]
+            count[i], ids[i] = spread(a["counts"]), spread(a["ids"])
+        self.word_id = np.where(count > 0, ids, 0)[self.at]
+        self.count = count[self.at]
+        self.gram = self.word_id
+        self.p = self.model.word_p(self.count)
+
+    def ask(self, level: int) -> None:
+        """This level's distinct grams with a seen history, in the order (history, word), and their partitions. The beginning counts as
+        one word: tokens with fewer than level - 1 before them keep the probability that the shorter history gave."""
+        ctx, seen = np.concatenate(([0], self.gram[:-1])), np.concatenate(([0], self.count[:-1]))
+        seen[np.arange(len(seen)) - self.first[self.doc] < level - 2] = 0
+        if level == 2:
+            ctx[self.first], seen[self.first] = BEGIN_ID, self.model.docs
+        self.use = np.flatnonzero(seen > 0)
+        h, h_at = np.unique(ctx[self.use], return_inverse=True)
+        w, w_at = np.unique(self.word_id[self.use], return_inverse=True)
+        pair, self.pair_at = np.unique(h_at * max(len(w), 1) + w_at, return_inverse=True)
+        self.h, self.h_of = h, pair // max(len(w), 1)
+        self.h_count = np.zeros(len(h), np.int64)
+        self.h_count[h_at] = seen[self.use]
+        self.w = w[pair % max(len(w), 1)]
+        self.to = self.model.gram_part(h[self.h_of], self.w, self.h_count[self.h_of])
+        self.order = np.argsort(self.to, kind="stable")
+        self.edges = _runs(self.to[self.order])
+
+    def read_grams(self, answers: list[dict], level: int) -> None:
+        d = self.model.d[level - 1]
+        total, ids = np.zeros(len(self.w), np.int64), np.zeros(len(self.w), np.int64)
+        divisor, alpha = self.h_count.astype(np.float64), np.full(len(self.h), np.nan)
+        split = self.model.copies(self.h_count) > 1
+
+        def settle(h: np.ndarray, low: np.ndarray, big: np.ndarray, lower: np.ndarray) -> None:
+            divisor[h], left = shares(self.h_count[h], low, big, d)
+            alpha[h] = left / np.maximum(1 - lower, 1e-300)
+
+        by_part = {a["part"]: a for a in answers if a["level"] == level and a["kind"] == REPLY}
+        for i in np.split(self.order, self.edges[1:]) if len(self.order) else []:
+            a = by_part[int(self.to[i[0]])]
+            total[i] = spread(a["counts"])
+            if a["ids"]:
+                ids[i] = spread(a["ids"])
+            h = self.h_of[i][_runs(self.h_of[i])]
+            h = h[np.unpackbits(np.frombuffer(a["mask"], np.uint8), count=len(h)).astype(bool)]
+            stats = spread(a["stats"]).reshape(K + 1, -1)
+            whole = ~split[h]
+            settle(h[whole], stats[:K, whole], stats[K, whole], np.frombuffer(a["lower"], np.float64)[whole])
+        late = [a for a in answers if a["level"] == level and a["kind"] == SUMS]
+        if late:
+            sums = np.array([a["sums"] for a in late]).T
+            settle(np.searchsorted(self.h, np.array([a["ctx"][0] for a in late], np.int64)), sums[:K], sums[K], sums[K + 1])
+        t, h = total[self.pair_at], self.h_of[self.pair_at]
+        p, count, gram = self.p.copy(), np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
+        p[self.use] = np.where(t > 0, discounted(t, d) / divisor[h], alpha[h] * p[self.use])
+        count[self.use], gram[self.use] = t, ids[self.pair_at]
+        self.p, self.count, self.gram = p, count, gram
+
+    def read(self, answers: list[dict], levels: int) -> None:
+        self.read_words(answers)
+        self.n_known = np.bincount(self.doc, weights=self.count > 0, minlength=len(self.n)).astype(np.int64)
+        log_base = np.log10(self.count + 0.5)
+        self.base = np.bincount(self.doc, weights=log_base, minlength=len(self.n)) - self.n * np.log10(self.model.tokens + 0.5 * (self.model.types + 1))
+        for level in range(2, levels + 1):
+            self.ask(level)
+            self.read_grams(answers, level)
+
+
+def _ask_words(model: Model):
+    """The chunk's distinct words by partition, with their training counts."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for row in batch.to_pylist():
+                c = Chunk(row, model)
+                train = np.bincount(c.at, weights=c.train[c.doc], minlength=len(c.types)).astype(np.int64)
+                order, edges = c.words()
+                part = model.word_part(c.types)
+                for i in np.split(order, edges[1:]):
+                    for column, x in zip(out, (int(part[i[0]]), row["chunk"], c.types[i].tobytes(), squeeze(train[i])), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "chunk", "words", "counts"])
 
     return run
 
 
-def _count_words(key, table):
-    """Answers each chunk with its words' training counts; one row more has counts of counts and the sum and number of words."""
-    words = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
-    counts = [spread(x) for x in table.column("counts").to_pylist()]
-    unique, at = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts).astype(np.float64), minlength=len(unique)).astype(np.int64)
-    answers = np.split(total[at], np.cumsum([len(w) for w in words])[:-1])
-    low = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
-    big = total[total > K]
-    stats = [*low[: K + 2].tolist(), int(total.sum()), int((total > 0).sum()), int(big.sum()), len(big)]
-    chunks = [*table.column("chunk").to_pylist(), -1]
-    return pa.table([pa.array(chunks, pa.int64()), pa.array([key[0].as_py()] * len(chunks), pa.int64()), pa.array([*[squeeze(a) for a in answers], b""], pa.binary()), pa.array([*[[]] * len(answers), stats], pa.list_(pa.int64()))], ["chunk", "part", "counts", "stats"])
-
-
-_BIGRAMS = "part long, chunk long, kind int, h binary, hc binary, hn binary, w binary, wc binary, tc binary, seen binary, doc binary, tf binary"
-_NAMES = [x.split()[0] for x in _BIGRAMS.split(", ")]
-
-
-def _send(layout: Layout, uni: Unigrams, score: bool):
-    """The chunk's base row (kind 0) and its bigrams by partition (kind 1)."""
-
-    def run(key, texts, answers):
-        chunk = key[0].as_py()
-        out: dict[str, list] = {n: [] for n in _NAMES}
-
-        def put(part: int, kind: int, **data: np.ndarray | bytes) -> None:
-            for n in _NAMES[3:]:
-                x = data.get(n, b"")
-                out[n].append(x if isinstance(x, bytes) else x.tobytes())
-            out["part"].append(part)
-            out["chunk"].append(chunk)
-            out["kind"].append(kind)
-
-        if texts.num_rows:
-            c = Chunk(texts)
-            part = layout.word_part(c.types)
-            count = np.zeros(len(c.types), np.int64)
-            for p, x in zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist(), strict=True):
-                count[part == p] = spread(x)
-            wc = count[c.at]
-            h_at = np.concatenate(([len(c.types)], c.at[:-1]))
-            h_at[c.first] = len(c.types)
-            hc = np.append(count, uni.docs)[h_at]
-            use = hc >= layout.min_history
-            if score:
-                n_docs = len(c.n)
-                base = np.bincount(c.doc, weights=np.log10(wc + 0.5), minlength=n_docs) - c.n * np.log10(uni.tokens + 0.5 * (uni.types + 1))
-                plain = np.bincount(c.doc[~use], weights=np.log10(uni.p(wc[~use])), minlength=n_docs)
-                known = np.bincount(c.doc, weights=wc > 0, minlength=n_docs).astype(np.int64)
-                ids = np.array([x or 0 for x in c.ids], np.int64)
-                null = np.array([x is None for x in c.ids], np.uint8)
-                put(layout.parts + chunk, 0, h=ids, hc=c.n.astype(np.int64), hn=known, w=base, wc=plain, tc=(~c.train).astype(np.uint8), seen=null)
-            if use.any():
-                wide = len(c.types) + 1
-                pair = h_at[use] * wide + c.at[use]
-                pairs, at = np.unique(pair, return_inverse=True)
-                tc = np.bincount(at, weights=c.train[c.doc[use]], minlength=len(pairs))
-                places, tf = np.unique(at * len(c.n) + c.doc[use], return_counts=True)
-                seen = np.bincount(places // len(c.n), minlength=len(pairs))
-                begin = np.cumsum(seen) - seen
-                h, w = np.append(c.types, BEGIN)[pairs // wide], c.types[pairs % wide]
-                h_count = np.append(count, uni.docs)[pairs // wide]
-                to = layout.bigram_part(h, w, h_count)
-                order = np.argsort(to, kind="stable")
-                edges = np.flatnonzero(np.concatenate(([True], np.diff(to[order]) != 0)))
-                for i in np.split(order, edges[1:]):
-                    new = np.flatnonzero(np.concatenate(([True], h[i][1:] != h[i][:-1])))
-                    data = {"h": h[i][new].tobytes(), "hc": squeeze(h_count[i][new]), "hn": squeeze(np.diff(np.append(new, len(i)))), "w": w[i].tobytes(), "wc": squeeze(count[pairs[i] % wide]), "tc": squeeze(tc[i])}
-                    if score:
-                        n = seen[i]
-                        inside = np.repeat(begin[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        data |= {"seen": squeeze(n), "doc": squeeze(places[inside] % len(c.n)), "tf": squeeze(tf[inside])}
-                    put(int(to[i[0]]), 1, **data)
-        kinds = {"part": pa.int64(), "chunk": pa.int64(), "kind": pa.int32()}
-        return pa.table([pa.array(out[n], kinds.get(n, pa.binary())) for n in _NAMES], _NAMES)
+def _ids(total: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Ids of the counted from 1 on, by falling count in their partition, which is the remainder; 0 for what wasn't seen."""
+    out = np.zeros(len(total), np.int64)
+    order = np.argsort(-total, kind="stable")
+    out[order] = np.arange(len(total)) * parts + part + 1
+    return np.where(total > 0, out, 0)
+
+
+def _totals(level: int, total: np.ndarray) -> dict:
+    """Counts of counts up to K + 1, tokens, types and tokens of those seen more than K times."""
+    low = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]
+    sums = [*low, total.sum(), (total > 0).sum(), total[total > K].sum()]
+    return {"chunk": -1, "level": level, "kind": TOTALS, "sums": [float(x) for x in sums]}
+
+
+def _count_words(model: Model):
+    def run(key, table):
+        part = key[0].as_py()
+        words = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
+        counts = [spread(x) for x in table.column("counts").to_pylist()]
+        unique, at = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate(counts).astype(np.float64), minlength=len(unique)).astype(np.int64)
+        ids, begin, rows = _ids(total, part, model.parts), 0, [_totals(1, total)]
+        for chunk, w in zip(table.column("chunk").to_pylist(), words, strict=True):
+            here = at[begin : begin + len(w)]
+            begin += len(w)
+            rows.append({"chunk": chunk, "level": 1, "kind": REPLY, "part": part, "counts": squeeze(total[here]), "ids": squeeze(ids[here])})
+        return _answers(rows)
 
     return run
 
 
-_PARTIAL = "chunk long, kind int, h long, doc binary, value binary, a double, b double, n long, stats array<long>"
+_MESSAGE = "part long, chunk long, h binary, h_count binary, h_runs binary, w binary, train binary, lower_values binary, lower_at binary"
+_MESSAGE_NAMES = [x.split()[0] for x in _MESSAGE.split(", ")]
+
+
+def _ask_grams(model: Model, level: int):
+    """The chunk's distinct grams of this level by partition, with their training counts and the shorter history's probability."""
+
+    def run(key, chunks, answers):
+        out: dict[str, list] = {n: [] for n in _MESSAGE_NAMES}
+        replies = answers.to_pylist()
+        for row in chunks.to_pylist():
+            c = Chunk(row, model)
+            c.read(replies, level - 1)
+            c.ask(level)
+            train = np.bincount(c.pair_at, weights=c.train[c.doc[c.use]], minlength=len(c.w)).astype(np.int64)
+            lower = np.zeros(len(c.w))
+            lower[c.pair_at] = c.p[c.use]
+            for i in np.split(c.order, c.edges[1:]) if len(c.order) else []:
+                begin = _runs(c.h_of[i])
+                h = c.h_of[i][begin]
+                values, at = squeeze_floats(lower[i])
+                data = (int(c.to[i[0]]), row["chunk"], squeeze(np.diff(c.h[h], prepend=0)), squeeze(c.h_count[h]), squeeze(np.diff(np.append(begin, len(i)))), squeeze(c.w[i]), squeeze(train[i]), values, at)
+                for n, x in zip(_MESSAGE_NAMES, data, strict=True):
+                    out[n].append(x)
+        return pa.table([pa.array(out[n], pa.int64() if n in ("part", "chunk") else pa.binary()) for n in _MESSAGE_NAMES], _MESSAGE_NAMES)
+
+    return run
 
 
-def _count_bigrams(layout: Layout, uni: Unigrams, d: np.ndarray | None):
-    """Counts a partition's bigrams. Without d: counts of counts (kind 3). With d: scores summed by document (kind 1),
-    what split histories add (kind 4) and where their unseen words stand (kind 2); base rows pass through."""
+def _count_grams(model: Model, level: int):
+    """Counts a partition's grams and answers the chunks; of histories with unseen words or without low counts it tells the sums too."""
 
     def run(key, table):
-        rows: list[tuple] = []
-        get = {n: table.column(n).to_pylist() for n in _NAMES}
-        if get["kind"][0] == 0:
-            return pa.table([pa.array([x], t) for x, t in zip((get["chunk"][0], 0, 0, None, None, 0.0, 0.0, 0, []), _partial_types(), strict=True)], _partial_names())
-        h_each, hc_each = [], []
-        for h, hc, hn in zip(get["h"], get["hc"], get["hn"], strict=True):
-            times = spread(hn)
-            h_each.append(np.repeat(np.frombuffer(h, np.uint64), times))
-            hc_each.append(np.repeat(spread(hc), times))
-        sizes = [len(x) for x in h_each]
-        h, hc = np.concatenate(h_each), np.concatenate(hc_each)
-        w = np.concatenate([np.frombuffer(x, np.uint64) for x in get["w"]])
-        wc = np.concatenate([spread(x) for x in get["wc"]])
-        tc = np.concatenate([spread(x) for x in get["tc"]])
+        part = key[0].as_py()
+        get = {n: table.column(n).to_pylist() for n in _MESSAGE_NAMES}
+        runs = [spread(x) for x in get["h_runs"]]
+        histories = [np.cumsum(spread(x)) for x in get["h"]]
+        sizes = [int(x.sum()) for x in runs]
+        h = np.concatenate([np.repeat(a, b) for a, b in zip(histories, runs, strict=True)])
+        h_count = np.concatenate([np.repeat(spread(a), b) for a, b in zip(get["h_count"], runs, strict=True)])
+        w = np.concatenate([spread(x) for x in get["w"]])
+        train = np.concatenate([spread(x) for x in get["train"]])
+        lower = np.concatenate([np.frombuffer(a, np.float64)[spread(b)] for a, b in zip(get["lower_values"], get["lower_at"], strict=True)])
         order = np.lexsort((w, h))
         new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])))
         first = np.flatnonzero(new)
-        total = np.add.reduceat(tc[order], first)
-        if d is None:
-            low = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
-            rows.append((-1, 3, 0, None, None, 0.0, 0.0, 0, low[: K + 2].tolist()))
-        else:
-            kind_of = np.empty(len(h), np.int64)
-            kind_of[order] = np.cumsum(new) - 1
-            g_h, g_w = h[order][first], wc[order][first]
-            h_first = np.flatnonzero(np.concatenate(([True], g_h[1:] != g_h[:-1])))
-            h_count = hc[order][first][h_first]
-            mass = np.add.reduceat(np.where(total > 0, discounted(total, d), 0.0), h_first)
-            lower = np.add.reduceat(np.where(total > 0, uni.p(g_w), 0.0), h_first)
-            split = layout.copies(h_count) > 1
-            with np.errstate(divide="ignore", invalid="ignore"):
-                alpha = np.log10(np.maximum(1 - mass / h_count, 1e-12) / np.maximum(1 - lower, 1e-12))
-            owner = np.cumsum(np.concatenate(([True], g_h[1:] != g_h[:-1]))) - 1
-            late = split[owner] & (total == 0)
-            with np.errstate(divide="ignore"):
-                logp = np.where(total > 0, np.log10(np.maximum(discounted(total, d), 1e-300) / h_count[owner]), np.log10(uni.p(g_w)) + np.where(late, 0.0, alpha[owner]))
-            for i in np.flatnonzero(split):
-                rows.append((-1, 4, int(g_h[h_first[i]].view(np.int64)), None, None, float(mass[i]), float(lower[i]), int(h_count[i]), []))
-            at = 0
-            for chunk, n, seen, doc, tf in zip(get["chunk"], sizes, get["seen"], get["doc"], get["tf"], strict=True):
-                g = kind_of[at : at + n]
-                times, docs, tfs = spread(seen), spread(doc), spread(tf)
-                where, into = np.unique(docs, return_inverse=True)
-                value = np.bincount(into, weights=np.repeat(logp[g], times) * tfs, minlength=len(where))
-                rows.append((chunk, 1, 0, where.astype(np.uint32).tobytes(), value.tobytes(), 0.0, 0.0, 0, []))
-                open_ = np.repeat(late[g], times)
-                if open_.any():
-                    hs = np.repeat(g_h[g], times)[open_]
-                    for one in np.unique(hs):
-                        hit = hs == one
-                        rows.append((chunk, 2, int(one.view(np.int64)), docs[open_][hit].astype(np.uint32).tobytes(), tfs[open_][hit].astype(np.float64).tobytes(), 0.0, 0.0, 0, []))
-                at += n
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
-        return pa.table([pa.array(c, t) for c, t in zip(columns, _partial_types(), strict=True)], _partial_names())
+        total = np.add.reduceat(train[order], first)
+        gram_of = np.empty(len(h), np.int64)
+        gram_of[order] = np.cumsum(new) - 1
+        g_h, g_lower = h[order][first], lower[order][first]
+        h_first = _runs(g_h)
+        owner = np.repeat(np.arange(len(h_first)), np.diff(np.append(h_first, len(g_h))))
+        low = np.stack([np.add.reduceat((total == r).astype(np.int64), h_first) for r in range(1, K + 1)])
+        big = np.add.reduceat(np.where(total > K, total, 0), h_first)
+        seen_lower = np.add.reduceat(np.where(total > 0, g_lower, 0.0), h_first)
+        full = low.sum(0) == 0
+        split = model.copies(h_count[order][first][h_first]) > 1
+        ids = _ids(total, part, model.parts) if level < model.order else None
+        rows, begin = [_totals(level, total)], 0
+        for k in np.flatnonzero(split):
+            rows.append({"chunk": -1, "level": level, "kind": PART_SUMS, "ctx": [int(g_h[h_first[k]])], "sums": [*map(float, low[:, k]), float(big[k]), float(seen_lower[k])]})
+        for chunk, n, each in zip(get["chunk"], sizes, runs, strict=True):
+            g = gram_of[begin : begin + n]
+            begin += n
+            starts = np.cumsum(each) - each
+            own = owner[g[starts]]
+            mask = np.add.reduceat((total[g] == 0).astype(np.int64), starts).astype(bool) | full[own]
+            told = own[mask]
+            reply = {"chunk": chunk, "level": level, "kind": REPLY, "part": part, "counts": squeeze(total[g]), "mask": np.packbits(mask).tobytes()}
+            reply |= {"stats": squeeze(np.concatenate((low[:, told], big[None, told])).ravel()), "lower": seen_lower[told].tobytes()}
+            if ids is not None:
+                reply["ids"] = squeeze(ids[g])
+            rows.append(reply)
+            if split[told].any():
+                rows.append({"chunk": chunk, "level": level, "kind": NEED, "ctx": [int(x) for x in g_h[h_first[told[split[told]]]]]})
+        return _answers(rows)
 
     return run
 
 
-def _partial_types() -> list:
-    return [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
-
-
-def _partial_names() -> list[str]:
-    return [x.split()[0] for x in _PARTIAL.split(", ")]
-
-
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _finish(uni: Unigrams, alphas: dict[int, float]):
-    def run(key, base, parts):
-        get = {n: base.column(n).to_pylist() for n in _NAMES[3:]}
-        ids, null = np.frombuffer(get["h"][0], np.int64), np.frombuffer(get["seen"][0], np.uint8)
-        score = np.frombuffer(get["wc"][0], np.float64).copy()
-        for kind, h, doc, value in zip(*(parts.column(n).to_pylist() for n in ("kind", "h", "doc", "value")), strict=True):
-            np.add.at(score, np.frombuffer(doc, np.uint32), np.frombuffer(value, np.float64) * (alphas[h] if kind == 2 else 1.0))
-        n = len(ids)
-        return pa.table(
-            [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(np.frombuffer(get["tc"][0], np.uint8).astype(bool)), pa.array(np.frombuffer(get["hc"][0], np.int64)), pa.array(np.frombuffer(get["hn"][0], np.int64)), pa.array(np.full(n, uni.tokens, np.int64)), pa.array(np.frombuffer(get["w"][0], np.float64)), pa.array(score)],
-            [x.split()[0] for x in _SCORED.split(", ")],
-        )
+def _finish(model: Model):
+    def run(key, chunks, answers):
+        tables, replies = [], answers.to_pylist()
+        for row in chunks.to_pylist():
+            c = Chunk(row, model)
+            c.read(replies, model.order)
+            score = np.bincount(c.doc, weights=np.log10(c.p), minlength=len(c.n))
+            columns = (pa.array(row["ids"], pa.int64()), pa.array(~c.train), pa.array(c.n), pa.array(c.n_known), pa.array(np.full(len(c.n), model.tokens, np.int64)), pa.array(c.base), pa.array(score))
+            tables.append(pa.table(columns, [x.split()[0] for x in _SCORED.split(", ")]))
+        return pa.concat_tables(tables) if tables else pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], [x.split()[0] for x in _SCORED.split(", ")])
 
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, chunk_docs: int = 1024, min_history: int = 4, max_parts: int = 4096) -> DataFrame:
+def _sum_totals(answers: DataFrame, level: int) -> list[float]:
+    row = answers.filter(f"level = {level} and kind = {TOTALS}").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(K + 4)]).first()
+    return [x or 0.0 for x in row]
+
+
+def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, order: int = 2, chunk_bytes: int = 4_000_000, part_tokens: int = 1_000_000, split: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
-    Learns from the rows whose crc32(doc_id as text) mod folds isn't held_fold; the base score is the smoothed
-    unigram one, score the model's log10 probability with a begin before the first token. Histories seen fewer than min_history
-    times in training back off to unigrams with weight one. A null text is empty (one token: the end); a null
-    doc_id counts as the empty text for the fold. Repeated rows count as often as they stand. An empty table gives no
-    rows. Words are told apart by 64-bit hashes. Other columns are ignored.
+    Learns n-grams up to `order` from the rows whose crc32(doc_id as text) mod folds isn't held_fold; the base score is
+    the smoothed unigram one, score the model's log10 probability, with the beginning as history of the first token. Discounts
+    are those of discounts(), by level; counts above K aren't discounted, and a history whose counts all are above K
+    has one token more, which goes to the unseen. Among words, the mass left is shared by as many unseen types as there
+    are seen ones. A null text is empty (one token: the end), very long ones are taken whole; a null doc_id counts as the
+    empty text for the fold. Repeated rows count as often as they stand. An empty table gives no rows, one without training rows
+    scores 0 a token. Words are told apart by 64-bit hashes. Other columns are ignored, whatever their names. split: the count from
+    which a history is dealt over partitions; by default part_tokens.
     """
     spark = docs.sparkSession
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     held_out = F.crc32(name.cast("binary")) % folds == held_fold
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"), F.xxhash64("text").alias("tie"))
-    sizes = rows.agg(F.count(F.lit(1)), F.count(F.when(~held_out, 1))).first()
-    if not sizes[0]:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
+    chunks = materialize(rows.mapInArrow(_pack(chunk_bytes), _CHUNK))
+    n_docs, n_train, n_tokens = chunks.agg(F.sum("n_docs"), F.sum("n_train"), F.sum("n_tokens")).first()
+    if not n_docs:
+        discard(chunks)
         return spark.createDataFrame([], _SCORED)
-    n_chunks = -(-sizes[0] // chunk_docs)
-    n_parts = min(max_parts, max(16, n_chunks // 2))
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(n_chunks))).mapInArrow(_pack, _ROWS)
-
-    layout = Layout(n_parts, 1, min_history)
-    asked = chunked.groupBy("chunk").applyInArrow(_request(layout), "part long, chunk long, words binary, counts binary")
-    answers = materialize(asked.groupBy("part").applyInArrow(_count_words, "chunk long, part long, counts binary, stats array<long>"))
-    release(spark)
-    stats = [r[0] for r in answers.filter("chunk = -1").select("stats").collect()]  # one short row for each of max_parts partitions
-    n = [sum(s[i] for s in stats) for i in range(K + 2)]
-    tokens, types, big, n_big = (sum(s[K + 2 + i] for s in stats) for i in range(4))
-    d = discounts(n)
-    mass = sum(d[r] * r * n[r] for r in range(1, K + 1)) + big - n_big * K * (1 - d[K])
-    uni = Unigrams.of(tokens, types, sizes[1], n, mass)
-    layout = Layout(n_parts, max(10_000, tokens // (2 * n_parts)), min_history)
-
-    own = answers.filter("chunk >= 0").select("chunk", "part", "counts")
-
-    def sent(score: bool) -> DataFrame:
-        return chunked.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_send(layout, uni, score), _BIGRAMS)
-
-    counted = sent(False).groupBy("part").applyInArrow(_count_bigrams(layout, uni, None), _PARTIAL)
-    counted = materialize(counted.select("stats"))
-    low = [r[0] for r in counted.collect()]  # one short row a partition
-    pairs = discounts([sum(s[i] for s in low) for i in range(K + 2)])
-    discard(counted)
-    release(spark)
+    parts = max(16, -(-n_tokens // part_tokens))
+    model = Model(parts, split or part_tokens, order, 0, 0, n_train)
 
-    bases = sent(True)
-    both = materialize(_keep_base(bases, layout, uni, pairs))
+    asked = chunks.mapInArrow(_ask_words(model), "part long, chunk long, words binary, counts binary")
+    answers = [materialize(asked.groupBy("part").applyInArrow(_count_words(model), _ANSWER))]
     release(spark)
-    discard(answers)
-    split = both.filter("kind = 4").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("n").alias("n")).collect()  # at most 2 * max_parts histories
-    alphas = {r["h"]: float(np.log10(max(1 - r["a"] / r["n"], 1e-12) / max(1 - r["b"], 1e-12))) for r in split}
-    base = both.filter("kind = 0").select("chunk", "base.*")
-    partial = both.filter("kind in (1, 2)").select("chunk", "kind", "h", "doc", "value")
-    return base.groupBy("chunk").cogroup(partial.groupBy("chunk")).applyInArrow(_finish(uni, alphas), _SCORED)
-
-
-def _keep_base(sent: DataFrame, layout: Layout, uni: Unigrams, d: np.ndarray) -> DataFrame:
-    """The partitions' partial sums, with the chunks' base rows beside them."""
-    inner = ", ".join(f"{n}:binary" for n in _NAMES[3:])
-    schema = f"{_PARTIAL}, base struct<{inner}>"
-    count = _count_bigrams(layout, uni, d)
-
-    def run(key, table):
-        out = count(key, table)
-        kind = pa.struct([(n, pa.binary()) for n in _NAMES[3:]])
-        if table.column("kind")[0].as_py() == 0:
-            base = [{n: table.column(n)[0].as_py() for n in _NAMES[3:]}]
-        else:
-            base = [None] * out.num_rows
-        return out.append_column("base", pa.array(base, kind))
-
-    return sent.groupBy("part").applyInArrow(run, schema)
+    *low, tokens, types, big = _sum_totals(answers[0], 1)
+    d = discounts([0, *low])
+    divisor, left = shares(tokens, np.array(low[:K])[:, None], big, d)
+    model = Model(parts, model.split, order, int(tokens), int(types), n_train, (d,), float(divisor[0]), float(left[0]))
+
+    def replies() -> DataFrame:
+        out = None
+        for a in answers:
+            out = a if out is None else out.unionByName(a)
+        return out.filter(F.col("kind").isin(REPLY, SUMS)).groupBy("chunk")
+
+    for level in range(2, order + 1):
+        sent = chunks.groupBy("chunk").cogroup(replies()).applyInArrow(_ask_grams(model, level), _MESSAGE)
+        counted = materialize(sent.groupBy("part").applyInArrow(_count_grams(model, level), _ANSWER))
+        release(spark)
+        answers.append(counted)
+        need = counted.filter(F.col("kind") == NEED).select("chunk", F.explode("ctx").alias("h")).distinct()
+        sums = counted.filter(F.col("kind") == PART_SUMS).select(F.get("ctx", F.lit(0)).alias("h"), "sums")
+        sums = sums.groupBy("h").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(K + 2)]).alias("sums"))
+        none = [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in _ANSWER.split(", ")[3:9])]
+        answers.append(materialize(need.join(sums, "h").select("chunk", F.lit(level).alias("level"), F.lit(SUMS).alias("kind"), *none, F.array("h").alias("ctx"), "sums")))
+        *low, _, _, _ = _sum_totals(counted, level)
+        model = Model(parts, model.split, order, model.tokens, model.types, n_train, (*model.d, discounts([0, *low])), model.divisor, model.left)
+
+    out = materialize(chunks.groupBy("chunk").cogroup(replies()).applyInArrow(_finish(model), _SCORED))
+    for t in (chunks, *answers):
+        discard(t)
+    return out

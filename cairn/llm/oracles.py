@@ -84,5 +84,47 @@ FROM d JOIN h ON h.s = d.mix_source JOIN z ON z.s = d.mix_source AND z.turn = d.
 """
 
 
+def _nibbles() -> list[int]:
+    """The CRC-32 remainder of each value of four bits."""
+    out = list(range(16))
+    for _ in range(4):
+        out = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in out]
+    return out
+
+
+def _crc32(text: str) -> str:
+    half = lambda x: f"xor({x} >> 4, {_nibbles()}[({x} & 15) + 1])"
+    step = half(half("xor(a, b)"))
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: {step}), 4294967295)"
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+#: Histories begin with ' ' and texts end with '', neither of which is a word.
+OP8 = f"""
+WITH x AS (SELECT doc_id, {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 1 AS held_out, {_WORDS} AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(list_prepend(' ', w)) AS h, unnest(list_append(w, '')) AS w FROM x),
+u AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+b AS (SELECT h, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY h, w),
+n AS (SELECT l, list_transform(range(1, 7), lambda r: CAST(len(list_filter(cs, lambda c: c = r)) AS DOUBLE)) AS n
+  FROM (SELECT 1 AS l, list(c) FILTER (c <= 6) AS cs FROM u UNION ALL SELECT 2, list(c) FILTER (c <= 6) FROM b)),
+g AS (SELECT l, r, list_extract(n, r) AS m FROM n, (SELECT unnest(range(1, 7)) AS r)),
+f AS (SELECT l, CASE WHEN count(*) FILTER (m > 0) > 1 THEN least(-1.1, regr_slope(ln(m), ln(r)) FILTER (m > 0)) ELSE -2.0 END AS slope FROM g GROUP BY l),
+y AS (SELECT l, k, list_transform(range(1, 6), lambda r: ((r + 1) * m[r + 1] / (r * m[r]) - 6 * m[6] / m[1]) / (1 - 6 * m[6] / m[1])) AS d
+  FROM (SELECT l, 0 AS k, n AS m FROM n UNION ALL SELECT l, 1, list_transform(range(1, 7), lambda r: pow(r, slope)) FROM f)),
+d AS (SELECT l, arg_min(d, k) AS d FROM y WHERE k = 1 OR len(list_filter(d, lambda z: z > 0 AND z < 1 AND NOT isnan(z))) = 5 GROUP BY l),
+v AS (SELECT u.w, u.c, CASE WHEN c > 5 THEN c ELSE d[c] * c END AS kept FROM u, d WHERE l = 1),
+s AS (SELECT sum(c) AS n, count(*) AS v, sum(c) + CAST(min(c) > 5 AS INT) AS divisor, sum(kept) AS mass FROM v),
+p AS (SELECT w, c, kept / divisor AS p FROM v, s),
+q AS (SELECT h, b.w, b.c, CASE WHEN b.c > 5 THEN b.c ELSE d[b.c] * b.c END AS kept, p.p FROM b JOIN p ON p.w = b.w, d WHERE l = 2),
+a AS (SELECT h, sum(c) + CAST(min(c) > 5 AS INT) AS divisor, (1 - sum(kept) / (sum(c) + CAST(min(c) > 5 AS INT))) / (1 - sum(p)) AS alpha FROM q GROUP BY h)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(p.c) AS n_known, CAST(any_value(s.n) AS BIGINT) AS train_tokens,
+  sum(log10((coalesce(p.c, 0) + 0.5) / (s.n + 0.5 * (s.v + 1)))) AS base_score,
+  sum(log10(CASE WHEN q.c IS NOT NULL THEN q.kept / a.divisor ELSE coalesce(a.alpha, 1) * coalesce(p.p, (1 - s.mass / s.divisor) / s.v) END)) AS score
+FROM t LEFT JOIN p ON p.w = t.w LEFT JOIN q ON q.h = t.h AND q.w = t.w LEFT JOIN a ON a.h = t.h, s
+GROUP BY doc_id, held_out
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2, "op5_jaccard_join": OP5, "op7_mix_sources": OP7, "op10_chat_format": OP10}
+    return {"op2_top_k": OP2, "op5_jaccard_join": OP5, "op7_mix_sources": OP7, "op8_katz_scores": OP8, "op10_chat_format": OP10}

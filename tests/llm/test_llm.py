@@ -483,89 +483,131 @@ def test_mixture_keeps_all_and_follows_targets(spark):
 # 8
 
 
-def test_katz_equals_brute_force(spark):
-    rnd = random.Random(12)
-    vocab = [f"w{int(rnd.paretovariate(1.1))}" for _ in range(300)]
-    data = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(0, 80)))) for i in range(300)] + [(1000, None), (1001, "New WORDS")]
-    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("score", F.lit(1))
-    toks = {d: [*WORD.findall(lower(t)), "</>"] for d, t in data}
-    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in toks}
-    uni, bi, hist = Counter(), Counter(), Counter()
-    for d, w in toks.items():
-        if not held[d]:
-            h = ["<>", *w[:-1]]
-            uni.update(w)
-            bi.update(zip(h, w, strict=True))
-            hist.update(h)
-
-    def disc(counts):
-        n = Counter(counts)
-        d = katz.discounts([0, *[n[r] for r in range(1, 7)]])
-        return lambda r: r - 5 * (1 - d[5]) if r > 5 else d[r] * r
-
-    n, v = sum(uni.values()), len(uni)
-    du, db = disc(uni.values()), disc([c for (h, _), c in bi.items() if hist[h] >= 4])
-    left = 1 - sum(map(du, uni.values())) / n
-    p = lambda w: du(uni[w]) / n if w in uni else left / v
-    after = defaultdict(list)
-    for (h, w), c in bi.items():
-        after[h].append((w, c))
-    alpha = {h: (1 - sum(db(c) for _, c in f) / hist[h]) / (1 - sum(p(w) for w, _ in f)) for h, f in after.items()}
-    for h in [x for x in after if hist[x] >= 4][:10]:
-        assert abs(sum(db(c) / hist[h] for _, c in after[h]) + alpha[h] * (sum(p(w) for w in uni if not bi[h, w]) + left) - 1) < 1e-9
-    for kwargs in ({}, {"chunk_docs": 20, "max_parts": 16}):
-        for r in katz.score_documents(df, **kwargs).collect():
-            w = toks[r["doc_id"]]
-            want = sum(math.log10(p(x) if hist[g] < 4 else db(bi[g, x]) / hist[g] if bi[g, x] else alpha[g] * p(x)) for g, x in zip(["<>", *w[:-1]], w, strict=True))
-            base = sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(w), sum(x in uni for x in w), n)
-            assert abs(r["score"] - want) < 1e-8 and abs(r["base_score"] - base) < 1e-8
-    assert katz.score_documents(df.limit(0)).collect() == []
-
-
-def test_split_histories_score_alike(spark, monkeypatch):
-    data = [(i, " ".join(f"the w{(i * 7 + k) % 50}" for k in range(40))) for i in range(60)]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    one = {r["doc_id"]: r["score"] for r in katz.score_documents(df).collect()}
-    real = katz.Layout.copies
-    monkeypatch.setattr(katz, "max", lambda *a: 50 if a and a[0] == 10_000 else max(*a), raising=False)
-    two = {r["doc_id"]: r["score"] for r in katz.score_documents(df).collect()}
-    assert real and all(abs(one[d] - two[d]) < 1e-8 for d in one)
-
-
-def test_registered_katz_counts_and_scores_rare_histories(spark, tmp_path):
-    rnd = random.Random(14)
-    vocab = [f"w{int(rnd.paretovariate(0.8))}" for _ in range(3000)]
-    data = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(0, 40)))) for i in range(200)]
-    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    toks = {d: [*WORD.findall(t), "</>"] for d, t in data}
-    uni, bi, hist = Counter(), Counter(), Counter()
-    for d, w in toks.items():
-        if zlib.crc32(str(d).encode()) % 5 != 1:
-            h = ["<>", *w[:-1]]
-            uni.update(w)
-            bi.update(zip(h, w, strict=True))
-            hist.update(h)
-
-    def disc(counts):
-        n = Counter(counts)
-        d = katz.discounts([0, *[n[r] for r in range(1, 7)]])
-        return lambda r: r - 5 * (1 - d[5]) if r > 5 else d[r] * r
-
-    n, v = sum(uni.values()), len(uni)
-    du, db = disc(uni.values()), disc(bi.values())
-    left = 1 - sum(map(du, uni.values())) / n
-    p = lambda w: du(uni[w]) / n if w in uni else left / v
-    after = defaultdict(list)
-    for (h, w), c in bi.items():
-        after[h].append((w, c))
-    alpha = {h: (1 - sum(db(c) for _, c in f) / hist[h]) / (1 - sum(p(w) for w, _ in f)) for h, f in after.items()}
-    assert any(bi[g, x] and hist[g] < 4 for w in toks.values() for g, x in zip(w, w[1:], strict=False))
-    got = {r["doc_id"]: r["score"] for r in queries.op8_katz_scores(spark, str(tmp_path)).collect()}
-    assert set(got) == set(toks)
-    for d, w in toks.items():
-        want = sum(math.log10(db(bi[g, x]) / hist[g] if bi[g, x] else alpha.get(g, 1.0) * p(x)) for g, x in zip(["<>", *w[:-1]], w, strict=True))
-        assert abs(got[d] - want) < 1e-8
+def good_turing(counts):
+    """Ratios for 1 to 5, worked out from the definition alone."""
+    n = Counter(counts)
+
+    def ratio(r, n):
+        a = 6 * n[6] / n[1]
+        return ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a)
+
+    try:
+        d = [ratio(r, n) for r in range(1, 6)]
+    except ZeroDivisionError:
+        d = [-1]
+    if not all(0 < x < 1 for x in d):
+        pts = [(math.log(r), math.log(n[r])) for r in range(1, 7) if n[r]]
+        slope = -2.0
+        if len(pts) > 1:
+            mx, my = (sum(p[i] for p in pts) / len(pts) for i in (0, 1))
+            slope = min(-1.1, sum((x - mx) * (y - my) for x, y in pts) / sum((x - mx) ** 2 for x, y in pts))
+        d = [ratio(r, {k: k**slope for k in range(1, 7)}) for r in range(1, 6)]
+    return lambda c: c if c > 5 else d[c - 1] * c
+
+
+class BruteKatz:
+    """Katz backoff over whole histories as tuples."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.grams = [Counter() for _ in range(order + 1)]
+        for w in texts:
+            for m in range(1, order + 1):
+                self.grams[m].update(self.gram(w, i, m) for i in range(max(m - 2, 0), len(w)))
+        self.d = [None, *[good_turing(c.values()) for c in self.grams[1:]]]
+        self.n, self.v = sum(self.grams[1].values()), len(self.grams[1])
+        self.full = not any(c <= 5 for c in self.grams[1].values())
+        self.left = (1 if self.full else self.n - sum(map(self.d[1], self.grams[1].values()))) / (self.n + self.full)
+        self.after = [None, None, *[defaultdict(list) for _ in range(2, order + 1)]]
+        for m in range(2, order + 1):
+            for g, c in self.grams[m].items():
+                self.after[m][g[:-1]].append((g[-1], c))
+
+    @staticmethod
+    def gram(w, i, m):
+        """The m words up to i, of which the beginning may be one."""
+        return ("<>", *w[: i + 1]) if i + 1 < m else tuple(w[i + 1 - m : i + 1])
+
+    def p(self, history, w):
+        if not history:
+            c = self.grams[1][(w,)]
+            return self.d[1](c) / (self.n + self.full) if c else self.left / self.v
+        m = len(history) + 1
+        seen = self.after[m][history]
+        lower = lambda x: self.p(history[1:], x)
+        if not seen:
+            return lower(w)
+        total = sum(c for _, c in seen)
+        full = all(c > 5 for _, c in seen)
+        for x, c in seen:
+            if x == w:
+                return self.d[m](c) / (total + full)
+        left = (1 if full else total - sum(self.d[m](c) for _, c in seen)) / (total + full)
+        return left / (1 - sum(lower(x) for x, _ in seen)) * lower(w)
+
+    def score(self, w):
+        out = 0.0
+        for i, x in enumerate(w):
+            out += math.log10(self.p(("<>", *w[:i])[-(self.order - 1) :] if self.order > 1 else (), x))
+        return out
+
+
+def katz_case(seed):
+    rnd = random.Random(seed)
+    vocab = [f"w{int(rnd.paretovariate(1.1))}" for _ in range(200)]
+    data = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(0, 60)))) for i in range(150)]
+    data += [(200 + i, "always never") for i in range(60)]  # a history all of whose counts are high
+    kept_out = [i for i in range(400, 500) if zlib.crc32(str(i).encode()) % 5 == 1]
+    data += [(kept_out[0], "always else"), (kept_out[1], "always"), (1000, None), (1001, "New WORDS")]
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in data}
+    return data, {d: [*WORD.findall(lower(t)), "</>"] for d, t in data}, held
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("kwargs", [{}, {"chunk_bytes": 500, "part_tokens": 300, "split": 20}])
+def test_katz_equals_brute_force(spark, order, kwargs):
+    data, toks, held = katz_case(12)
+    brute = BruteKatz([w for d, w in toks.items() if not held[d]], order)
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("chunk", F.lit("x"))
+    got = katz.score_documents(df, order=order, **kwargs).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(toks)
+    for r in got:
+        w = toks[r["doc_id"]]
+        base = sum(math.log10((brute.grams[1][(x,)] + 0.5) / (brute.n + 0.5 * (brute.v + 1))) for x in w)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(w), sum((x,) in brute.grams[1] for x in w), brute.n)
+        assert abs(r["base_score"] - base) < 1e-8 and abs(r["score"] - brute.score(w)) < 1e-8
+
+
+def test_katz_histories_sum_to_one():
+    data, toks, held = katz_case(13)
+    brute = BruteKatz([w for d, w in toks.items() if not held[d]], 2)
+    assert not any(c <= 5 for _, c in brute.after[2][("always",)])
+    for h in [("always",), *list(brute.after[2])[:20]]:
+        seen = {w for w, _ in brute.after[2][h]}
+        unseen = (1 - sum(brute.p((), w) for w in seen)) / brute.p((), "unheard of") * brute.p(h, "unheard of")
+        assert abs(sum(brute.p(h, w) for w in seen) + unseen - 1) < 1e-9
+
+
+def test_katz_edges(spark):
+    assert katz.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    rows = katz.score_documents(spark.createDataFrame([(None, "a b"), (7, "x " * 50_000), (7, "x " * 50_000)], "doc_id long, text string")).collect()
+    assert sorted(r["n_tokens"] for r in rows) == [3, 50_001, 50_001] and len({r["score"] for r in rows if r["doc_id"] == 7}) == 1
+    only_held = next(str(i) for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    (r,) = katz.score_documents(spark.createDataFrame([(int(only_held), "a b")], "doc_id long, text string")).collect()
+    assert (r["held_out"], r["train_tokens"], r["score"]) == (True, 0, 0.0)
+
+
+@pytest.mark.parametrize("values", [[1] * 9, [9] * 4, [], [1, 1, 1, 2, 3, 3, 4, 4, 4, 4, 5, 6], [1] * 100 + [2] * 30 + [3] * 12 + [4] * 7 + [5] * 4 + [6] * 2])
+def test_discounts_lie_between_nought_and_one(values):
+    n = Counter(values)
+    d = katz.discounts([0, *[n[r] for r in range(1, 7)]])
+    want = good_turing(values)
+    assert all(0 < d[r] < 1 and abs(d[r] * r - want(r)) < 1e-9 for r in range(1, 6))
+
+
+def test_squeezed_numbers_come_back():
+    for x in ([], [0], [255, 1], [70_000, 3, 9], [1 << 40, 5]):
+        assert katz.spread(katz.squeeze(np.array(x, np.int64))).tolist() == x
 
 
 # 10
