@@ -4,16 +4,17 @@ P(w | h) = d(c(hw)) c(hw) / c(h) where the gram was seen, or else alpha(h) P(w |
 first word; alpha(h) = (1 - sum of the seen) / (1 - sum of P(w | h') over the words seen after h), so each history
 sums to one. A history that wasn't seen passes the shorter one's probability on.
 
-Texts are hashed once into chunks. Level m of a chunk asks the partitions of the m-gram table for its distinct
-grams, by the id of the history (an (m - 1)-gram) and of the word; a partition counts, gives seen grams ids
-for the next level and answers each chunk in the order it asked. A frequent history is split over partitions by
+Texts are hashed once into chunks, which ask the partitions of the word table for their words' ids and counts. Level m of a
+chunk asks the partitions of the m-gram table for its distinct grams, by the ids of the history (an (m - 1)-gram) and the
+word; a partition counts, gives seen grams ids for the next level and answers each chunk in the order it asked. The chunk
+is written anew with what it was told, and what stood before is deleted. A frequent history is split over partitions by
 the next word; its sums are joined to the chunks that need them. Counts of counts, sums and ids stay in Spark; only
 one row of totals a level reaches the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -174,17 +175,31 @@ def _answers(rows: list[dict]) -> pa.Table:
     return pa.table([pa.array([r.get(n) for r in rows], t) for n, t in zip(_ANSWER_NAMES, _ANSWER_KINDS, strict=True)], _ANSWER_NAMES)
 
 
+_STATE = "chunk long, ids array<long>, held_out array<boolean>, sizes binary, tokens binary, word_ids binary, word_counts binary, gram binary, count binary, p_values binary, p_at binary"
+_STATE_NAMES = [x.split()[0] for x in _STATE.split(", ")]
+_STATE_KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_())] + [pa.binary()] * 8
+
+
 class Chunk:
-    """A chunk's tokens, and what the answers say of them: word ids, and by level each token's gram (id, training count) and probability."""
+    """A chunk's tokens; once read, with word ids and counts, and each token's longest gram so far (id, training count) and probability."""
 
     def __init__(self, row: dict, model: Model):
         self.row, self.model = row, model
-        self.types = np.frombuffer(row["types"], np.uint64)
         self.at = spread(row["tokens"])
         self.n = spread(row["sizes"])
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
         self.first = np.cumsum(self.n) - self.n
         self.train = ~np.array([bool(x) for x in row["held_out"]], bool)
+        if "types" in row:
+            self.types = np.frombuffer(row["types"], np.uint64)
+            return
+        self.word_ids, self.word_counts = spread(row["word_ids"]), spread(row["word_counts"])
+        self.word_id, self.word_count = self.word_ids[self.at], self.word_counts[self.at]
+        if row["gram"]:
+            self.gram, self.count = spread(row["gram"]), spread(row["count"])
+            self.p = np.frombuffer(row["p_values"], np.float64)[spread(row["p_at"])]
+        else:
+            self.gram, self.count, self.p = self.word_id, self.word_count, model.word_p(self.word_count)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """The order in which types are asked for, and where partitions begin in it."""
@@ -192,18 +207,28 @@ class Chunk:
         order = np.argsort(part, kind="stable")
         return order, _runs(part[order])
 
-    def read_words(self, answers: list[dict]) -> None:
+    def read_words(self, replies: list[dict]) -> dict:
+        """The chunk's state with word ids and counts for hashes."""
         order, edges = self.words()
         count, ids = np.zeros(len(self.types), np.int64), np.zeros(len(self.types), np.int64)
-        by_part = {a["part"]: a for a in answers if a["level"] == 1 and a["kind"] == REPLY}
+        by_part = {a["part"]: a for a in replies}
         part = self.model.word_part(self.types)
         for i in np.split(order, edges[1:]):
             a = by_part[int(part[i[0]])]
             count[i], ids[i] = spread(a["counts"]), spread(a["ids"])
-        self.word_id = np.where(count > 0, ids, 0)[self.at]
-        self.count = count[self.at]
-        self.gram = self.word_id
-        self.p = self.model.word_p(self.count)
+        return {n: self.row.get(n) for n in _STATE_NAMES} | {"word_ids": squeeze(np.where(count > 0, ids, 0)), "word_counts": squeeze(count)}
+
+    def state(self) -> dict:
+        values, at = squeeze_floats(self.p)
+        return self.row | {"gram": squeeze(self.gram), "count": squeeze(self.count), "p_values": values, "p_at": at}
+
+    def scored(self) -> tuple:
+        """The columns of the result."""
+        m, docs = self.model, len(self.n)
+        known = np.bincount(self.doc, weights=self.word_count > 0, minlength=docs).astype(np.int64)
+        base = np.bincount(self.doc, weights=np.log10(self.word_count + 0.5), minlength=docs) - self.n * np.log10(m.tokens + 0.5 * (m.types + 1))
+        score = np.bincount(self.doc, weights=np.log10(self.p), minlength=docs)
+        return (pa.array(self.row["ids"], pa.int64()), pa.array(~self.train), pa.array(self.n), pa.array(known), pa.array(np.full(docs, m.tokens, np.int64)), pa.array(base), pa.array(score))
 
     def ask(self, level: int) -> None:
         """This level's distinct grams with a seen history, in the order (history, word), and their partitions. The beginning counts as
@@ -225,6 +250,7 @@ class Chunk:
         self.edges = _runs(self.to[self.order])
 
     def read_grams(self, answers: list[dict], level: int) -> None:
+        self.ask(level)
         d = self.model.d[level - 1]
         total, ids = np.zeros(len(self.w), np.int64), np.zeros(len(self.w), np.int64)
         divisor, alpha = self.h_count.astype(np.float64), np.full(len(self.h), np.nan)
@@ -234,7 +260,7 @@ class Chunk:
             divisor[h], left = shares(self.h_count[h], low, big, d)
             alpha[h] = left / np.maximum(1 - lower, 1e-300)
 
-        by_part = {a["part"]: a for a in answers if a["level"] == level and a["kind"] == REPLY}
+        by_part = {a["part"]: a for a in answers if a["kind"] == REPLY}
         for i in np.split(self.order, self.edges[1:]) if len(self.order) else []:
             a = by_part[int(self.to[i[0]])]
             total[i] = spread(a["counts"])
@@ -245,7 +271,7 @@ class Chunk:
             stats = spread(a["stats"]).reshape(K + 1, -1)
             whole = ~split[h]
             settle(h[whole], stats[:K, whole], stats[K, whole], np.frombuffer(a["lower"], np.float64)[whole])
-        late = [a for a in answers if a["level"] == level and a["kind"] == SUMS]
+        late = [a for a in answers if a["kind"] == SUMS]
         if late:
             sums = np.array([a["sums"] for a in late]).T
             settle(np.searchsorted(self.h, np.array([a["ctx"][0] for a in late], np.int64)), sums[:K], sums[K], sums[K + 1])
@@ -255,15 +281,6 @@ class Chunk:
         count[self.use], gram[self.use] = t, ids[self.pair_at]
         self.p, self.count, self.gram = p, count, gram
 
-    def read(self, answers: list[dict], levels: int) -> None:
-        self.read_words(answers)
-        self.n_known = np.bincount(self.doc, weights=self.count > 0, minlength=len(self.n)).astype(np.int64)
-        log_base = np.log10(self.count + 0.5)
-        self.base = np.bincount(self.doc, weights=log_base, minlength=len(self.n)) - self.n * np.log10(self.model.tokens + 0.5 * (self.model.types + 1))
-        for level in range(2, levels + 1):
-            self.ask(level)
-            self.read_grams(answers, level)
-
 
 def _ask_words(model: Model):
     """The chunk's distinct words by partition, with their training counts."""
@@ -323,12 +340,10 @@ _MESSAGE_NAMES = [x.split()[0] for x in _MESSAGE.split(", ")]
 def _ask_grams(model: Model, level: int):
     """The chunk's distinct grams of this level by partition, with their training counts and the shorter history's probability."""
 
-    def run(key, chunks, answers):
+    def messages(rows: list[dict]) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in _MESSAGE_NAMES}
-        replies = answers.to_pylist()
-        for row in chunks.to_pylist():
+        for row in rows:
             c = Chunk(row, model)
-            c.read(replies, level - 1)
             c.ask(level)
             train = np.bincount(c.pair_at, weights=c.train[c.doc[c.use]], minlength=len(c.w)).astype(np.int64)
             lower = np.zeros(len(c.w))
@@ -340,7 +355,13 @@ def _ask_grams(model: Model, level: int):
                 data = (int(c.to[i[0]]), row["chunk"], squeeze(np.diff(c.h[h], prepend=0)), squeeze(c.h_count[h]), squeeze(np.diff(np.append(begin, len(i)))), squeeze(c.w[i]), squeeze(train[i]), values, at)
                 for n, x in zip(_MESSAGE_NAMES, data, strict=True):
                     out[n].append(x)
-        return pa.table([pa.array(out[n], pa.int64() if n in ("part", "chunk") else pa.binary()) for n in _MESSAGE_NAMES], _MESSAGE_NAMES)
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = messages(batch.slice(i, 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.int64() if n in ("part", "chunk") else pa.binary()) for n in _MESSAGE_NAMES], _MESSAGE_NAMES)
 
     return run
 
@@ -397,24 +418,46 @@ def _count_grams(model: Model, level: int):
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORED_NAMES = [x.split()[0] for x in _SCORED.split(", ")]
+_SCORED_KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
 
+def _read(model: Model, level: int):
+    """The chunk's state with the replies to this level's questions; of the last level, its documents' scores."""
 
-def _finish(model: Model):
     def run(key, chunks, answers):
-        tables, replies = [], answers.to_pylist()
+        rows, tables = [], [pa.table([pa.array([], t) for t in _SCORED_KINDS], _SCORED_NAMES)]
+        replies = answers.to_pylist()
         for row in chunks.to_pylist():
             c = Chunk(row, model)
-            c.read(replies, model.order)
-            score = np.bincount(c.doc, weights=np.log10(c.p), minlength=len(c.n))
-            columns = (pa.array(row["ids"], pa.int64()), pa.array(~c.train), pa.array(c.n), pa.array(c.n_known), pa.array(np.full(len(c.n), model.tokens, np.int64)), pa.array(c.base), pa.array(score))
-            tables.append(pa.table(columns, [x.split()[0] for x in _SCORED.split(", ")]))
-        return pa.concat_tables(tables) if tables else pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], [x.split()[0] for x in _SCORED.split(", ")])
+            if level == 1:
+                rows.append(c.read_words(replies))
+            else:
+                c.read_grams(replies, level)
+                if level < model.order:
+                    rows.append(c.state())
+            if level > 1 and level == model.order:
+                tables.append(pa.table(c.scored(), _SCORED_NAMES))
+        if level > 1 and level == model.order:
+            return pa.concat_tables(tables)
+        return pa.table([pa.array([r[n] for r in rows], t) for n, t in zip(_STATE_NAMES, _STATE_KINDS, strict=True)], _STATE_NAMES)
+
+    return run
+
+
+def _score(model: Model):
+    """Scores of chunks that ask nothing more (order 1)."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays(list(Chunk(row, model).scored()), _SCORED_NAMES)
 
     return run
 
 
-def _sum_totals(answers: DataFrame, level: int) -> list[float]:
-    row = answers.filter(f"level = {level} and kind = {TOTALS}").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(K + 4)]).first()
+def _sum_totals(answers: DataFrame) -> list[float]:
+    row = answers.filter(F.col("kind") == TOTALS).agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(K + 4)]).first()
     return [x or 0.0 for x in row]
 
 
@@ -443,33 +486,41 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, order:
     model = Model(parts, split or part_tokens, order, 0, 0, n_train)
 
     asked = chunks.mapInArrow(_ask_words(model), "part long, chunk long, words binary, counts binary")
-    answers = [materialize(asked.groupBy("part").applyInArrow(_count_words(model), _ANSWER))]
+    answers = materialize(asked.groupBy("part").applyInArrow(_count_words(model), _ANSWER))
     release(spark)
-    *low, tokens, types, big = _sum_totals(answers[0], 1)
+    *low, tokens, types, big = _sum_totals(answers)
     d = discounts([0, *low])
     divisor, left = shares(tokens, np.array(low[:K])[:, None], big, d)
-    model = Model(parts, model.split, order, int(tokens), int(types), n_train, (d,), float(divisor[0]), float(left[0]))
-
-    def replies() -> DataFrame:
-        out = None
-        for a in answers:
-            out = a if out is None else out.unionByName(a)
-        return out.filter(F.col("kind").isin(REPLY, SUMS)).groupBy("chunk")
+    model = replace(model, tokens=int(tokens), types=int(types), d=(d,), divisor=float(divisor[0]), left=float(left[0]))
+    state = _told(chunks, answers, None, model, 1)
 
     for level in range(2, order + 1):
-        sent = chunks.groupBy("chunk").cogroup(replies()).applyInArrow(_ask_grams(model, level), _MESSAGE)
-        counted = materialize(sent.groupBy("part").applyInArrow(_count_grams(model, level), _ANSWER))
+        sent = state.mapInArrow(_ask_grams(model, level), _MESSAGE)
+        answers = materialize(sent.groupBy("part").applyInArrow(_count_grams(model, level), _ANSWER))
         release(spark)
-        answers.append(counted)
-        need = counted.filter(F.col("kind") == NEED).select("chunk", F.explode("ctx").alias("h")).distinct()
-        sums = counted.filter(F.col("kind") == PART_SUMS).select(F.get("ctx", F.lit(0)).alias("h"), "sums")
+        *low, _, _, _ = _sum_totals(answers)
+        model = replace(model, d=(*model.d, discounts([0, *low])))
+        need = answers.filter(F.col("kind") == NEED).select("chunk", F.explode("ctx").alias("h")).distinct()
+        sums = answers.filter(F.col("kind") == PART_SUMS).select(F.get("ctx", F.lit(0)).alias("h"), "sums")
         sums = sums.groupBy("h").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(K + 2)]).alias("sums"))
         none = [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in _ANSWER.split(", ")[3:9])]
-        answers.append(materialize(need.join(sums, "h").select("chunk", F.lit(level).alias("level"), F.lit(SUMS).alias("kind"), *none, F.array("h").alias("ctx"), "sums")))
-        *low, _, _, _ = _sum_totals(counted, level)
-        model = Model(parts, model.split, order, model.tokens, model.types, n_train, (*model.d, discounts([0, *low])), model.divisor, model.left)
+        late = need.join(sums, "h").select("chunk", F.lit(level).alias("level"), F.lit(SUMS).alias("kind"), *none, F.array("h").alias("ctx"), "sums")
+        state = _told(state, answers, late, model, level)
+    if order > 1:
+        return state
+    out = materialize(state.mapInArrow(_score(model), _SCORED))
+    discard(state)
+    return out
+
 
-    out = materialize(chunks.groupBy("chunk").cogroup(replies()).applyInArrow(_finish(model), _SCORED))
-    for t in (chunks, *answers):
-        discard(t)
+def _told(chunks: DataFrame, answers: DataFrame, late: DataFrame | None, model: Model, level: int) -> DataFrame:
+    """The chunks with their replies; deletes both tables that it reads."""
+    replies = answers.filter(F.col("kind") == REPLY)
+    if late is not None:
+        replies = replies.unionByName(late)
+    schema = _SCORED if level > 1 and level == model.order else _STATE
+    out = materialize(chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_read(model, level), schema))
+    discard(chunks)
+    discard(answers)
+    release(chunks.sparkSession)
     return out
