@@ -2,19 +2,24 @@
 
 Sets are banded by size (each band's largest size is 1/threshold of its smallest), so
 linked sets stand in one band or in neighbouring ones; an instance serves a band and
-the next. Linked sets of an instance differ in at most k elements. The element domain
-is cut into n = k + 1 + spare parts, so at least spare + 1 parts hold the same elements
-of both. Every part of a set gives a signature (its elements); an empty part gives one
-only in sets that have more than `spare` empty parts. So two linked sets share a signature:
-if one of them has at most `spare` empty parts, one of the equal parts isn't empty.
-
-Sets that share a signature are compared with the group's first member, then, across
-components that are still apart, with all members: components come out exactly as if
+the next. Linked sets of an instance differ in at most k elements. The element domain is cut into n1
+first-level parts, each into n2 second-level ones. With n1 > k / (k2 + 1), linked sets differ in at most k2 elements of some
+first-level part, so they are equal on some n2 - k2 of its second-level parts: every such subset of every first-level
+part gives a signature (the set's elements there). n1, n2 and k2 are chosen by band for few signatures with
+enough elements each. `spare` more first-level parts leave spare + 1 of that kind; so empty
+subsets need signatures only in sets with empty subsets in more than `spare` first-level parts.
+
+Sets that share a signature are compared with the group's first member, then, across components that are still
+apart, with some members of the group's commonest component, and at last with all members
+that sketches don't rule out: components come out exactly as if
 all pairs had been compared, without pairs inside what is already joined.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb, exp
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +29,7 @@ from cairn.llm.common import discard, materialize, mix, release, text_blocks, wo
 
 WIDTH = 5
 _M = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-SKETCH_WORDS = 4
+SKETCH_WORDS = 8
 WIDE_BITS, WIDE_FROM = 2048, 300
 
 
@@ -58,8 +63,8 @@ def fingerprint(x: np.ndarray) -> int:
 
 def sketch(x: np.ndarray) -> np.ndarray:
     """Parities of how many elements fall on each bit; two sketches differ in no more bits than the sets in elements."""
-    bit = mix(x ^ _M[22]) >> np.uint64(56)
-    odd = np.bincount(bit.astype(np.int64), minlength=256)[: 64 * SKETCH_WORDS] & 1
+    bit = mix(x ^ _M[22]) % np.uint64(64 * SKETCH_WORDS)
+    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
@@ -73,13 +78,13 @@ def wide_sketch(x: np.ndarray) -> list[int]:
 
 
 class Bands:
-    """Sizes to instances (k, parts, spare) for links at 100 * intersection >= percent * union."""
+    """Sizes to instances (n1, n2, k2, spare) for links at 100 * intersection >= percent * union."""
 
     def __init__(self, percent: int = 80):
         self.percent = percent
         self.low: list[int] = [1]
         self.high: list[int] = [100 // percent]
-        self._known: dict[int, tuple[int, int]] = {}
+        self._known: dict[int, tuple[int, int, int, int]] = {}
 
     def band(self, size: int) -> int:
         while self.high[-1] < size:
@@ -87,15 +92,31 @@ class Bands:
             self.high.append(max(self.low[-1], self.low[-1] * 100 // self.percent))
         return int(np.searchsorted(self.high, size))
 
-    def instance(self, j: int) -> tuple[int, int]:
-        """(parts, spare) of the instance that serves band j and the next."""
+    def differ(self, j: int) -> int:
+        """In how many elements linked sets differ at most, one of band j, the other of this or the next."""
+        top = self.high[j]
+        return (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+
+    def instance(self, j: int) -> tuple[int, int, int, int]:
+        """The parameters of the instance that serves band j and the next: the cheapest ones."""
         if j not in self._known:
-            top = self.high[j]
-            k = (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-            spare = -(-k // 12) + 3 if k else 0
-            self._known[j] = (k + 1 + spare, spare)
+            k = self.differ(j)
+            choices = [(k // (k2 + 1) + 1, n2, k2) for k2 in range(4) for n2 in range(k2 + 1, k2 + 5) if k2 or n2 == 1]
+            whole = [(n1 + spare, n2, k2, spare) for n1, n2, k2 in choices for spare in ((0, n1 // 12 + 3) if k else (0,))]
+            self._known[j] = min(whole, key=lambda c: (self._cost(self.low[j], *c), c))
         return self._known[j]
 
+    @staticmethod
+    def _cost(size: int, n1: int, n2: int, k2: int, spare: int) -> float:
+        """Signatures, weighed by how few elements the smallest sets have in one, and by how many of these sets have empty ones to send."""
+        held = size / n1 * (n2 - k2) / n2
+        empty = n1 * min(1.0, comb(n2, k2) * exp(-held))
+        sends, term = 1.0, exp(-empty)
+        for i in range(spare + 1):
+            sends -= term
+            term *= empty / (i + 1)
+        return n1 * comb(n2, k2) * (1 + 20 * exp(-held)) + 1000 * max(sends, 0.0)
+
 
 def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
     """The set's signatures, each in the instance of its own band and of the band before."""
@@ -105,20 +126,23 @@ def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
     value = mix(x ^ _M[23])
     out = []
     with np.errstate(over="ignore"):
+        term = x * _M[24]
         for j in (band, band - 1):
             if j < 0:
                 continue
-            parts, spare = bands.instance(j)
-            part = ((value >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            n1, n2, k2, spare = bands.instance(j)
+            part = (((value >> np.uint64(32)) * np.uint64(n1 * n2)) >> np.uint64(32)).astype(np.int64)
+            size = np.bincount(part, minlength=n1 * n2).reshape(n1, n2)
             order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            held = np.add.reduceat(x[order] * _M[24], first)
-            tag = np.uint64(j + 1) * _M[25]
-            out.append(mix(held + mix(part[first] + tag)))
-            if parts - len(first) > spare:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-                out.append(mix(mix(empty + tag) + _M[26]))
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(term[order], dtype=np.uint64)))
+            edges = np.concatenate(([0], np.cumsum(size.ravel())))
+            held = (total[edges[1:]] - total[edges[:-1]]).reshape(n1, n2)
+            subsets = list(combinations(range(n2), n2 - k2))
+            sums = np.stack([held[:, s].sum(1, dtype=np.uint64) for s in subsets], 1)
+            empty = np.stack([size[:, s].sum(1) == 0 for s in subsets], 1)
+            tag = mix(np.arange(n1 * len(subsets), dtype=np.uint64).reshape(n1, -1) + np.uint64(j + 1) * _M[25])
+            keep = ~empty if empty.any(1).sum() <= spare else np.ones_like(empty)
+            out.append(mix(sums + tag)[keep])
     return np.concatenate(out)
 
 
@@ -189,32 +213,103 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").mapInArrow(run, "sig long, fp long, leader long")
 
 
-def _apart(rows: DataFrame) -> DataFrame:
-    """sig, fp, root, home of the signatures whose sets stand in two components or more; home: the commonest root, the smallest of equals."""
+def _by_signature(batches, width: int):
+    """A task's rows (sig, fp, root, ...) sorted by (sig, root), and of each signature whose sets stand in two components or more:
+    where its rows begin and end, and home, the commonest root (the smallest of equals)."""
+    held = [tuple(np.asarray(b.column(i)) for i in range(width)) for b in batches]
+    if not sum(len(h[0]) for h in held):
+        return [], []
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+    order = np.lexsort((columns[2], columns[0]))
+    columns = [c[order] for c in columns]
+    sig, root = columns[0], columns[2]
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    last = np.append(first[1:], len(sig))
+    run_at = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (root[1:] != root[:-1]))))
+    run_size = np.diff(np.append(run_at, len(sig)))
+    group = np.searchsorted(first, run_at, "right") - 1
+    best = np.lexsort((root[run_at], -run_size, group))
+    home = root[run_at][best[np.concatenate(([True], group[best][1:] != group[best][:-1]))]]
+    mixed = root[first] != root[last - 1]
+    return columns, list(zip(first[mixed].tolist(), last[mixed].tolist(), home[mixed].tolist(), strict=True))
+
+
+def _yield_rows(columns: list[np.ndarray], names: list[str], step: int = 100_000):
+    for i in range(0, len(columns[0]), step):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step], pa.int64()) for x in columns], names)
+
+
+def _some(rows: DataFrame, picks: int = 2) -> DataFrame:
+    """a, b: each set that isn't of its signature's commonest component, with `picks` members of that, by hash."""
 
     def run(batches):
-        held = [tuple(np.asarray(b.column(i)) for i in range(3)) for b in batches]
-        if not held:
+        columns, groups = _by_signature(batches, 3)
+        if not groups:
             return
-        sig, fp, root = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((root, sig))
-        sig, fp, root = sig[order], fp[order], root[order]
-        if not len(sig):
-            return
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        sizes = np.diff(np.append(first, len(sig)))
-        mixed = root[first] != root[first + sizes - 1]
-        run_at = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (root[1:] != root[:-1]))))
-        run_size = np.diff(np.append(run_at, len(sig)))
-        group = np.searchsorted(first, run_at, "right") - 1
-        best = np.lexsort((root[run_at], -run_size, group))
-        home = root[run_at][best[np.concatenate(([True], group[best][1:] != group[best][:-1]))]]
-        keep = np.repeat(mixed, sizes)
-        out = [x[keep] for x in (sig, fp, root, np.repeat(home, sizes))]
-        for i in range(0, len(out[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], pa.int64()) for x in out], ["sig", "fp", "root", "home"])
+        sig, fp, root = columns
+        left, right = [], []
+        for first, last, home in groups:
+            here = root[first:last] == home
+            apart, members = fp[first:last][~here], fp[first:last][here]
+            for i in range(picks):
+                with np.errstate(over="ignore"):
+                    pick = mix(apart.view(np.uint64) ^ mix(sig[first : first + 1].view(np.uint64) + np.uint64(i)))
+                left.append(apart)
+                right.append(members[(pick % np.uint64(len(members))).astype(np.int64)])
+        pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right))), axis=1)
+        yield from _yield_rows(list(pairs), ["a", "b"])
+
+    return rows.select("sig", "fp", "root").repartition("sig").mapInArrow(run, "a long, b long").distinct()
+
 
-    return rows.select("sig", "fp", "root").repartition("sig").mapInArrow(run, "sig long, fp long, root long, home long")
+def _apart(rows: DataFrame) -> DataFrame:
+    """sig, fp, root of the signatures whose sets stand in two components or more."""
+
+    def run(batches):
+        columns, groups = _by_signature(batches, 3)
+        if groups:
+            keep = np.concatenate([np.arange(a, b) for a, b, _ in groups])
+            yield from _yield_rows([c[keep] for c in columns], ["sig", "fp", "root"])
+
+    return rows.select("sig", "fp", "root").repartition("sig").mapInArrow(run, "sig long, fp long, root long")
+
+
+def _across(rows: DataFrame, percent: int, block: int = 1 << 20) -> DataFrame:
+    """a, bs: each set that isn't of its signature's commonest component, with the sets of other components that sizes and
+    sketches don't rule out. A task tells a pair once, however many signatures it shares there; blocks bound its memory."""
+    names = ["sig", "fp", "root", "n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)]]
+
+    def told(pairs: list[np.ndarray]):
+        a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pa.array(b, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(a[first], pa.int64()), lists], ["a", "bs"])
+
+    def run(batches):
+        columns, groups = _by_signature(batches, len(names))
+        found, size = [np.zeros((2, 0), np.int64)], 0
+        for first, last, home in groups:
+            fp, root, n = (c[first:last] for c in columns[1:4])
+            sketches = np.stack([c[first:last] for c in columns[4:]], 1).view(np.uint64)
+            apart = np.flatnonzero(root != home)
+            for i in range(0, len(apart), step := max(1, block // (8 * len(fp)))):
+                x = apart[i : i + step]
+                ok = (root[x, None] != root) & ((root == home) | (fp[x, None] < fp))
+                ok &= 100 * np.minimum(n[x, None], n) >= percent * np.maximum(n[x, None], n)
+                p, q = np.nonzero(ok)
+                differ = np.bitwise_count(sketches[x[p]] ^ sketches[q]).sum(1, dtype=np.int64)
+                hit = (100 + percent) * differ <= (100 - percent) * (n[x[p]] + n[q])
+                found.append(np.stack((fp[x[p[hit]]], fp[q[hit]])))
+                size += len(found[-1][0])
+                if size > block:
+                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                    size = len(found[0][0])
+                    if size > block // 2:
+                        yield told(found)
+                        found, size = [np.zeros((2, 0), np.int64)], 0
+        yield told(found)
+
+    return rows.select(*names).repartition("sig").mapInArrow(run, "a long, bs array<long>")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -297,7 +392,9 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         discard(now)
         now = after
         if state == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._cairn_path = now._cairn_path
+            return out
         mark = state
 
 
@@ -307,45 +404,56 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Two texts link when 100 * |intersection| >= percent * |union| of their sets of five-word
     shingles (A-Z lower-cased; with fewer words the whole sequence is one shingle). component_id
     is the smallest doc_id that links reach. A text without words, or null, links with nothing, not even its like.
-    doc_id is taken as a key: of rows that share it each gets the component of its own text. Rows with a
+    Very long texts are taken whole; all ties are links. doc_id is taken as a key: of rows that share it each gets the component of its own text. Rows with a
     null doc_id link with nothing and have a null component_id. Sets are told apart by 64-bit digests. Other columns are ignored.
     """
     spark = docs.sparkSession
+    sketches = [f"s{i}" for i in range(SKETCH_WORDS)]
     scanned = materialize(_scan(docs))
-    nodes = scanned.filter("fp <> 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)], "wide")])
-    nodes = materialize(nodes)
+    nodes = materialize(scanned.filter("fp <> 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", *sketches, "wide")]))
     groups = materialize(_shared(_signature_rows(docs, percent)))
     release(spark)
-    stars = groups.filter("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct()
-    stars = materialize(_still_likely(_likely(stars, nodes, percent), nodes, percent))
-    linked = _verify(stars, docs, percent)
-    roots = materialize(components(linked, "rep_a", "rep_b"))
-    release(spark)
-
-    class_root = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("root"))
-    open_rows = materialize(_apart(groups.select("sig", "fp").join(class_root, "fp")))
+    links: list[DataFrame] = []
+    roots: DataFrame | None = None
+
+    def classes(*columns: str) -> DataFrame:
+        if roots is None:
+            return nodes.select("fp", F.col("rep").alias("root"), *columns)
+        return nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("root"), *columns)
+
+    def linked(pairs: DataFrame) -> None:
+        """Compares the pairs (a, b) that sketches don't rule out, and joins components by those that link."""
+        nonlocal roots
+        pairs = materialize(_still_likely(_likely(pairs, nodes, percent), nodes, percent))
+        if not pairs.isEmpty():
+            more = _verify(pairs, docs, percent)
+            if more.isEmpty():
+                discard(more)
+            else:
+                links.append(more)
+                edges = links[0]
+                for x in links[1:]:
+                    edges = edges.unionByName(x)
+                before, roots = roots, components(edges, "rep_a", "rep_b")
+                if before is not None:
+                    discard(before)
+        discard(pairs)
+        release(spark)
+
+    linked(groups.filter("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct())
+    linked(_some(groups.select("sig", "fp").join(classes(), "fp")))
+    open_rows = materialize(_apart(groups.select("sig", "fp").join(classes(), "fp")))
     discard(groups)
-    names = ["rep", "n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)]]
-    known = open_rows.join(nodes.select("fp", *names), "fp")
-    left = known.filter("root <> home").select("sig", "home", *[F.col(c).alias(f"a_{c}") for c in ["fp", "root", *names]])
-    right = known.select("sig", *[F.col(c).alias(f"b_{c}") for c in ["fp", "root", *names]])
-    across = (
-        left.join(right, "sig")
-        .filter((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("home")) | (F.col("a_fp") < F.col("b_fp"))) & _possible("a_", "b_", percent))
-        .select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"), F.col("a_rep").alias("rep_a"), F.col("b_rep").alias("rep_b"))
-        .distinct()
-    )
-    across = materialize(_still_likely(across, nodes, percent))
-    if not across.isEmpty():
-        more = _verify(across, docs, percent)
-        if not more.isEmpty():
-            roots = materialize(components(linked.unionByName(more), "rep_a", "rep_b"))
-    for t in (stars, open_rows, across):
+    known = open_rows.join(nodes.select("fp", "n_shingles", *sketches), "fp")
+    pairs = _across(known, percent).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+    linked(pairs.select("a", F.explode("bs").alias("b")))
+    discard(open_rows)
+    out = scanned.select("doc_id", "n_shingles", "fp").join(classes(), "fp", "left")
+    out = materialize(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")))
+    for t in (scanned, nodes, *links, *([roots] if roots is not None else [])):
         discard(t)
     release(spark)
-    classes = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("root"))
-    out = scanned.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    return out
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
