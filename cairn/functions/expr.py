@@ -42,9 +42,9 @@ def blocks_send(level: Column, threshold: str = "confidential", readable: Column
 
 
 def confidence(x: Column) -> Column:
-    """Clamped to [0, 1]; null and not-a-number are 0."""
+    """Clamped to [0, 1]; null, not-a-number and infinity of either sign are 0."""
     x = x.cast("double")
-    return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -68,8 +68,8 @@ def titleize(stem: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Letter runs, lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
+    """Runs of English and Spanish letters, lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-záéíóúüñ]+)"), F.lit(1))
 
 
 def query_terms(question: Column) -> Column:

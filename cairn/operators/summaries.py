@@ -42,29 +42,60 @@ def next_action(signals: DataFrame) -> DataFrame:
     return signals.filter("n > 0").orderBy("tier", "subject").limit(1)
 
 
-def transcript_shape(turns: DataFrame, min_turns: int = 3, min_speakers: int = 2, min_total: int = 10) -> DataFrame:
-    """conv_id, is_transcript: enough speakers recur often enough, with half of all lines theirs."""
-    per = turns.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"))
-    often = F.col("n") >= min_turns
-    agg = per.groupBy("conv_id").agg(F.count_if(often).alias("speakers"), F.sum(F.when(often, F.col("n")).otherwise(0)).alias("recurring"), F.sum("n").alias("lines"))
-    return agg.select("conv_id", "speakers", "recurring", "lines", ((F.col("speakers") >= min_speakers) & (F.col("recurring") >= min_total) & (2 * F.col("recurring") >= F.col("lines"))).alias("is_transcript"))
+# A speaker's turn in a transcript (an optional time, a label, a colon, then speech), and words that name a gathering.
+TURN = r"^\s{0,4}(?:[\[(]\d{1,2}:\d{2}(?::\d{2})?[\])]\s+|\d{1,2}:\d{2}(?::\d{2})?\s+)?([^\s:#\->*+|`][^:\n]{0,39}):\s+\S"
+GATHERING = r"(?i)\b(meeting|standup|retrospective|kickoff|huddle|reuni[oó]n(?:es)?)\b"
+
+
+def transcript_shape(docs: DataFrame, min_turns: int = 3, min_speakers: int = 2, min_total: int = 10) -> DataFrame:
+    """doc_id, speakers, recurring, lines, is_transcript of every body: enough labels recur often enough, and their turns are half of the
+    lines that aren't blank. Labels of over three words, with a digit, or of three letters and more in capitals are none."""
+    lines = F.filter(F.split(F.coalesce("body", F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")
+    label = F.trim(F.regexp_extract("line", TURN, 1))
+    shouted = (F.length("label") >= 3) & (F.col("label") == F.upper("label")) & (F.col("label") != F.lower("label"))
+    speaks = (F.col("label") != "") & (F.size(F.split("label", r"\s+")) <= 3) & ~F.col("label").rlike(r"\d") & ~shouted
+    turns = docs.select("doc_id", F.explode_outer(lines).alias("line")).select("doc_id", F.col("line").isNotNull().alias("filled"), label.alias("label"))
+    per = turns.withColumn("label", F.when(speaks, F.col("label"))).groupBy("doc_id", "label").agg(F.count_if("filled").alias("n"))
+    often = F.col("label").isNotNull() & (F.col("n") >= min_turns)
+    agg = per.groupBy("doc_id").agg(F.count_if(often).alias("speakers"), F.sum(F.when(often, F.col("n")).otherwise(0)).alias("recurring"), F.sum("n").alias("lines"))
+    return agg.withColumn("is_transcript", (F.col("speakers") >= min_speakers) & (F.col("recurring") >= min_total) & (2 * F.col("recurring") >= F.col("lines")))
+
+
+def meeting_shaped(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, title, body) with meeting: the title names a gathering, or the body has the shape of a transcript."""
+    shape = transcript_shape(docs).select("doc_id", F.col("is_transcript").alias("_t"))
+    return docs.join(shape, "doc_id", "left").withColumn("meeting", F.coalesce("title", F.lit("")).rlike(GATHERING) | F.coalesce("_t", F.lit(False))).drop("_t")
 
 
 def dominant_language(docs: DataFrame) -> DataFrame:
-    """docs with language: en or es where its function words are twice the other's at least; null else."""
+    """docs with language: en or es where its function words are more than twice the other's; null else."""
     from cairn.vocabulary import ENGLISH, SPANISH
 
     found = expr.words(F.col("body"))
     count = lambda names: F.size(F.filter(found, lambda w: w.isin(*names)))
     out = docs.withColumn("n_en", count(ENGLISH)).withColumn("n_es", count(SPANISH))
     en, es = F.col("n_en"), F.col("n_es")
-    return out.withColumn("language", F.when((en > es) & (en >= 2 * es), "en").when((es > en) & (es >= 2 * en), "es"))
+    return out.withColumn("language", F.when(en > 2 * es, "en").when(es > 2 * en, "es"))
+
+
+def line_windows(text: Column, target: int = 4000) -> Column:
+    """In how many windows of at most target characters whole lines pack; a longer line is a window of its own."""
+    costs = F.transform(F.split(text, "\n", -1), lambda x: F.length(x) + 1)
+    begin = F.struct(F.lit(0).alias("n"), F.lit(target).alias("held"))
+    opens = lambda s, c: s["held"] + c > target
+    pack = lambda s, c: F.struct((s["n"] + F.when(opens(s, c), 1).otherwise(0)).alias("n"), F.when(opens(s, c), c).otherwise(s["held"] + c).alias("held"))
+    return F.aggregate(costs, begin, pack, lambda s: s["n"])
 
 
-def extraction_cost(sources: DataFrame, target: int = 4000, chunk_from: int = 18_000) -> DataFrame:
-    """(concept_id, calls): windows of long sources or two, one more if meeting-shaped, one for the judge."""
-    windows = F.when(F.length("body") > chunk_from, F.ceil(F.length("body") / target)).otherwise(2)
-    return sources.select("concept_id", (windows + F.when(F.col("meeting"), 1).otherwise(0) + 1).cast("long").alias("calls"))
+def extraction_cost(sources: DataFrame, target: int = 4000, chunk_from: int = 18_000, meeting_from: int = 12_000, union_judge: bool = True) -> DataFrame:
+    """(concept_id, windows, calls) of sources (body, meeting): texts longer than chunk_from (meeting_from if meeting-shaped) take a call a
+    window. Others take two, or one without the judge; with it come one more for a meeting's people and one for the judge."""
+    body = F.coalesce("body", F.lit(""))
+    long = F.length(body) > F.when(F.col("meeting"), meeting_from).otherwise(chunk_from)
+    windows = F.when(long, line_windows(body, target)).otherwise(0)
+    plain = F.when(long, F.col("windows")).otherwise(2 if union_judge else 1)
+    extra = F.when(F.col("meeting"), 2).otherwise(1) if union_judge else F.lit(0)
+    return sources.withColumn("windows", windows).select("concept_id", F.col("windows").cast("long").alias("windows"), (plain + extra).cast("long").alias("calls"))
 
 
 def judge_admission(candidates: DataFrame, selected: DataFrame, cap: int = 20) -> DataFrame:
@@ -80,7 +111,8 @@ def judge_admission(candidates: DataFrame, selected: DataFrame, cap: int = 20) -
 
 
 def verdicts(replies: DataFrame) -> DataFrame:
-    """replies (verdict, confidence, claims) made safe: unknown verdicts and contradictions without claims are UNCERTAIN."""
+    """replies (verdict, confidence, claims) made safe: null and blank claims go, unknown verdicts and contradictions without claims are UNCERTAIN."""
+    replies = replies.withColumn("claims", F.filter("claims", lambda c: F.coalesce(F.trim(c), F.lit("")) != ""))
     name = F.upper(F.trim("verdict"))
     known = F.when(name.isin("CONTRADICTS", "CONSISTENT", "UNCERTAIN"), name).otherwise("UNCERTAIN")
     bare = (known == "CONTRADICTS") & (F.coalesce(F.size("claims"), F.lit(0)) <= 0)
@@ -100,9 +132,11 @@ def merged_list(a: Column, b: Column) -> Column:
 
 
 def merged_relations(a: Column, b: Column, survivor: Column, absorbed: Column) -> Column:
-    """Relations of both, targets of the absorbed turned to the survivor, without self-loops and repeats, sorted by (target, type)."""
-    turned = F.transform(F.concat(a, b), lambda r: F.struct(F.when(r["target"] == absorbed, survivor).otherwise(r["target"]).alias("target"), r["type"].alias("type")))
-    return F.array_sort(F.array_distinct(F.filter(turned, lambda r: r["target"] != survivor)))
+    """The survivor's relations a and the absorbed's b, without repeats, sorted by (target, type). Relations between the two would be self-loops and
+    go, as do the absorbed's own; a self-loop that the survivor has already stays."""
+    own = F.filter(a, lambda r: ~r["target"].eqNullSafe(absorbed))
+    moved = F.filter(b, lambda r: ~(r["target"].eqNullSafe(absorbed) | r["target"].eqNullSafe(survivor)))
+    return F.array_sort(F.array_distinct(F.concat(own, moved)))
 
 
 def resource_reason(resource: Column) -> Column:

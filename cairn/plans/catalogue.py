@@ -516,9 +516,22 @@ def next_action_rank(spark, sf_dir):
     return summaries.next_action(summaries.all_of(tiers))
 
 
+def _transcripts(spark, sf_dir):
+    """Documents as they are, and conversations written out as `label: text` lines; labels of every fifth conversation are shouted,
+    every seventh has a line of prose after each turn."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.lit("Notes").alias("title"), F.col("text").alias("body"))
+    conv = F.col("conv_id")
+    role = F.when(conv % 5 == 0, F.upper("role")).otherwise(F.col("role"))
+    line = F.concat(role, F.lit(": "), F.regexp_replace("text", r"[\r\n]+", " "), F.when(conv % 7 == 0, "\nand so on, at length\nand more").otherwise(""))
+    turns = table(spark, sf_dir, "conversations").filter("conv_id is not null").withColumn("line", F.concat(line, F.lit("\n"), line, F.lit("\n"), line))
+    lines = F.array_sort(F.collect_list(F.struct("turn", "role", "line")))
+    chats = turns.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("body"))
+    return docs.unionByName(chats.select((-1 - F.col("conv_id")).alias("doc_id"), F.when(F.col("conv_id") % 3 == 0, "Weekly standup").otherwise("Chat").alias("title"), "body"))
+
+
 @query
 def transcript_shape(spark, sf_dir):
-    return summaries.transcript_shape(table(spark, sf_dir, "conversations"), 2, 2, 4)
+    return summaries.transcript_shape(_transcripts(spark, sf_dir))
 
 
 @query
@@ -528,12 +541,13 @@ def dominant_language(spark, sf_dir):
 
 @query
 def extraction_cost(spark, sf_dir):
-    return summaries.extraction_cost(relation(spark, sf_dir, "concepts").withColumn("meeting", F.col("type") == "Person"))
+    sources = summaries.meeting_shaped(_transcripts(spark, sf_dir)).withColumn("concept_id", F.concat(F.lit("sources/"), F.col("doc_id").cast("string")))
+    return summaries.extraction_cost(sources)
 
 
 @query
 def verdict_parse(spark, sf_dir):
-    made = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", " contradicts ").when(F.col("event_type") == "view", "consistent").otherwise(F.col("event_type")).alias("verdict"), (F.col("value") / 50).alias("confidence"), F.when(F.col("user_id") % 2 == 0, F.array(F.lit("c"))).alias("claims"))
+    made = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", " contradicts ").when(F.col("event_type") == "view", "consistent").otherwise(F.col("event_type")).alias("verdict"), F.when(F.col("event_id") % 11 == 0, F.lit(float("inf"))).when(F.col("event_id") % 11 == 1, F.lit(float("nan"))).otherwise(F.col("value") / 50).alias("confidence"), F.when(F.col("user_id") % 3 == 0, F.array(F.lit("c"), F.lit(" "))).when(F.col("user_id") % 3 == 1, F.array(F.lit(" "), F.lit(None))).alias("claims"))
     return _rounded(summaries.verdicts(made).select("event_id", "verdict", "confidence"), "confidence")
 
 
@@ -557,7 +571,7 @@ def decision_keys(spark, sf_dir):
 def merge_relations(spark, sf_dir):
     r = lambda t, k: F.struct(F.concat(F.lit("n/"), t).alias("target"), F.lit(k).alias("type"))
     key, region = F.col("n_nationkey"), F.col("n_regionkey")
-    out = summaries.merged_relations(F.array(r(region, "part_of"), r(key + 1, "references")), F.array(r(key, "references"), r(region, "part_of"), r(key + 1, "references"), r(F.lit(99), "part_of")), F.concat(F.lit("n/"), key), F.lit("n/99"))
+    out = summaries.merged_relations(F.array(r(region, "part_of"), r(key + 1, "references"), r(key, "depends_on"), r(F.lit(99), "references")), F.array(r(key, "references"), r(region, "part_of"), r(key + 1, "references"), r(F.lit(99), "part_of")), F.concat(F.lit("n/"), key), F.lit("n/99"))
     return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.transform(out, lambda x: F.concat_ws(":", x["target"], x["type"])), ",").alias("relations"))
 
 
@@ -595,7 +609,7 @@ def json_replies(spark, sf_dir):
 
 @query
 def attribution_split(spark, sf_dir):
-    reply = F.concat(F.lit("Answer "), F.col("event_id"), F.lit("\nUSED: "), F.col("event_id") % 7, F.lit(", "), F.col("user_id") % 5)
+    reply = F.concat(F.lit("Answer "), F.col("event_id"), F.lit("\nUSED: "), F.when(F.col("event_id") % 13 == 0, "None").when(F.col("event_id") % 13 == 1, "").otherwise(F.concat(F.col("event_id") % 7, F.lit(", "), F.col("user_id") % 5)))
     out = table(spark, sf_dir, "events").select("event_id", text_udfs.split_attribution(reply, F.lit(4)).alias("a"))
     return out.select("event_id", "a.prose", "a.status", F.array_join(F.transform("a.used", lambda x: x.cast("string")), ",").alias("used"))
 

@@ -11,6 +11,22 @@ _VECTOR = "CAST([" + ", ".join(map(str, QUERY_VECTOR)) + "] AS DOUBLE[])"
 _EN = ", ".join(f"'{w}'" for w in ENGLISH)
 _ES = ", ".join(f"'{w}'" for w in SPANISH)
 
+#: Documents and written-out conversations, and whether they have the shape of a transcript.
+_SHAPES = r"""made AS (
+  SELECT doc_id, 'Notes' AS title, text AS body FROM documents
+  UNION ALL SELECT -1 - conv_id, CASE WHEN conv_id % 3 = 0 THEN 'Weekly standup' ELSE 'Chat' END, string_agg(concat(line, chr(10), line, chr(10), line), chr(10) ORDER BY turn, role, concat(line, chr(10), line, chr(10), line)) FROM (
+    SELECT conv_id, turn, role, concat(CASE WHEN conv_id % 5 = 0 THEN upper(role) ELSE role END, ': ', regexp_replace(text, '[\r\n]+', ' ', 'g'),
+      CASE WHEN conv_id % 7 = 0 THEN concat(chr(10), 'and so on, at length', chr(10), 'and more') ELSE '' END) AS line FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id
+), lines AS (SELECT doc_id, unnest(string_split(coalesce(body, ''), chr(10))) AS line FROM made),
+labels AS (SELECT doc_id, trim(regexp_extract(line, '^\s{0,4}(?:[\[(]\d{1,2}:\d{2}(?::\d{2})?[\])]\s+|\d{1,2}:\d{2}(?::\d{2})?\s+)?([^\s:#\->*+|`][^:\n]{0,39}):\s+\S', 1)) AS label
+  FROM lines WHERE regexp_matches(line, '[^ \t\r\x0b\x0c]')),
+named AS (SELECT doc_id, CASE WHEN label <> '' AND len(regexp_split_to_array(label, '\s+')) <= 3 AND NOT regexp_matches(label, '\d')
+  AND NOT (length(label) >= 3 AND label = upper(label) AND label <> lower(label)) THEN label END AS label FROM labels),
+per AS (SELECT doc_id, label, count(*) AS n FROM named GROUP BY doc_id, label),
+agg AS (SELECT doc_id, count(*) FILTER (label IS NOT NULL AND n >= 3) AS speakers, CAST(coalesce(sum(n) FILTER (label IS NOT NULL AND n >= 3), 0) AS BIGINT) AS recurring, CAST(sum(n) AS BIGINT) AS lines FROM per GROUP BY doc_id),
+shape AS (SELECT made.doc_id, coalesce(speakers, 0) AS speakers, coalesce(recurring, 0) AS recurring, coalesce(lines, 0) AS lines,
+  coalesce(speakers >= 2 AND recurring >= 10 AND 2 * recurring >= lines, FALSE) AS is_transcript FROM made LEFT JOIN agg ON agg.doc_id = made.doc_id)"""
+
 
 def _with(names: str, rest: str) -> str:
     return f"WITH RECURSIVE {with_adapters(*names.split())}{', ' if names and rest.lstrip().startswith('*') else ' '}{rest.lstrip().removeprefix('*')}"
@@ -199,24 +215,26 @@ ORACLES: dict[str, str] = {
   k AS (SELECT *, count(*) FILTER (chosen) OVER (PARTITION BY source) AS own FROM c)
   SELECT source, key, type, pos FROM k WHERE own = 0 OR chosen OR type = 'Procedure' OR (meeting AND type = 'Person') QUALIFY row_number() OVER (PARTITION BY source ORDER BY pos) <= 20""",
     "next_action_rank": _with("concepts", "SELECT CAST(3 AS INT) AS tier, 'sensitivity-gap' AS subject, count(*) AS n FROM concepts WHERE sensitivity IS NULL"),
-    "transcript_shape": """SELECT conv_id, count(*) FILTER (n >= 2) AS speakers, CAST(coalesce(sum(n) FILTER (n >= 2), 0) AS BIGINT) AS recurring, CAST(sum(n) AS BIGINT) AS lines,
-  count(*) FILTER (n >= 2) >= 2 AND coalesce(sum(n) FILTER (n >= 2), 0) >= 4 AND 2 * coalesce(sum(n) FILTER (n >= 2), 0) >= sum(n) AS is_transcript
-  FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY 1, 2) GROUP BY conv_id""",
-    "dominant_language": rf"""SELECT doc_id, CAST(e AS INT) AS n_en, CAST(s AS INT) AS n_es, CASE WHEN e > s AND e >= 2 * s THEN 'en' WHEN s > e AND s >= 2 * e THEN 'es' END AS language FROM (
-  SELECT doc_id, len(list_filter(w, lambda x: x IN ({_EN}))) AS e, len(list_filter(w, lambda x: x IN ({_ES}))) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS w FROM documents))""",
-    "extraction_cost": _with("concepts", "SELECT concept_id, CAST(CASE WHEN length(body) > 18000 THEN ceil(length(body) / 4000.0) ELSE 2 END + CASE WHEN type = 'Person' THEN 1 ELSE 0 END + 1 AS BIGINT) AS calls FROM concepts"),
-    "verdict_parse": """SELECT event_id, CASE WHEN event_type = 'click' THEN CASE WHEN user_id % 2 = 0 THEN 'CONTRADICTS' ELSE 'UNCERTAIN' END WHEN event_type = 'view' THEN 'CONSISTENT' ELSE 'UNCERTAIN' END AS verdict,
-  round(greatest(0.0, least(1.0, coalesce(value, 0) / 50)), 6) AS confidence FROM events""",
+    "transcript_shape": f"WITH {_SHAPES} SELECT * FROM shape",
+    "dominant_language": rf"""SELECT doc_id, CAST(e AS INT) AS n_en, CAST(s AS INT) AS n_es, CASE WHEN e > 2 * s THEN 'en' WHEN s > 2 * e THEN 'es' END AS language FROM (
+  SELECT doc_id, len(list_filter(w, lambda x: x IN ({_EN}))) AS e, len(list_filter(w, lambda x: x IN ({_ES}))) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-záéíóúüñ]+') AS w FROM documents))""",
+    "extraction_cost": rf"""WITH {_SHAPES},
+m AS (SELECT doc_id, body, regexp_matches(title, '(?i)\b(meeting|standup|retrospective|kickoff|huddle|reuni[oó]n(es)?)\b') OR is_transcript AS meeting FROM made JOIN shape USING (doc_id)),
+l AS (SELECT *, length(body) > CASE WHEN meeting THEN 12000 ELSE 18000 END AS long FROM m),
+w AS (SELECT *, CASE WHEN long THEN list_reduce(list_transform(string_split(body, chr(10)), lambda x: {{'n': CAST(1 AS BIGINT), 's': length(x) + 1}}),
+  lambda a, b: CASE WHEN a.s + b.s > 4000 THEN {{'n': a.n + 1, 's': b.s}} ELSE {{'n': a.n, 's': a.s + b.s}} END).n ELSE 0 END AS windows FROM l)
+SELECT concat('sources/', CAST(doc_id AS VARCHAR)) AS concept_id, CAST(windows AS BIGINT) AS windows, CAST(CASE WHEN long THEN windows ELSE 2 END + CASE WHEN meeting THEN 1 ELSE 0 END + 1 AS BIGINT) AS calls FROM w""",
+    "verdict_parse": """SELECT event_id, CASE WHEN event_type = 'click' THEN CASE WHEN user_id % 3 = 0 THEN 'CONTRADICTS' ELSE 'UNCERTAIN' END WHEN event_type = 'view' THEN 'CONSISTENT' ELSE 'UNCERTAIN' END AS verdict,
+  round(CASE WHEN event_id % 11 < 2 THEN 0.0 ELSE greatest(0.0, least(1.0, coalesce(value, 0) / 50)) END, 6) AS confidence FROM events""",
     "resource_shape": "SELECT p_partkey, CASE p_size % 6 WHEN 1 THEN 'parent' WHEN 2 THEN 'backslash' WHEN 3 THEN 'missing' WHEN 4 THEN 'shape' WHEN 5 THEN 'missing' END AS reason FROM part",
     "titleize": "SELECT p_partkey, replace(p_type, ' ', ' ') AS title FROM part",
     "decision_keys": "SELECT n_nationkey, substr(sha256(concat(least(n_name, r), chr(0), greatest(n_name, r))), 1, 32) AS decision_key FROM (SELECT *, concat('region/', CAST(n_regionkey AS VARCHAR)) AS r FROM nation)",
-    "merge_relations": """WITH r AS (SELECT n_nationkey AS k, unnest([[n_regionkey, 0], [n_nationkey + 1, 1], [n_nationkey, 1], [n_nationkey, 0]]) AS t FROM nation),
-  d AS (SELECT DISTINCT k, concat('n/', CAST(t[1] AS VARCHAR)) AS target, CASE t[2] WHEN 0 THEN 'part_of' ELSE 'references' END AS type FROM r WHERE t[1] <> k)
+    "merge_relations": """WITH r AS (SELECT n_nationkey AS k, unnest([[n_regionkey, 0, 0], [n_nationkey + 1, 1, 0], [n_nationkey, 2, 0], [99, 1, 0], [n_nationkey, 1, 1], [n_regionkey, 0, 1], [n_nationkey + 1, 1, 1], [99, 0, 1]]) AS t FROM nation),
+  d AS (SELECT DISTINCT k, concat('n/', CAST(t[1] AS VARCHAR)) AS target, CASE t[2] WHEN 0 THEN 'part_of' WHEN 1 THEN 'references' ELSE 'depends_on' END AS type FROM r WHERE t[1] <> 99 AND (t[3] = 0 OR t[1] <> k))
   SELECT n_nationkey, coalesce(string_agg(concat(target, ':', type), ',' ORDER BY target, type), '') AS relations FROM nation LEFT JOIN d ON k = n_nationkey GROUP BY 1""",
     "union_dedup_lists": "SELECT p_partkey, concat_ws('|', p_brand, p_name, p_brand, p_type) AS merged FROM part",
-    "attribution_split": """SELECT event_id, concat('Answer ', CAST(event_id AS VARCHAR)) AS prose, 'reported' AS status,
-  CASE WHEN a BETWEEN 1 AND 4 AND b BETWEEN 1 AND 4 AND a <> b THEN concat(CAST(a AS VARCHAR), ',', CAST(b AS VARCHAR)) WHEN a BETWEEN 1 AND 4 THEN CAST(a AS VARCHAR) WHEN b BETWEEN 1 AND 4 THEN CAST(b AS VARCHAR) ELSE '' END AS used
-  FROM (SELECT event_id, event_id % 7 AS a, user_id % 5 AS b FROM events)""",
+    "attribution_split": """SELECT event_id, concat('Answer ', CAST(event_id AS VARCHAR)) AS prose, CASE WHEN k = 0 OR (k > 1 AND len(n) > 0) THEN 'reported' ELSE 'unparsed' END AS status, CASE WHEN k > 1 THEN array_to_string(n, ',') ELSE '' END AS used
+  FROM (SELECT event_id, event_id % 13 AS k, list_filter(CASE WHEN a = b THEN [a] ELSE [a, b] END, lambda x: x BETWEEN 1 AND 4) AS n FROM (SELECT event_id, event_id % 7 AS a, user_id % 5 AS b FROM events))""",
     "json_replies": """SELECT event_id, concat('{"event": ', CAST(event_id AS VARCHAR), ', "props": "', event_type, '"}') AS object FROM events""",
     "streaming_latest": "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2",
 }

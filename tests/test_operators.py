@@ -198,6 +198,8 @@ def test_answer_filters_after_the_cut(spark):
 def test_verdicts_and_merges(spark):
     rows = spark.createDataFrame([("contradicts", 2.0, ["c"]), ("CONTRADICTS", float("nan"), None), ("odd", -1.0, ["c"])], "verdict string, confidence double, claims array<string>")
     assert [(r["verdict"], r["confidence"]) for r in summaries.verdicts(rows).collect()] == [("CONTRADICTS", 1.0), ("UNCERTAIN", 0.0), ("UNCERTAIN", 0.0)]
+    odd = spark.createDataFrame([("contradicts", float("inf"), [" ", None, ""]), (" Consistent", float("-inf"), None)], "verdict string, confidence double, claims array<string>")
+    assert [(r["verdict"], r["confidence"]) for r in summaries.verdicts(odd).collect()] == [("UNCERTAIN", 0.0), ("CONSISTENT", 0.0)]
     assert lint.window_for(spark.createDataFrame([("Person", None), ("Event", None), ("Odd", None), ("Event", "slow")], "type string, volatility string")).select("window_days").collect()[0][0] == 90
 
 
@@ -213,3 +215,29 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 2
     days = verdicts.run_once(verdicts.windowed(verdicts.read_events(spark, str(tmp_path / "in"), df.schema)), "days")
     assert days.agg(F.sum("n")).first()[0] == 20
+
+
+def test_merged_relations_keep_the_survivors_own_loop(spark):
+    kind = "array<struct<target: string, type: string>>"
+    rows = spark.createDataFrame([([("s", "related_to"), ("a", "part_of"), ("x", "part_of")], [("s", "part_of"), ("a", "part_of"), ("x", "part_of"), ("b", "references")])], f"a {kind}, b {kind}")
+    (got,) = rows.select(summaries.merged_relations(F.col("a"), F.col("b"), F.lit("s"), F.lit("a")).alias("m")).first()
+    assert [tuple(r) for r in got] == [("b", "references"), ("s", "related_to"), ("x", "part_of")]
+
+
+def test_transcripts_and_their_cost(spark):
+    turns = "\n".join(f"[10:{i:02d}] {'Ana Ruiz' if i % 2 else 'B'}: well, point {i}" for i in range(10))
+    bodies = {1: turns, 2: turns.replace("Ana Ruiz", "ANA"), 3: "\n".join(["prose here"] * 11) + "\n" + turns, 4: "one two three four: x\n" * 12, 5: None, 6: "", 7: "INFO: a\nINFO: b\n" * 9}
+    df = spark.createDataFrame([(k, "Notes", v) for k, v in bodies.items()], "doc_id long, title string, body string")
+    shape = {r["doc_id"]: r for r in summaries.transcript_shape(df).collect()}
+    assert [k for k, r in shape.items() if r["is_transcript"]] == [1] and set(shape) == set(bodies)
+    assert (shape[1]["speakers"], shape[1]["recurring"], shape[1]["lines"]) == (2, 10, 10) and (shape[5]["lines"], shape[6]["lines"]) == (0, 0)
+    prose = "\n".join("x" * 99 for _ in range(181))
+    long = spark.createDataFrame([("p", "Report", prose, False), ("m", "Weekly standup", prose[:12_001], True), ("n", "Report", prose[:12_001], False), ("w", "Report", "y" * 20_000, False)], "concept_id string, title string, body string, meeting boolean")
+    cost = {r["concept_id"]: (r["windows"], r["calls"]) for r in summaries.extraction_cost(long).collect()}
+    assert cost == {"p": (5, 6), "m": (4, 6), "n": (0, 3), "w": (1, 2)}
+    from cairn.functions.kernels import chunk_lines
+
+    assert (len(chunk_lines(prose)), len(chunk_lines(prose[:12_001]))) == (5, 4)
+    assert {r["calls"] for r in summaries.extraction_cost(long, union_judge=False).collect()} == {5, 4, 1}
+    named = {r["doc_id"]: r["meeting"] for r in summaries.meeting_shaped(df.withColumn("title", F.when(F.col("doc_id") == 4, "La Reunión de hoy").otherwise("x"))).collect()}
+    assert [k for k, v in named.items() if v] == [1, 4] or sorted(k for k, v in named.items() if v) == [1, 4]
