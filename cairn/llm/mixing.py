@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Schedules of at most so many slots (of a source's name and two numbers each) are broadcast.
+BROADCAST_ROWS = 20_000
+
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     """Integer shares of the period by largest remainder, one at least; ties go to the smaller name."""
@@ -81,8 +84,9 @@ def mix_sources(
     for slot, s in enumerate(slots):
         rows.append((s, seen.get(s, 0), slot))
         seen[s] = seen.get(s, 0) + 1
-    plan = spark.createDataFrame(rows, "mix_source string, _turn long, _slot long")
-    plan = plan.join(spark.createDataFrame([(s, c) for s, c in share.items()], "mix_source string, _share long"), "mix_source")
+    small = (lambda df: F.broadcast(df)) if len(rows) <= BROADCAST_ROWS else (lambda df: df)  # longer schedules, of more sources than that, are joined
+    plan = small(spark.createDataFrame(rows, "mix_source string, _turn long, _slot long"))
+    share_of = small(spark.createDataFrame([(s, c) for s, c in share.items()], "mix_source string, _share long"))
 
     digits = 1
     while max(counts.values()) > bucket_docs * 16**digits and digits < 8:
@@ -101,11 +105,10 @@ def mix_sources(
         .withColumn("mix_block", F.floor(F.col("_index") / block_docs).cast("long"))
         .withColumn("mix_pos", (F.col("_index") % block_docs).cast("long"))
     )
-    share_of = plan.select("mix_source", "_share").distinct()
     return (
         placed.join(share_of, "mix_source")
         .withColumn("_turn", F.col("mix_block") % F.col("_share"))
-        .join(plan.drop("_share"), ["mix_source", "_turn"])
+        .join(plan, ["mix_source", "_turn"])
         .withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("_share")).cast("long") * len(slots) + F.col("_slot"))
         .select(*[F.col(f"`{c}`") for c in docs.columns], "mix_source", "mix_block", "mix_slot", "mix_pos")
     )

@@ -52,14 +52,15 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encodes, then decodes the ids, one text at a time.
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids), then the whole-number columns named in keep: encodes, then decodes the ids,
+    one text at a time.
 
     The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded bytes.
-    A null text is empty; repeated rows give repeated results.
+    A null text is empty, a very long one is taken whole; repeated rows give repeated results, an empty table none; other columns are ignored.
     """
     held = _vocabulary(docs, ranks_path)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + "".join(f", `{c}` long" for c in keep)
 
     def run(batches):
         with encoding(held.value, pattern) as enc:
@@ -82,6 +83,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool =
                     edges = pa.array([0, *accumulate(counts)], pa.int32())
                     values = pa.concat_arrays(kept) if kept else pa.array([], pa.int32())
                     columns, names = [*columns, pa.ListArray.from_arrays(edges, values)], [*names, "ids"]
+                columns, names = [*columns, *batch.columns[2:]], [*names, *keep]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *[F.col(f"`{c}`").cast("long") for c in keep]).mapInArrow(run, schema)
