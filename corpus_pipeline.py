@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, line dedup, near duplicates, mixing, byte-level BPE. Part of the subpackage cairn.llm.
 
 Each stage takes all documents that the one before kept and returns those that it keeps,
-with the columns of documents; the last returns tokens.
+with the columns of documents; the last returns tokens, each with its document's place in the mixture: sorted by
+(mix_slot, mix_pos), every prefix holds the sources by their target weights to within one block.
+
+No stage fails on nulls, empty or very long texts, repeated rows, empty tables or more columns (these go); what becomes of
+such rows is said where the operators are.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import jaccard, line_dedup, mixing, quality, tokenize
-from cairn.llm.common import materialize, table
+from cairn.llm.common import discard, materialize, table
 from cairn.llm.queries import PATTERN, RANKS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,15 +37,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_one(docs).select(*COLUMNS)
 
 
+ORDER = ("mix_slot", "mix_pos")
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture."""
     mixed = mixing.mix_sources(docs)
-    return mixed.repartitionByRange("mix_slot", "mix_pos", "mix_source").sortWithinPartitions("mix_slot", "mix_pos", "mix_source").select(*COLUMNS)
+    return mixed.repartitionByRange(*ORDER, "mix_source").sortWithinPartitions(*ORDER, "mix_source").select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, checked by decoding them."""
-    return tokenize.round_trip(docs, RANKS, PATTERN, keep_ids=True)
+    """Token ids of every document, checked by decoding them, and its slot and position. Files keep no order, and documents no column for it:
+    the schedule follows from the rows alone, so it is worked out again as the stage before had it."""
+    return tokenize.round_trip(mixing.mix_sources(docs.select(*COLUMNS)), RANKS, PATTERN, keep_ids=True, keep=ORDER)
 
 
 STAGES = [
@@ -59,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
