@@ -30,7 +30,7 @@ from cairn.llm.common import discard, materialize, mix, release, text_blocks, wo
 WIDTH = 5
 _M = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 SKETCH_WORDS = 8
-WIDE_BITS, WIDE_FROM = 2048, 300
+WIDE_FROM = 800
 
 
 def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
@@ -68,13 +68,23 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def wide_sketch(x: np.ndarray) -> list[int]:
-    """The same over WIDE_BITS bits, for sets that fill the small one; empty for others."""
+def wide_sketch(x: np.ndarray) -> bytes:
+    """The same over as many bits as the set has elements or up to twice that, for sets that fill the small one; empty for others."""
     if len(x) <= WIDE_FROM:
-        return []
-    bit = mix(x ^ _M[22]) >> np.uint64(64 - WIDE_BITS.bit_length() + 1)
-    odd = np.bincount(bit.astype(np.int64), minlength=WIDE_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+        return b""
+    bits = 1 << (len(x) - 1).bit_length()
+    odd = np.bincount((mix(x ^ _M[27]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def wide_differ(a: bytes, b: bytes) -> int:
+    """In how many bits two wide sketches differ; the longer one is folded, which leaves parities over fewer bits."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 class Bands:
@@ -163,9 +173,9 @@ def _scan(docs: DataFrame) -> DataFrame:
                     sk.append(sketch(x))
                     wide.append(wide_sketch(x))
             sk = np.array(sk, np.uint64).reshape(-1, SKETCH_WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _signed(np.array(fp, np.uint64)), *[_signed(sk[:, i]) for i in range(SKETCH_WORDS)], pa.array(wide, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", *[f"s{i}" for i in range(SKETCH_WORDS)], "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _signed(np.array(fp, np.uint64)), *[_signed(sk[:, i]) for i in range(SKETCH_WORDS)], pa.array(wide, pa.binary())], ["doc_id", "n_shingles", "fp", *[f"s{i}" for i in range(SKETCH_WORDS)], "wide"])
 
-    schema = "doc_id long, n_shingles long, fp long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)) + ", wide array<long>"
+    schema = "doc_id long, n_shingles long, fp long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)) + ", wide binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -328,11 +338,20 @@ def _possible(a: str, b: str, percent: int):
 
 def _still_likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs that wide sketches don't rule out either; pairs of small sets pass."""
-    side = lambda k: nodes.select(F.col("fp").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("wide").alias(f"w_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = F.aggregate(F.zip_with("w_a", "w_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    small = (F.size("w_a") == 0) | (F.size("w_b") == 0)
-    return both.filter(small | ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select(*pairs.columns)
+    names = pairs.columns
+    side = lambda k: nodes.filter(F.length("wide") > 0).select(F.col("fp").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("wide").alias(f"w_{k}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(*names, "n_a", "n_b", "w_a", "w_b")
+
+    def run(batches):
+        for batch in batches:
+            keep = [
+                i
+                for i, (n, m, x, y) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(len(names), len(names) + 4)), strict=True))
+                if x is None or y is None or (100 + percent) * wide_differ(x, y) <= (100 - percent) * (n + m)
+            ]
+            yield batch.select(names).take(pa.array(keep, pa.int64()))
+
+    return both.mapInArrow(run, pairs.schema)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int, most: int = 256) -> DataFrame:
