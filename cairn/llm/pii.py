@@ -3,7 +3,8 @@
 Tokens with a digit or an @ are the variables. Neighbours share a chain potential;
 distant tokens of one document that are alike (same characters but for case and
 punctuation, or the same digits) share a skip potential, so labels carry over.
-Loopy sum-product messages give marginals; tokens in pattern spans are observed.
+All weights are trained together, by the pseudo-likelihood of labels given the
+labels that edges tie to them. Loopy sum-product messages give marginals; tokens in pattern spans are observed.
 """
 
 from __future__ import annotations
@@ -128,8 +129,29 @@ def likeness(token: str) -> list[str]:
     return out
 
 
+def edges(text: str, spans: list[tuple[int, int]], reach: int = 8) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(chain, skip): pairs of neighbours with one space between, and of alike tokens that no chain edge ties. A token is tied to
+    the `reach` alike ones before it, so a group of that size is tied throughout and a larger one in time linear in its size."""
+    chain = [(i, i + 1) for i in range(len(spans) - 1) if text[spans[i][1] : spans[i + 1][0]] == " "]
+    tied, skip = set(chain), []
+    groups: dict[str, list[int]] = defaultdict(list)
+    for i, (a, b) in enumerate(spans):
+        for key in likeness(text[a:b]):
+            for j in groups[key][-reach:]:
+                if (j, i) not in tied:
+                    tied.add((j, i))
+                    skip.append((j, i))
+            groups[key].append(i)
+    return chain, skip
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    p = np.exp(x - x.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 class SkipChain:
-    """Potentials as log weights: node (feature x label), chain and skip (label x label)."""
+    """Potentials as log weights: node (feature x label), chain (left x right label) and skip (label x label, symmetric)."""
 
     def __init__(self, node: dict[str, list[float]], chain: list[list[float]], skip: list[list[float]]):
         self.node = {k: np.array(v) for k, v in node.items()}
@@ -143,35 +165,30 @@ class SkipChain:
         x = json.loads(text)
         return cls(x["node"], x["chain"], x["skip"])
 
-    def marginals(self, text: str, spans: list[tuple[int, int]], observed: dict[int, int], rounds: int = 8) -> np.ndarray:
-        """Loopy sum-product. A group of m alike tokens is tied by a star to its first token, in m - 1 edges."""
-        n = len(spans)
-        tokens = [text[a:b] for a, b in spans]
-        local = np.zeros((n, len(LABELS)))
+    def local(self, tokens: list[str], observed: dict[int, int]) -> np.ndarray:
+        """Log weights of each token's labels, its edges apart."""
+        out = np.zeros((len(tokens), len(LABELS)))
         for i, t in enumerate(tokens):
             for f in features(t):
                 w = self.node.get(f)
                 if w is not None:
-                    local[i] += w
+                    out[i] += w
         for i, k in observed.items():
-            local[i] = -30.0
-            local[i, k] = 0.0
-        local -= local.max(1, keepdims=True)
-        edges = [(i, i + 1, 0) for i in range(n - 1) if text[spans[i][1] : spans[i + 1][0]] == " "]
-        chained = set(edges)
-        first: dict[str, int] = {}
-        for i, t in enumerate(tokens):
-            for key in likeness(t):
-                if key in first and (first[key] != i - 1 or (i - 1, i, 0) not in chained):
-                    edges.append((first[key], i, 1))
-                first.setdefault(key, i)
-        if not edges:
-            p = np.exp(local)
-            return p / p.sum(1, keepdims=True)
-        src = np.array([e[0] for e in edges] + [e[1] for e in edges])
-        dst = np.array([e[1] for e in edges] + [e[0] for e in edges])
-        pots = np.stack([(self.chain, self.skip)[k] for _, _, k in edges] + [(self.chain, self.skip)[k].T for _, _, k in edges])
-        m = len(edges)
+            out[i] = -30.0
+            out[i, k] = 0.0
+        return out - out.max(1, keepdims=True)
+
+    def marginals(self, text: str, spans: list[tuple[int, int]], observed: dict[int, int], rounds: int = 20) -> np.ndarray:
+        """Loopy sum-product, damped, until messages stand still or for so many rounds."""
+        local = self.local([text[a:b] for a, b in spans], observed)
+        chain, skip = edges(text, spans)
+        if not chain and not skip:
+            return _softmax(local)
+        left, right = np.array([*chain, *skip]).T
+        src, dst = np.concatenate((left, right)), np.concatenate((right, left))
+        each = np.stack([self.chain] * len(chain) + [self.skip] * len(skip))
+        pots = np.concatenate((each, each.transpose(0, 2, 1)))
+        m = len(left)
         back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
         messages = np.zeros((2 * m, len(LABELS)))
         for _ in range(rounds):
@@ -180,62 +197,73 @@ class SkipChain:
             out = belief[src] - messages[back]
             out = np.logaddexp.reduce(out[:, :, None] + pots, axis=1)
             out -= out.max(1, keepdims=True)
+            moved = np.abs(out - messages).max()
             messages = 0.5 * messages + 0.5 * out
+            if moved < 1e-9:
+                break
         belief = local.copy()
         np.add.at(belief, dst, messages)
-        p = np.exp(belief - belief.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        return _softmax(belief)
 
 
 def token_labels(spans: list[tuple[int, int]], base: list[Span]) -> dict[int, int]:
-    """The label of each token that a pattern span touches; the first span wins."""
+    """The label of each token that a pattern span touches; the first span wins. Both lists are sorted: one sweep."""
     out: dict[int, int] = {}
+    first = 0
     for a, b, k in base:
-        for i, (c, d) in enumerate(spans):
-            if c < b and a < d:
-                out.setdefault(i, k + 1)
+        while first < len(spans) and spans[first][1] <= a:
+            first += 1  # ends before this span begins, and so before all later ones do
+        i = first
+        while i < len(spans) and spans[i][0] < b:
+            out.setdefault(i, k + 1)
+            i += 1
     return out
 
 
-def train(texts: list[str], steps: int = 200) -> SkipChain:
-    """Piecewise training from texts labelled by the patterns: maximum entropy for nodes, smoothed pair counts for edges."""
+def train(texts: list[str], steps: int = 300, rate: float = 1.0, decay: float = 1e-3) -> SkipChain:
+    """The weights of largest pseudo-likelihood, by gradient ascent: each label given its token and the labels that edges tie to it.
+
+    Labels are the patterns'. decay keeps weights that few tokens speak for small; without tokens all weights are nought.
+    """
     rows: list[list[str]] = []
     labels: list[int] = []
-    chain, skip = np.ones((5, 5)), np.ones((5, 5)) * 0.5
+    chain: list[tuple[int, int]] = []
+    skip: list[tuple[int, int]] = []
     for text in texts:
-        spans = candidates(text)
+        spans, at = candidates(text), len(rows)
         known = token_labels(spans, base_spans(text))
-        ys = [known.get(i, 0) for i in range(len(spans))]
-        groups: dict[str, list[int]] = defaultdict(list)
-        for i, (a, b) in enumerate(spans):
-            rows.append(features(text[a:b]))
-            labels.append(ys[i])
-            if i and text[spans[i - 1][1] : a] == " ":
-                chain[ys[i - 1], ys[i]] += 1
-            for key in likeness(text[a:b]):
-                groups[key].append(ys[i])
-        for ys in groups.values():
-            for y in ys[1:]:
-                skip[ys[0], y] += 1
+        labels += [known.get(i, 0) for i in range(len(spans))]
+        rows += [features(text[a:b]) for a, b in spans]
+        for into, found in zip((chain, skip), edges(text, spans), strict=True):
+            into += [(at + i, at + j) for i, j in found]
     names = sorted({f for r in rows for f in r})
-    at = {f: i for i, f in enumerate(names)}
-    weights = np.zeros((len(names), len(LABELS)))
-    if rows:
-        x = np.zeros((len(rows), len(names)))
+    place = {f: i for i, f in enumerate(names)}
+    n, m = len(rows), len(LABELS)
+    node, across, alike = np.zeros((len(names), m)), np.zeros((m, m)), np.zeros((m, m))
+    if n:
+        x = np.zeros((n, len(names)), np.float32)
         for i, r in enumerate(rows):
-            x[i, [at[f] for f in r]] = 1
-        y = np.eye(len(LABELS))[labels]
+            x[i, [place[f] for f in r]] = 1
+        y = np.eye(m)[labels]
+
+        def beside(pairs: list[tuple[int, int]]) -> np.ndarray:
+            """Of each token, how often each label stands at the other end of these (from, to) pairs, over the tokens `to`."""
+            out = np.zeros((n, m))
+            if pairs:
+                a, b = np.array(pairs).T
+                np.add.at(out, b, y[a])
+            return out
+
+        before, after = beside(chain), beside([(j, i) for i, j in chain])
+        tied = beside([*skip, *[(j, i) for i, j in skip]])
+        weight = 1 / np.maximum(tied.sum(1, keepdims=True), 1)  # a large group speaks once a token
         for _ in range(steps):
-            p = np.exp(x @ weights - (x @ weights).max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            weights += 2.0 * (x.T @ (y - p) / len(rows) - 1e-4 * weights)
-
-    def potential(counts: np.ndarray) -> np.ndarray:
-        joint = counts / counts.sum()
-        pmi = np.log(joint) - np.log(joint.sum(1, keepdims=True)) - np.log(joint.sum(0, keepdims=True))
-        return np.clip(pmi, -3, 3)
-
-    return SkipChain({f: weights[i].tolist() for f, i in at.items()}, potential(chain).tolist(), potential((skip + skip.T) / 2 + 2 * np.eye(5)).tolist())
+            miss = y - _softmax(x @ node + before @ across + after @ across.T + (tied * weight) @ alike)
+            node += rate * (x.T @ miss / n - decay * node)
+            across += rate * ((before.T @ miss + (after.T @ miss).T) / n - decay * across)
+            step = (tied * weight).T @ miss / n
+            alike += rate * ((step + step.T) / 2 - decay * alike)
+    return SkipChain({f: node[i].tolist() for f, i in place.items()}, across.tolist(), alike.tolist())
 
 
 def fit(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000) -> SkipChain:
@@ -245,8 +273,10 @@ def fit(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000) -> SkipC
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     fit_for = F.col("text").rlike("[0-9@]") & (F.length("text") <= max_chars)
-    some = docs.filter(fit_for).select(key.alias("_key"), "doc_id", "text").orderBy("_key", "doc_id", "text").limit(max_docs)
-    return train([r["text"] for r in some.collect()])
+    rows = docs.filter(fit_for).select(key.alias("_key"), F.xxhash64("text").alias("_tie"), "text")
+    first = rows.select("_key", "_tie").distinct().orderBy("_key", "_tie").limit(max_docs)  # digests alone meet at the driver
+    some = rows.join(F.broadcast(first), ["_key", "_tie"]).dropDuplicates(["_key", "_tie"])  # max_docs rows of two digests
+    return train([r["text"] for r in some.select("_key", "_tie", "text").collect() if r["text"]])
 
 
 def find(text: str, model: SkipChain, certain: float = 0.95) -> tuple[list[Span], list[Span]]:
@@ -280,8 +310,8 @@ def find_personal_data(docs: DataFrame, model: SkipChain) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every whole text.
 
     Counts and base_sha256 are of the pattern spans; spans has those and the field's, as
-    kind:start:end in code points, by start. A null text is empty; repeated rows give repeated
-    results, an empty table none; other columns are ignored.
+    kind:start:end in code points, by start; ties go by kind, then end. A null text is empty, a very long one is searched
+    whole; repeated rows give repeated results, an empty table none; other columns are ignored.
     """
     import hashlib
 

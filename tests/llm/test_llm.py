@@ -299,6 +299,69 @@ def test_messages_are_exact_on_a_tree():
     assert np.allclose(got, [w.sum((1, 2)), w.sum((0, 2)), w.sum((0, 1))], atol=1e-6)
 
 
+def test_messages_come_near_enumeration_on_a_loopy_graph():
+    rnd = np.random.default_rng(3)
+    node = {f"digits={d}": rnd.normal(size=5).tolist() for d in (4, 8)} | {"bias": rnd.normal(size=5).tolist()}
+    skip = rnd.normal(size=(5, 5)) / 3 + np.eye(5)
+    model = pii.SkipChain(node, (rnd.normal(size=(5, 5)) / 2).tolist(), ((skip + skip.T) / 2).tolist())
+    text = "123456 ab4567 123-456 ab4567\n12-3456"
+    spans = pii.candidates(text)
+    chain, tied = pii.edges(text, spans)
+    assert chain == [(0, 1), (1, 2), (2, 3)] and tied == [(0, 2), (1, 3), (2, 4), (0, 4)] or sorted(tied) == [(0, 2), (0, 4), (1, 3), (2, 4)]
+    for observed in ({}, {0: 2}):
+        local = model.local([text[a:b] for a, b in spans], observed)
+        w = np.zeros((5,) * 5)
+        for y in itertools.product(range(5), repeat=5):
+            w[y] = sum(local[i, k] for i, k in enumerate(y)) + sum(model.chain[y[i], y[j]] for i, j in chain) + sum(model.skip[y[i], y[j]] for i, j in tied)
+        w = np.exp(w - w.max())
+        w /= w.sum()
+        exact = np.stack([w.sum(tuple(j for j in range(5) if j != i)) for i in range(5)])
+        got = model.marginals(text, spans, observed, rounds=300)
+        assert np.abs(got - exact).max() < 0.08 and (got.argmax(1) == exact.argmax(1)).all()
+
+
+def test_trained_field_carries_labels_to_alike_tokens():
+    rnd = random.Random(5)
+    number = lambda: f"{rnd.randrange(200, 999)}-{rnd.randrange(1000, 9999)}"
+    texts = []
+    for _ in range(300):  # a number is a phone's each time it stands in a text, or never
+        a, b = number(), number()
+        texts.append(f"call +1 (555) {a} now\nroom {b} and room {b} are free\nagain +1 (555) {a} please")
+    model = pii.train(texts)
+    assert model.skip.shape == (5, 5) and np.allclose(model.skip, model.skip.T) and (np.diag(model.skip)[[0, 4]] > 0).all()
+    a, b = "321-7654", "456-1234"
+    text = f"call +1 (555) {a} now\nlater {a}\nand\n{b}"
+    spans = pii.candidates(text)
+    p = model.marginals(text, spans, pii.token_labels(spans, pii.base_spans(text)))
+    again, other = (spans.index((text.rindex(x), text.rindex(x) + 8)) for x in (a, b))
+    assert p[again, 4] > p[other, 4] + 0.1
+    base, found = pii.find(text, model, certain=float(p[again, 4]) - 1e-6)
+    added = set(found) - set(base)
+    assert (text.rindex(a), text.rindex(a) + 8, 3) in added and set(base) <= set(found)
+    assert pii.train([]).node == {} and pii.find("room 12", pii.train([]))[1] == []
+
+
+def test_labels_of_tokens_by_one_sweep():
+    rnd = random.Random(6)
+    for _ in range(500):
+        cuts = sorted(rnd.sample(range(60), 12))
+        spans = [(cuts[i], cuts[i + 1]) for i in range(0, 12, 2)]
+        base = sorted({(a, a + rnd.randrange(1, 20), rnd.randrange(4)) for a in rnd.sample(range(60), 5)}, key=lambda s: (s[0], s[2]))
+        want = {}
+        for a, b, k in base:
+            for i, (c, d) in enumerate(spans):
+                if c < b and a < d:
+                    want.setdefault(i, k + 1)
+        assert pii.token_labels(spans, base) == want
+
+
+def test_fit_takes_few_texts_and_no_order_of_rows(spark):
+    rows = [(i % 40, f"mail u{i % 40}@mail.example.com now") for i in range(80)] + [(None, "ip 10.0.0.1"), (50, None), (51, "no data"), (52, "9" * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.fit(df).to_json() == pii.fit(df.orderBy(F.desc("doc_id")).repartition(7)).to_json()
+    assert pii.fit(df.limit(0)).node == {}
+
+
 def test_alike_neighbours_without_a_chain_edge_are_tied():
     model = pii.SkipChain({}, np.zeros((5, 5)).tolist(), (4 * np.eye(5)).tolist())
     for gap in ("\n", "\t", "  "):
