@@ -12,15 +12,27 @@ MAX_ROUNDS = 10_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared folder and read back."""
+    """df written to the cluster's shared folder and read back. Where none is set, a temporary folder serves a local master (tests)."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/cairn-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_cairn_path", None):
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def reachable(edges: DataFrame, roots: DataFrame, down: bool = True) -> DataFrame:

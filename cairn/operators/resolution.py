@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.text_udfs import acronym_match, near_match, normalize_key, word_ratio
+from cairn.operators.fixpoint import cut
 
 
 def eligible(concepts: DataFrame, deprecated: DataFrame, ascii_only: bool = False) -> DataFrame:
@@ -28,44 +29,62 @@ def same_title(docs: DataFrame) -> DataFrame:
     return groups.select("key", F.col("m.concept_id").alias("member_ids"), F.col("m.type").alias("member_types"))
 
 
-def acronym_pairs(docs: DataFrame) -> DataFrame:
-    """(type, id_a, id_b, acronym) within a type: blocked on the acronym, an equi-join of head words with runs of initials."""
+def lanes(docs: DataFrame, bridged: bool) -> DataFrame:
+    """(lane, crossing, concept_id, type, key): every document in the lane of its type, and with bridged also, crossing, in that of the
+    other type it might have been. Pairs are compared within a lane, one of them at most crossing."""
+    own = docs.select(F.col("type").alias("lane"), F.lit(False).alias("crossing"), "concept_id", "type", "key")
+    if not bridged:
+        return own
+    other = F.trim("type_alternative")
+    return own.unionByName(docs.filter((other != "") & (other != F.col("type"))).select(other.alias("lane"), F.lit(True).alias("crossing"), "concept_id", "type", "key"))
+
+
+def type_label(types: Column) -> Column:
+    """The distinct types in order, joined by +."""
+    return F.array_join(F.array_sort(F.array_distinct(types)), "+")
+
+
+def acronym_pairs(docs: DataFrame, bridged: bool = False) -> DataFrame:
+    """(type, id_a, id_b, acronym) within a type, or between types that alternative types bridge: blocked on the acronym, an equi-join of
+    head words with runs of initials."""
     words = F.split("key", " ")
     from cairn.vocabulary import CONNECTIVES
 
     stops = F.array(*map(F.lit, CONNECTIVES))
-    cut = F.array_min(F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(stops, w), i)), lambda i: i.isNotNull()))
-    head = F.get(words, F.coalesce(cut, F.size(words)) - 1)
-    heads = docs.select("type", "concept_id", "key", head.alias("acronym")).filter(F.length("acronym") >= 3)
+    ends = F.array_min(F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(stops, w), i)), lambda i: i.isNotNull()))
+    head = F.get(words, F.coalesce(ends, F.size(words)) - 1)
+    held = lanes(docs, bridged)
+    heads = held.withColumn("acronym", head).filter(F.length("acronym") >= 3)
     letters = F.transform(words, lambda w: F.substring(w, 1, 1))
     runs = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.transform(F.sequence(F.lit(3), F.greatest(F.size(words) - i, F.lit(3))), lambda n: F.array_join(F.slice(letters, i + 1, n), ""))))
-    spelled = docs.filter(F.size(words) >= 3).select("type", F.col("concept_id").alias("other"), F.col("key").alias("other_key"), F.explode(F.array_distinct(runs)).alias("acronym")).filter(F.length("acronym") >= 3)
-    found = heads.join(spelled, ["type", "acronym"]).filter("concept_id <> other and key <> other_key")
-    pair = found.select("type", F.least("concept_id", "other").alias("id_a"), F.greatest("concept_id", "other").alias("id_b"), "acronym")
+    spelled = held.filter(F.size(words) >= 3).select("lane", F.col("crossing").alias("crossing2"), F.col("type").alias("type2"), F.col("concept_id").alias("other"), F.col("key").alias("other_key"), F.explode(F.array_distinct(runs)).alias("acronym")).filter(F.length("acronym") >= 3)
+    found = heads.join(spelled, ["lane", "acronym"]).filter("concept_id <> other and key <> other_key and not (crossing and crossing2)")
+    pair = found.select(type_label(F.array("type", "type2")).alias("type"), F.least("concept_id", "other").alias("id_a"), F.greatest("concept_id", "other").alias("id_b"), "acronym")
     return pair.groupBy("type", "id_a", "id_b").agg(F.min("acronym").alias("acronym"))
 
 
-def near_pairs(docs: DataFrame) -> DataFrame:
-    """(type, id_a, id_b, score) of titles alike word by word.
+def near_pairs(docs: DataFrame, bridged: bool = False) -> DataFrame:
+    """(type, id_a, id_b, score) of titles alike word by word, within a type, or between types that alternative types bridge.
 
     Blocking loses no hit: a pair needs two words with a likeness of 0.75, so these share 3/8 of their letters taken
     together. A prefix filter over letters, the rare ones first, gives the word pairs that can; each is scored once, titles
     are joined through them, and each distinct pair of keys is scored exactly once.
     """
-    keys = docs.select("type", "key").distinct()
-    worded = keys.select("type", "key", F.explode(F.array_distinct(F.split("key", " "))).alias("w")).filter("w <> ''")
+    held = lanes(docs, bridged)
+    worded = held.select("lane", "crossing", "key").distinct().withColumn("w", F.explode(F.array_distinct(F.split("key", " ")))).filter("w <> ''")
     alike = _alike_words(worded.select("w").distinct())
-    left = worded.select("type", F.col("key").alias("k1"), "w").join(alike, "w")
-    pairs = left.join(worded.select("type", F.col("key").alias("k2"), F.col("w").alias("v")), ["type", "v"])
-    pairs = pairs.filter("k1 < k2").select("type", "k1", "k2").distinct()
+    left = worded.withColumnRenamed("key", "k1").join(alike, "w")
+    right = worded.filter("not crossing").select("lane", F.col("key").alias("k2"), F.col("w").alias("v"))
+    pairs = left.join(right, ["lane", "v"])
+    pairs = pairs.filter("k1 < k2 or (crossing and k1 <> k2)").select("lane", "crossing", "k1", "k2").distinct()
     # Scores depend on the order of the arguments: both are taken per pair of keys, before members are joined.
     keyed = pairs.select("k1", "k2").distinct().withColumn("s12", near_match("k1", "k2")).withColumn("s21", near_match("k2", "k1"))
     scored = pairs.join(keyed.filter("s12 is not null or s21 is not null"), ["k1", "k2"])
-    members = docs.select("type", "key", "concept_id")
-    left = scored.join(members.select("type", F.col("key").alias("k1"), F.col("concept_id").alias("c1")), ["type", "k1"])
-    both = left.join(members.select("type", F.col("key").alias("k2"), F.col("concept_id").alias("c2")), ["type", "k2"])
+    left = scored.join(held.select("lane", "crossing", F.col("key").alias("k1"), F.col("concept_id").alias("c1"), F.col("type").alias("t1")), ["lane", "crossing", "k1"])
+    both = left.join(held.filter("not crossing").select("lane", F.col("key").alias("k2"), F.col("concept_id").alias("c2"), F.col("type").alias("t2")), ["lane", "k2"])
     score = F.when(F.col("c1") < F.col("c2"), F.col("s12")).otherwise(F.col("s21"))
-    return both.select("type", F.least("c1", "c2").alias("id_a"), F.greatest("c1", "c2").alias("id_b"), F.round(score, 6).alias("score")).filter("score is not null")
+    out = both.select(type_label(F.array("t1", "t2")).alias("type"), F.least("c1", "c2").alias("id_a"), F.greatest("c1", "c2").alias("id_b"), F.round(score, 6).alias("score")).filter("score is not null")
+    return out.distinct() if bridged else out
 
 
 def _alike_words(words: DataFrame) -> DataFrame:
@@ -92,17 +111,23 @@ def bridge_pairs(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, cap: int = 50) -> DataFrame:
-    """(tier, trigger, type, member_ids): HIGH, then ACRONYM, then LOW groups, the cap best by (tier, -score, type, ids),
-    shown by (type, tier, ids). LOW ranks by its score to three decimals."""
-    high = same_title(docs).select(F.lit(0).alias("t"), F.lit("HIGH").alias("tier"), F.col("key").alias("trigger"), F.get("member_types", F.lit(0)).alias("type"), "member_ids", F.lit(0.0).alias("s"))
-    acronyms = acronym_pairs(docs)
+    """(tier, trigger, type, member_ids, produced): HIGH groups across types, then ACRONYM and LOW pairs within types and across bridges, each
+    pair once under its strongest tier. The cap best by (tier, -score, type, ids) stay, shown by (type, tier, ids); produced counts all groups.
+    type joins the members' distinct types by +. LOW ranks by its score to three decimals."""
+    high = same_title(docs).select(F.lit(0).alias("t"), F.lit("HIGH").alias("tier"), F.col("key").alias("trigger"), type_label(F.col("member_types")).alias("type"), "member_ids", F.lit(0.0).alias("s"))
+    acronyms = acronym_pairs(docs, bridged=True)
     acr = acronyms.select(F.lit(1), F.lit("ACRONYM"), "acronym", "type", F.array("id_a", "id_b"), F.lit(0.0))
-    low = near_pairs(docs).join(acronyms.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti")
+    low = near_pairs(docs, bridged=True).join(acronyms.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti")
     low = low.select(F.lit(2), F.lit("LOW"), F.format_number("score", 3), "type", F.array("id_a", "id_b"), F.round("score", 3))
-    groups = high.union(acr).union(low)
+    groups = cut(high.union(acr).union(low))
     order = ["t", F.desc("s"), "type", "member_ids"]
-    top = groups.orderBy(*order).limit(cap)
-    return top.orderBy("type", "t", "member_ids").select("tier", "trigger", "type", "member_ids")
+    top = groups.orderBy(*order).limit(cap).crossJoin(F.broadcast(groups.agg(F.count(F.lit(1)).alias("produced"))))  # one row
+    return top.orderBy("type", "t", "member_ids").select("tier", "trigger", "type", "member_ids", "produced")
+
+
+def truncation_notice(produced: int, retained: int) -> str | None:
+    """What to say when the cap left groups out."""
+    return f"{retained} of {produced} candidate group(s) shown (cap reached)" if produced > retained else None
 
 
 def acronyms_checked(docs: DataFrame) -> DataFrame:

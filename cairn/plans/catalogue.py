@@ -301,7 +301,7 @@ def acronym_pairs(spark, sf_dir):
 @query
 def candidate_report(spark, sf_dir):
     out = resolution.report(_eligible(spark, sf_dir))
-    return out.select("tier", "trigger", "type", F.array_join("member_ids", ",").alias("members"))
+    return out.select("tier", "trigger", "type", F.array_join("member_ids", ",").alias("members"), "produced")
 
 
 @query

@@ -241,3 +241,34 @@ def test_transcripts_and_their_cost(spark):
     assert {r["calls"] for r in summaries.extraction_cost(long, union_judge=False).collect()} == {5, 4, 1}
     named = {r["doc_id"]: r["meeting"] for r in summaries.meeting_shaped(df.withColumn("title", F.when(F.col("doc_id") == 4, "La Reunión de hoy").otherwise("x"))).collect()}
     assert [k for k, v in named.items() if v] == [1, 4] or sorted(k for k, v in named.items() if v) == [1, 4]
+
+
+def test_report_bridges_types_and_names_them(spark):
+    from cairn.functions import kernels as K
+
+    rnd = random.Random(21)
+    words = ["stoic", "stoicism", "garden", "gardens", "model", "context", "protocol", "mcp", "with", "app"]
+    docs = [(f"d{i:02d}", rnd.choice("ABC"), rnd.choice([None, "A", "B", " C ", ""]), " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 4)))) for i in range(45)]
+    docs += [("x1", "A", "B", "model context protocol"), ("x2", "B", None, "mcp"), ("x3", "C", "A", "mcp app")]
+    df = spark.createDataFrame(docs, "concept_id string, type string, type_alternative string, key string")
+    want = {}
+    for (a, ta, xa, ka), (b, tb, xb, kb) in itertools.combinations(docs, 2):
+        bridged = (xa or "").strip() == tb or (xb or "").strip() == ta
+        if ka != kb and (ta == tb or bridged):
+            label = "+".join(sorted({ta, tb}))
+            if found := K.acronym_match(ka, kb):
+                want[a, b] = ("ACRONYM", found, label)
+            elif (score := K.near_match(ka, kb)) is not None:
+                want[a, b] = ("LOW", f"{score:.3f}", label)
+    got = resolution.report(df, 10_000).collect()
+    assert {tuple(r["member_ids"]): (r["tier"], r["trigger"], r["type"]) for r in got if r["tier"] != "HIGH"} == want
+    assert any("+" in x[2] for x in want.values()) and any(x[0] == "ACRONYM" for x in want.values())
+    groups = {}
+    for d, t, _, k in docs:
+        groups.setdefault(k, []).append((d, t))
+    high = {k: (sorted(x for x, _ in m), "+".join(sorted({t for _, t in m}))) for k, m in groups.items() if len(m) > 1}
+    assert {r["trigger"]: (r["member_ids"], r["type"]) for r in got if r["tier"] == "HIGH"} == high
+    assert {r["produced"] for r in got} == {len(want) + len(high)}
+    few = resolution.report(df, 5).collect()
+    assert len(few) == 5 and {r["produced"] for r in few} == {len(got)}
+    assert resolution.truncation_notice(len(got), 5) == f"5 of {len(got)} candidate group(s) shown (cap reached)" and resolution.truncation_notice(5, 5) is None
