@@ -1,9 +1,14 @@
-"""Fixpoints over provenance(child, parent): closures, ancestors, high-water marks. Each round is one join; lineage is cut by a written table."""
+"""Fixpoints over provenance(child, parent): closures, ancestors, high-water marks.
+
+Each round joins only what the last one added and writes only that; what was added so far is a list of
+written parts, put together every few rounds. Parts are deleted when they are replaced.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,37 +40,66 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Parts:
+    """A table that grows by rounds: the union of few written parts."""
+
+    def __init__(self, first: DataFrame | None = None, most: int = 6):
+        self.parts, self.most = [] if first is None else [first], most
+
+    def add(self, part: DataFrame) -> None:
+        """The newest part stays by itself: the next round reads it alone."""
+        if len(self.parts) >= self.most:
+            whole = cut(self.all())
+            drop(*self.parts)
+            self.parts = [whole]
+        self.parts.append(part)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.union, self.parts)
+
+
 def reachable(edges: DataFrame, roots: DataFrame, down: bool = True) -> DataFrame:
     """id of all that any path reaches from the roots, roots included; down follows parent to child. Safe on cycles."""
     here, there = ("parent", "child") if down else ("child", "parent")
-    step = edges.select(F.col(here).alias("id"), F.col(there).alias("next")).distinct()
-    seen = cut(roots.select("id").distinct())
-    front = seen
+    step = cut(edges.select(F.col(here).alias("id"), F.col(there).alias("next")).distinct())
+    front = cut(roots.select("id").distinct())
+    seen = Parts(front)
     for _ in range(MAX_ROUNDS):
-        front = cut(front.join(step, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti"))
+        front = cut(front.join(step, "id").select(F.col("next").alias("id")).distinct().join(seen.all(), "id", "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = seen.union(front)
+            drop(step, front)
+            return seen.all()
+        seen.add(front)
     raise RuntimeError("no fixpoint")
 
 
-def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """id of the roots and of all whose parents, one at least, are every one in the set. Counting down the parents still
-    missing, each round joins only what was added last."""
-    step = edges.select("child", "parent").distinct()
-    missing = cut(step.groupBy("child").agg(F.count(F.lit(1)).alias("missing")))
-    seen = cut(roots.select("id").distinct())
-    front = seen
+def closures(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(source, id) of each source's roots and of all whose parents, one at least, are every one in that source's set. roots: source, id.
+
+    A document's parents are counted as they enter: it enters when as many have as it cites.
+    """
+    step = cut(edges.select("child", "parent").distinct())
+    cites = cut(step.groupBy("child").agg(F.count(F.lit(1)).alias("cites")))
+    front = cut(roots.select("source", "id").distinct())
+    seen, hits = Parts(front), Parts()
     for _ in range(MAX_ROUNDS):
-        hit = front.join(step, front.id == step.parent).groupBy("child").agg(F.count(F.lit(1)).alias("hit"))
-        if (hit := cut(hit)).isEmpty():
-            return seen
-        missing = cut(missing.join(hit, "child", "left").select("child", (F.col("missing") - F.coalesce("hit", F.lit(0))).alias("missing")))
-        front = cut(missing.join(hit.select("child"), "child", "left_semi").filter("missing = 0").select(F.col("child").alias("id")).join(seen, "id", "left_anti"))
-        seen = seen.union(front)
+        new = cut(front.join(step, front.id == step.parent).groupBy("source", "child").agg(F.count(F.lit(1)).alias("hit")))
+        if new.isEmpty():
+            drop(step, cites, new, *hits.parts)
+            return seen.all()
+        hits.add(new)
+        met = hits.all().join(new.select("source", "child"), ["source", "child"], "left_semi").groupBy("source", "child").agg(F.sum("hit").alias("met"))
+        full = met.join(cites, "child").filter("met = cites").select("source", F.col("child").alias("id"))
+        front = cut(full.join(seen.all(), ["source", "id"], "left_anti"))
+        seen.add(front)
     raise RuntimeError("no fixpoint")
 
 
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """id of the roots and of all whose parents, one at least, are every one in the set."""
+    return closures(edges, roots.select(F.lit(0).alias("source"), "id")).select("id")
+
+
 def source_ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Ancestors under sources/, whether or not a file stands behind them."""
     return reachable(edges, roots, down=False).join(roots, "id", "left_anti").filter(F.col("id").startswith("sources/"))
@@ -81,14 +115,20 @@ def high_water(edges: DataFrame, levels: DataFrame) -> DataFrame:
     broken = step.join(known, "parent", "left_anti").select(F.col("child").alias("id")).distinct()
     open_ = levels.filter("not is_source").select("id").join(broken, "id", "left_anti")
     step = cut(step.join(open_, step.child == open_.id, "left_semi"))
-    now = cut(levels.select("id", "level"))
-    front = now.filter("level > 0")
+    base = cut(levels.select("id", "level"))
+    front, raised = cut(base.filter("level > 0")), None
     for _ in range(MAX_ROUNDS):
-        up = step.join(front, step.parent == front.id).groupBy("child").agg(F.max("level").alias("up"))
-        risen = cut(now.join(up, now.id == up.child).filter("up > level").select("id", F.col("up").alias("level")))
+        up = step.join(front, step.parent == front.id).groupBy(F.col("child").alias("id")).agg(F.max("level").alias("level"))
+        now = base if raised is None else base.union(raised.all())
+        held = now.join(up.select("id"), "id", "left_semi").groupBy("id").agg(F.max("level").alias("held"))
+        risen = cut(up.join(held, "id").filter("level > held").select("id", "level"))
         if risen.isEmpty():
-            return now
-        now = cut(now.join(risen.select("id"), "id", "left_anti").unionByName(risen))
+            drop(step, risen)
+            return now.groupBy("id").agg(F.max("level").alias("level"))
+        if raised is None:
+            raised = Parts(risen)
+        else:
+            raised.add(risen)
         front = risen
     raise RuntimeError("no fixpoint")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.expr import level_of, window_days
+from cairn.functions.expr import level_of, rank, window_days
 from cairn.vocabulary import ENGINE_RELATIONS, OBJECT_TYPES, TIERS
 
 
@@ -60,11 +60,19 @@ def unbacked(relations: DataFrame, provenance: DataFrame) -> DataFrame:
     return _finding(out, "unbacked-relation", "source_id", F.col("target_id"))
 
 
+# Notices that an extraction can leave, with what they mean.
+UNJUDGED = {"judge-selection-unavailable": "judge unavailable", "judge-selection-empty": "judge reply matched no candidate"}
+UNEVIDENCED = "objects-without-evidence"
+
+
 def status_findings(docs: DataFrame) -> DataFrame:
-    """Sources whose extraction failed, or whose candidates were kept without a judge."""
+    """Sources whose extraction failed, whose candidates were kept without a judge, or that stored an object without a line of evidence.
+    Notices that aren't known say nothing."""
     failed = _finding(docs.filter("extraction_status = 'failed'"), "unextracted", "path", F.lit(""))
-    unjudged = _finding(docs.filter("extraction_notice like '%unjudged%'"), "unjudged", "path", F.lit(""))
-    return failed.unionByName(unjudged)
+    cause = F.create_map(*[F.lit(x) for kv in UNJUDGED.items() for x in kv])[F.coalesce("extraction_notice", F.lit(""))]
+    unjudged = _finding(docs.withColumn("_c", cause).filter("_c is not null"), "unjudged", "path", F.col("_c"))
+    bare = _finding(docs.filter(F.col("extraction_notice") == UNEVIDENCED), "unevidenced", "path", F.lit(""))
+    return failed.unionByName(unjudged).unionByName(bare)
 
 
 def membership(closures: DataFrame) -> DataFrame:
@@ -110,3 +118,53 @@ def parse_window(docs: DataFrame, column: str, default: int) -> DataFrame:
     """docs with days and whether the default had to stand in."""
     days = window_days(F.col(column))
     return docs.withColumn("days", F.coalesce(days, F.lit(default))).withColumn("defaulted", days.isNull())
+
+
+def collect(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs, notices) of a bundle's rows: docs that can be checked, with path their id; (path, reason) of those that are passed over."""
+    reason = (
+        F.when(F.col("read_error").isNotNull(), "unreadable")
+        .when(F.col("parse_error").isNotNull(), "unparseable frontmatter")
+        .when(~F.coalesce("relations_valid", F.lit(True)), "invalid relations")
+        .when(~F.coalesce("provenance_valid", F.lit(True)), "invalid provenance")
+    )
+    marked = concepts.withColumn("_reason", reason)
+    docs = marked.filter("_reason is null").drop("_reason").withColumn("path", F.col("concept_id"))
+    notices = marked.filter("_reason is not null").select(F.concat("concept_id", F.lit(".md")).alias("path"), F.col("_reason").alias("reason"))
+    return docs, notices
+
+
+def report(concepts: DataFrame, references: DataFrame, today: str, type_tiers: dict[str, str] | None = None) -> DataFrame:
+    """(kind, path, detail, remediation): the findings of every check over a bundle's rows, and a skip for each document that can't be checked.
+
+    references (source_id, null for the index, target_id): links of bodies and index. remediation is the command that resolves a finding, for
+    the one kind that has it: documents that no single source covers, raised to the highest level they cite.
+    """
+    from cairn.operators.fixpoint import closures
+    from cairn.sources.bundle import provenance_of, relations_of
+
+    docs, notices = collect(concepts)
+    relations = relations_of(docs.filter("relations is not null"))
+    cited = provenance_of(docs)
+    prov = cited.join(docs.select(F.col("concept_id").alias("child"), "resource"), "child")
+    sources = docs.filter("type = 'Source'").select(F.col("concept_id").alias("source"), F.col("concept_id").alias("id"))
+    covered = closures(cited, sources)
+    levels = docs.select(F.col("concept_id").alias("id"), rank(F.col("sensitivity")).alias("level"))
+    bodies = references.join(docs.select(F.col("concept_id").alias("source_id")), "source_id", "left_semi").unionByName(references.filter("source_id is null"))
+    checks = [
+        stale_stamps(window_for(docs, type_tiers), today),
+        orphans(docs, bodies),
+        dangling(docs, bodies.filter("source_id is not null").unionByName(relations.select("source_id", "target_id"))),
+        status_findings(docs.filter("type = 'Source'")),
+        below_source(covered, levels),
+        multi_source(cited, covered, levels),
+        dangling_provenance(docs, prov),
+        unbacked(relations, cited),
+        names(concepts.select("path")),
+        notices.select(F.lit("skipped").alias("kind"), "path", F.col("reason").alias("detail")),
+    ]
+    found = checks[0]
+    for x in checks[1:]:
+        found = found.unionByName(x)
+    command = F.when(F.col("kind") == "multi-source-uncovered", F.concat_ws(" ", F.lit("set-sensitivity"), "path", "detail"))
+    return found.withColumn("remediation", F.coalesce(command, F.lit("")))

@@ -362,12 +362,8 @@ def _tree(spark, sf_dir):
 
 def _closures(spark, sf_dir):
     """(source, id): each of the sources 2 to 5 with its own ALL-closure."""
-    prov = _tree(spark, sf_dir)
-    out = None
-    for s in range(2, 6):
-        one = fixpoint.closure(prov, _ids(spark, s, s)).select(F.lit(s).cast("long").alias("source"), "id")
-        out = one if out is None else out.union(one)
-    return out
+    roots = spark.range(2, 6).select(F.col("id").alias("source"), "id")
+    return fixpoint.closures(_tree(spark, sf_dir), roots)
 
 
 def _levels(spark, sf_dir):

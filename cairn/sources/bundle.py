@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 RESERVED = ("index.md", "log.md")
 SCHEMA = (
     "concept_id string, path string, type string, title string, description string, resource string, tags array<string>, timestamp string, status string, "
-    "version int, volatility string, freshness string, sensitivity string, provenance array<string>, relations array<struct<target: string, type: string>>, relations_valid boolean, "
+    "version int, volatility string, freshness string, sensitivity string, provenance array<string>, relations array<struct<target: string, type: string>>, relations_valid boolean, provenance_valid boolean, "
     "type_alternative string, extraction_status string, extraction_notice string, origin_key string, body string, read_error string, parse_error string, "
     "content_hash string, extra map<string, string>"
 )
-_COLUMNS = [x.strip().split()[0] for x in "concept_id s,path s,type s,title s,description s,resource s,tags s,timestamp s,status s,version s,volatility s,freshness s,sensitivity s,provenance s,relations s,relations_valid s,type_alternative s,extraction_status s,extraction_notice s,origin_key s,body s,read_error s,parse_error s,content_hash s,extra s".split(",")]
+_COLUMNS = [x.split()[0] for x in re.sub("<[^>]*>+", "", SCHEMA).split(", ")]
 _TEXT = ("type", "title", "description", "resource", "timestamp", "status", "volatility", "freshness", "sensitivity", "type_alternative", "extraction_status", "extraction_notice", "origin_key")
 
 
@@ -35,7 +36,7 @@ def parse(path: str, data: bytes) -> dict:
     import hashlib
 
     row = dict.fromkeys(_COLUMNS)
-    row |= {"concept_id": concept_id(path), "path": path, "content_hash": hashlib.sha256(data).hexdigest(), "relations_valid": True}
+    row |= {"concept_id": concept_id(path), "path": path, "content_hash": hashlib.sha256(data).hexdigest(), "relations_valid": True, "provenance_valid": True}
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError as e:
@@ -56,6 +57,7 @@ def parse(path: str, data: bytes) -> dict:
     row["tags"] = [str(t) for t in head["tags"]] if isinstance(head.get("tags"), list) else None
     given = head.get("provenance")
     row["provenance"] = [str(p) for p in given] if isinstance(given, list) else None
+    row["provenance_valid"] = given is None or isinstance(given, list)
     rel = head.get("relations")
     if rel is not None:
         ok = isinstance(rel, list) and all(isinstance(r, dict) and isinstance(r.get("target"), str) and isinstance(r.get("type"), str) for r in rel)

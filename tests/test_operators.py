@@ -272,3 +272,52 @@ def test_report_bridges_types_and_names_them(spark):
     few = resolution.report(df, 5).collect()
     assert len(few) == 5 and {r["produced"] for r in few} == {len(got)}
     assert resolution.truncation_notice(len(got), 5) == f"5 of {len(got)} candidate group(s) shown (cap reached)" and resolution.truncation_notice(5, 5) is None
+
+
+def test_closures_of_many_sources_equal_brute_force(spark):
+    rnd = random.Random(4)
+    edges = sorted({(rnd.randrange(1, 60), rnd.randrange(0, 60)) for _ in range(110)})
+    df = spark.createDataFrame(edges, "child long, parent long")
+    roots = [0, 7, 8]
+    parents = {}
+    for c, p in edges:
+        parents.setdefault(c, set()).add(p)
+    want = set()
+    for s in roots:
+        held = {s}
+        while new := {c for c, ps in parents.items() if ps <= held and c not in held}:
+            held |= new
+        want |= {(s, i) for i in held}
+    got = fixpoint.closures(df, spark.createDataFrame([(s, s) for s in roots], "source long, id long")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    chain = spark.createDataFrame([(i + 1, i) for i in range(20)], "child long, parent long")
+    assert fixpoint.closure(chain, spark.createDataFrame([(0,)], "id long")).count() == 21
+    assert fixpoint.reachable(chain, spark.createDataFrame([(3,)], "id long")).count() == 18
+
+
+def test_lint_report_unites_all_checks(spark, tmp_path):
+    docs = {
+        "sources/a.md": "type: Source\ntitle: A\nresource: raw/a.md\nsensitivity: confidential\nextraction_status: failed\nextraction_notice: judge-selection-empty",
+        "sources/b.md": "type: Source\ntitle: B\nsensitivity: private\nextraction_notice: objects-without-evidence",
+        "concepts/one.md": "type: Concept\ntitle: One\nsensitivity: public\nprovenance: [sources/a.md]",
+        "concepts/two.md": "type: Concept\ntitle: Two\nsensitivity: public\nprovenance: [sources/a, sources/b]",
+        "concepts/three.md": "type: Concept\ntitle: Three\nprovenance: [sources/gone]\nrelations:\n- {target: concepts/none, type: derived_from}",
+        "concepts/scalar.md": "type: Concept\ntitle: S\nprovenance: sources/a",
+        "concepts/badrel.md": "type: Concept\ntitle: R\nrelations: nope",
+        "projects/old.md": "type: Project\ntitle: Old",
+    }
+    for name, head in docs.items():
+        path = tmp_path / "bundle" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"---\n{head}\n---\nSeen (as of 2026-01-01).\n")
+    (tmp_path / "bundle" / "concepts" / "noyaml.md").write_text("plain")
+    refs = spark.createDataFrame([(None, "concepts/one"), (None, "sources/a"), ("concepts/one", "concepts/two"), ("concepts/one", "sources/b"), ("concepts/two", "missing")], "source_id string, target_id string")
+    got = [tuple(r) for r in lint.report(bundle.read_bundle(spark, str(tmp_path / "bundle")), refs, "2026-05-01").collect()]
+    found = {(k, p) for k, p, _, _ in got}
+    assert {p for k, p in found if k == "skipped"} == {"concepts/scalar.md", "concepts/badrel.md", "concepts/noyaml.md"}
+    assert {p for k, p in found if k == "orphan"} == {"concepts/three", "projects/old"}
+    assert {(p, d) for k, p, d, _ in got if k == "dangling-target"} == {("concepts/two", "missing"), ("concepts/three", "concepts/none")}
+    assert {("unextracted", "sources/a"), ("unjudged", "sources/a"), ("unevidenced", "sources/b"), ("dangling-provenance", "concepts/three"), ("unbacked-relation", "concepts/three")} <= found
+    assert {p for k, p in found if k == "below-source-sensitivity"} == {"concepts/one"}
+    assert [(p, r) for k, p, _, r in got if r] == [("concepts/two", "set-sensitivity concepts/two confidential")]
+    assert {p for k, p in found if k == "stale-stamp"} >= {"projects/old", "concepts/one"} and ("stale-stamp", "sources/a") not in found
