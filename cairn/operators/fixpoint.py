@@ -11,8 +11,11 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions.expr import combine, level_of, rank
+
 MAX_ROUNDS = 10_000
 
 
@@ -142,3 +145,35 @@ def best_raises(raises: DataFrame) -> DataFrame:
     """id, level, producer: the highest raise of each document; of equals the first producer's."""
     order = F.struct(F.col("level"), (-F.col("priority")).alias("p"))
     return raises.groupBy("id").agg(F.max("level").alias("level"), F.max_by("producer", order).alias("producer"))
+
+
+def _raises(found: DataFrame) -> DataFrame:
+    """Those whose new level is spelled otherwise than the current one: a missing or unknown level is written out too."""
+    return found.filter(~F.col("new_level").eqNullSafe(F.col("current")))
+
+
+def source_raises(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """(source, id, current, new_level) of each source's descendants that its level raises. docs: id, type, sensitivity."""
+    sources = docs.filter("type = 'Source'").select(F.col("id").alias("source"), F.col("sensitivity").alias("_of"))
+    covered = closures(edges, sources.select("source", F.col("source").alias("id"))).filter("source <> id")
+    held = covered.join(sources, "source").join(docs.select("id", F.col("sensitivity").alias("current")), "id")
+    return _raises(held.select("source", "id", "current", combine(F.col("current"), F.col("_of")).alias("new_level")))
+
+
+def cited_raises(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, current, new_level) of documents that aren't sources, cite only known documents and are raised to the highest of these."""
+    known = docs.select(F.col("id").alias("parent"), F.lit(True).alias("_k"))
+    cites = edges.select("child", "parent").distinct().join(known, "parent", "left").groupBy("child").agg(F.count_if(F.col("_k").isNull()).alias("_gone")).filter("_gone = 0")
+    levels = docs.select("id", rank(F.col("sensitivity")).alias("level"), F.coalesce(F.col("type") == "Source", F.lit(False)).alias("is_source"))
+    high = high_water(edges, levels).select("id", F.col("level").alias("_high"))
+    own = docs.filter("coalesce(type, '') <> 'Source'").join(cites.select(F.col("child").alias("id")), "id", "left_semi").select("id", F.col("sensitivity").alias("current"))
+    return _raises(own.join(high, "id").select("id", "current", level_of(F.greatest(rank(F.col("current")), F.col("_high"))).alias("new_level")))
+
+
+def backfill_raises(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, current, new_level, producer): each document's highest raise, by a source (the first of equals by id) or, where that is higher,
+    'cited'."""
+    by_source = source_raises(edges, docs).select("id", "current", "new_level", F.lit(0).alias("turn"), "source", F.col("source").cast("string").alias("producer"))
+    cited = cited_raises(edges, docs).select("id", "current", "new_level", F.lit(1).alias("turn"), F.lit(None).cast(by_source.schema["source"].dataType).alias("source"), F.lit("cited").alias("producer"))
+    place = F.row_number().over(W.partitionBy("id").orderBy(rank(F.col("new_level")).desc(), "turn", "source"))
+    return by_source.unionByName(cited).withColumn("_n", place).filter("_n = 1").drop("_n", "turn", "source")

@@ -380,6 +380,21 @@ def multi_source_uncovered(spark, sf_dir):
     return lint.multi_source(_tree(spark, sf_dir), _closures(spark, sf_dir), _levels(spark, sf_dir))
 
 
+def _leveled(spark, sf_dir):
+    level = F.when(F.col("doc_id") < 6, F.when(F.col("doc_id") == 4, "private").otherwise("confidential")).when(F.col("doc_id") % 6 == 0, "secret").otherwise(F.col("sensitivity"))
+    return relation(spark, sf_dir, "concepts").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id").between(2, 5), "Source").otherwise("Concept").alias("type"), level.alias("sensitivity"))
+
+
+@query
+def source_raises(spark, sf_dir):
+    return fixpoint.source_raises(_tree(spark, sf_dir), _leveled(spark, sf_dir))
+
+
+@query
+def backfill_raises(spark, sf_dir):
+    return fixpoint.backfill_raises(_tree(spark, sf_dir), _leveled(spark, sf_dir))
+
+
 @query
 def window_parse(spark, sf_dir):
     made = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_size") - 1, F.when(F.col("p_size") % 3 == 0, "w").when(F.col("p_size") % 3 == 1, "d").otherwise("x")).alias("window"))

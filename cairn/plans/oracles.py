@@ -95,6 +95,13 @@ _TREE = "tree AS (SELECT * FROM provenance WHERE parent = floor(child / 2) AND (
 _CLOSURES = """closures AS (SELECT x AS source, x AS id FROM range(2, 6) r(x) UNION SELECT c.source, t.child FROM closures c JOIN tree t ON t.parent = c.id)"""
 _LEVELS = f"levels AS (SELECT doc_id AS id, {_RANK.format('s')} AS level FROM (SELECT doc_id, CASE WHEN doc_id < 6 THEN 'confidential' ELSE sensitivity END AS s FROM concepts))"
 _MEMBER = "member AS (SELECT id, count(DISTINCT source) AS n, min(source) AS root FROM closures WHERE source <> id GROUP BY id)"
+_RAISES = f"""leveled AS (SELECT doc_id AS id, doc_id BETWEEN 2 AND 5 AS is_source, CASE WHEN doc_id = 4 THEN 'private' WHEN doc_id < 6 THEN 'confidential' WHEN doc_id % 6 = 0 THEN 'secret' ELSE sensitivity END AS current FROM concepts),
+  ranked AS (SELECT *, {_RANK.format('current')} AS level FROM leveled),
+  raised AS (SELECT * FROM (SELECT c.source, o.id, o.current, {_LEVEL.format('greatest(o.level, s.level)')} AS new_level FROM closures c JOIN ranked o ON o.id = c.id JOIN ranked s ON s.id = c.source WHERE c.source <> c.id) WHERE new_level IS DISTINCT FROM current)"""
+#: Every document of the tree has one parent, so the highest level it can be raised to is the highest on its way up, to a source at most.
+_CITED = f"""open AS (SELECT child, parent FROM tree JOIN ranked o ON o.id = child AND NOT o.is_source WHERE parent IN (SELECT id FROM ranked)),
+  way AS (SELECT child, parent FROM open UNION SELECT w.child, o.parent FROM way w JOIN open o ON o.child = w.parent),
+  cited AS (SELECT * FROM (SELECT o.id, any_value(o.current) AS current, {_LEVEL.format('greatest(any_value(o.level), max(p.level))')} AS new_level FROM way JOIN ranked o ON o.id = child JOIN ranked p ON p.id = parent GROUP BY o.id) WHERE new_level IS DISTINCT FROM current)"""
 _LEDGER = "ledger AS (SELECT DISTINCT l_orderkey AS survivor_id, l_linenumber AS seq, concat('a', CAST(l_linenumber AS VARCHAR)) AS absorbed_id FROM lineitem)"
 _OBJECTS = f"objects AS (SELECT p_partkey % 40 AS source, split_part(p_type, ' ', 1) AS type, {_KEY.format('p_name')} AS key, p_size AS n_body, length(p_brand) AS n_desc, p_partkey AS pos FROM part)"
 
@@ -189,6 +196,10 @@ ORACLES: dict[str, str] = {
   SELECT 'multi-source-uncovered' AS kind, c.child AS path, {_LEVEL.format('c.high')} AS detail FROM (
     SELECT child, max(level) AS high FROM tree LEFT JOIN levels ON id = parent GROUP BY child HAVING count(*) = count(level)) c JOIN levels o ON o.id = c.child
   WHERE o.level < c.high AND c.child NOT IN (SELECT id FROM member WHERE n = 1)"""),
+    "source_raises": _with("concepts provenance", f"* {_TREE}, {_CLOSURES}, {_RAISES} SELECT source, id, current, new_level FROM raised"),
+    "backfill_raises": _with("concepts provenance", f"""* {_TREE}, {_CLOSURES}, {_RAISES}, {_CITED}
+  SELECT id, current, new_level, producer FROM (SELECT id, current, new_level, source, CAST(source AS VARCHAR) AS producer FROM raised UNION ALL SELECT id, current, new_level, 1000, 'cited' FROM cited)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_RANK.format('new_level')} DESC, source) = 1"""),
     "window_parse": """SELECT p_partkey, coalesce(d, 7) AS days, d IS NULL AS defaulted FROM (
   SELECT p_partkey, CASE WHEN p_size > 1 THEN CASE p_size % 3 WHEN 0 THEN 7 * (p_size - 1) WHEN 1 THEN p_size - 1 END END AS d FROM part)""",
     "manifest_hash": _with("concepts", "SELECT sha256(string_agg(concat(concept_id, chr(0), sha256(coalesce(body, '')), chr(10)), '' ORDER BY concept_id)) AS manifest FROM concepts"),
