@@ -26,6 +26,8 @@ mask_fences = _one(kernels.mask_fences, TEXT)
 chunk_lines = _one(kernels.chunk_lines, TEXTS)
 demote_headings = _one(kernels.demote_headings, TEXT)
 source_title = _one(kernels.source_title, TEXT)
+folded_text = _one(kernels.folded_text, TEXT)
+line_keys = _one(kernels.line_keys, TEXTS)
 extract_json = _one(kernels.extract_json, TEXT)
 extract_items = _one(kernels.extract_items, TEXTS)
 language = _one(kernels.language, TEXT)

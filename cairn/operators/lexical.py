@@ -81,3 +81,29 @@ def phrase_hits(postings: DataFrame, phrase: list[str]) -> DataFrame:
         step = postings.filter(F.col("term") == w).select("concept_id", (F.col("position") - k).alias("_p"))
         first = first.join(step, ["concept_id", "_p"])
     return first.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _word_runs(folded: Column) -> Column:
+    """Hashes of all runs of two, three and four words."""
+    runs = lambda w, n: F.filter(F.transform(w, lambda x, i: F.when(i + n <= F.size(w), F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))), lambda h: h.isNotNull())
+    return F.get(F.transform(F.array(F.split(folded, " ")), lambda w: F.array_distinct(F.concat(*[runs(w, n) for n in (2, 3, 4)]))), F.lit(0))
+
+
+def evidence_pairs(bodies: DataFrame, sources: DataFrame) -> DataFrame:
+    """(body_id, source_id, evidence) of all pairs of a body (body_id, body) and a source (source_id, text) that share a line of evidence.
+
+    A shared line stands whole in the other text, so that text holds the words between the line's ends, in a row: only pairs that share
+    such a run, of one's line in the other, are compared. Nulls have no lines.
+    """
+    from cairn.functions.text_udfs import evidence_line, folded_text, line_keys
+
+    def lines(df: DataFrame, name: str, text: str) -> DataFrame:
+        return df.select(name, F.explode(line_keys(text)).alias("key")).select(name, F.xxhash64("key").alias("key"))
+
+    def runs(df: DataFrame, name: str, text: str) -> DataFrame:
+        return df.select(name, folded_text(text).alias("_f")).select(name, F.explode(_word_runs(F.col("_f"))).alias("key"))
+
+    down = runs(sources, "source_id", "text").join(lines(bodies, "body_id", "body"), "key").select("body_id", "source_id")
+    up = lines(sources, "source_id", "text").join(runs(bodies, "body_id", "body"), "key").select("body_id", "source_id")
+    pairs = down.union(up).distinct().join(bodies, "body_id").join(sources, "source_id")
+    return pairs.select("body_id", "source_id", evidence_line("body", "text").alias("evidence")).filter("evidence is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import expr, text_udfs
-from cairn.operators import dense, fixpoint, fusion, graph, lexical, lint, policy, resolution, state, summaries
+from cairn.operators import dense, fixpoint, fusion, graph, lexical, lint, policy, replies, resolution, state, summaries
 from cairn.plans.answer import retrieve
 from cairn.sources.adapters import relation, table
 
@@ -593,6 +593,104 @@ def union_dedup_lists(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(summaries.merged_list(one, two), "|").alias("merged"))
 
 
+# Replies and findings
+
+
+def _json(*parts):
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+
+@query
+def object_validation(spark, sf_dir):
+    n, kind = F.col("event_id"), F.col("event_type")
+    type_ = F.when(n % 7 == 0, '"Source"').when(n % 7 == 1, '"Person"').when(n % 7 == 2, "5").when(n % 7 == 3, '" Concept"').otherwise('"Concept"')
+    title = F.when(n % 11 == 0, '"  "').when(n % 11 == 1, "null").otherwise(_json('" ', kind, ' "'))
+    body = F.when(n % 5 == 0, "").when(n % 5 == 1, ', "body": null').when(n % 5 == 2, ', "body": ["x"]').otherwise(_json(', "body": "', kind, '"'))
+    extract = F.when(n % 13 == 0, ', "extract": false').when(n % 13 == 1, ', "extract": true').otherwise("")
+    other = F.when(n % 3 == 0, '"Person"').when(n % 3 == 1, '"Concept"').otherwise("7")
+    item = _json('{"type": ', type_, ', "title": ', title, ', "description": "d', n, '"', body, extract, ', "type_alternative": ', other, "}")
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(n % 17 == 0, "not json").otherwise(item).alias("item"))
+    return replies.valid_objects(rows).select("event_id", "type", "title", "description", "body", "type_alternative")
+
+
+@query
+def relation_suggestions(spark, sf_dir):
+    n = F.col("event_id")
+    type_ = F.when(n % 6 == 0, '" part_of "').when(n % 6 == 1, '"derived_from"').when(n % 6 == 2, '" "').when(n % 6 == 3, "[1]").otherwise(_json('"', F.col("event_type"), '"'))
+    why = F.when(n % 4 == 0, "").when(n % 4 == 1, ', "rationale": " "').otherwise(_json(', "rationale": "r', F.col("user_id"), '"'))
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(n % 19 != 0, _json('{"type": ', type_, why, "}")).alias("reply"))
+    return replies.relation_suggestions(rows).select("event_id", "suggested_type", "rationale")
+
+
+@query
+def volatility_suggestions(spark, sf_dir):
+    n = F.col("p_partkey")
+    tier = F.when(n % 4 == 0, '"slow "').when(n % 4 == 1, '"Static"').when(n % 4 == 2, "true").otherwise('"volatile"')
+    rows = table(spark, sf_dir, "part").select("p_partkey", _json('{"tier": ', tier, ', "rationale": "', F.when(n % 3 == 0, "").otherwise(F.col("p_brand")), '"}').alias("reply"))
+    return replies.volatility_suggestions(rows).select("p_partkey", "suggested_tier", "rationale")
+
+
+@query
+def high_confidence_findings(spark, sf_dir):
+    made = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", "CONTRADICTS").otherwise("consistent").alias("verdict"), expr.confidence(F.col("value") / 50).alias("confidence"))
+    return replies.high_confidence(made).select("event_id")
+
+
+@query
+def type_alias(spark, sf_dir):
+    objects = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, "people").when(F.col("p_size") % 3 == 1, "concepts").otherwise("sources").alias("link_dir"))
+    asked = [replies.of_type(objects, w).withColumn("asked", F.lit(w)) for w in ("people", "Person", "person", "Source")]
+    return summaries.all_of(asked).groupBy("asked", "link_dir").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def undeclined_findings(spark, sf_dir):
+    member = lambda c, k: F.concat(F.lit("c/"), F.col(c) + k)
+    findings = table(spark, sf_dir, "orders").select("o_orderkey", F.array(member("o_custkey", 1), member("o_custkey", 0)).alias("members"))
+    made = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 2").withColumn("m", F.array(member("c_custkey", 0), member("c_custkey", 1)))
+    first = made.select(replies.short_key_of("m").alias("decision_key"), F.lit("declined").alias("state"), F.lit(1).alias("at"))
+    again = made.filter("c_custkey % 3 = 0").select(replies.short_key_of("m"), F.lit("open"), F.lit(2))
+    return replies.undeclined(findings, first.union(again)).select("o_orderkey")
+
+
+def _snapshots(spark, sf_dir):
+    keys = _ledger(spark, sf_dir).drop("history")
+    name = F.concat(F.lit("orders/"), "survivor_id")
+    return keys.select(name.alias("survivor_id"), "seq", "absorbed_id", F.concat(F.lit("before "), "seq").alias("survivor_before"), F.concat(F.lit("body of "), "absorbed_id").alias("absorbed_snapshot"))
+
+
+@query
+def merged_body_candidates(spark, sf_dir):
+    concepts = table(spark, sf_dir, "orders").filter("o_orderkey % 5 <> 0").select(F.concat(F.lit("orders/"), "o_orderkey").alias("concept_id"))
+    gone = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.concat(F.lit("orders/"), "o_orderkey").alias("concept_id"))
+    out = replies.merged_bodies(_snapshots(spark, sf_dir), concepts, gone)
+    return out.select("survivor_id", "seq", F.array_join(F.transform("input_digests", lambda d: F.concat(d["ref"], F.lit("="), F.substring(d["digest"], 1, 8))), ",").alias("digests"))
+
+
+@query
+def served_verdicts(spark, sf_dir):
+    docs = relation(spark, sf_dir, "concepts").select(F.col("concept_id").alias("ref"), F.sha2("title", 256).alias("digest"), "doc_id")
+    there = docs.filter("doc_id % 7 <> 0").select("ref", "digest")
+    other = F.concat(F.lit("documents/"), F.col("doc_id") + 1)
+    pairs = docs.select("doc_id", F.col("ref").alias("id_a"), other.alias("id_b"), F.when(F.col("doc_id") % 2 == 0, "part_of").alias("relation_type"))
+    now = replies.input_digests(pairs, there)
+    was = replies.input_digests(pairs.withColumn("relation_type", F.when(F.col("doc_id") % 3 == 0, "references").otherwise(F.col("relation_type"))), there)
+    old = was.select("doc_id", F.lit(1).alias("id"), F.lit("old").alias("verdict"), F.expr("cast(array() as array<struct<ref: string, digest: string>>)").alias("input_digests"))
+    kept = old.union(was.filter("doc_id % 5 <> 0").select("doc_id", F.lit(2), F.lit("new"), "input_digests"))
+    return replies.served(now, kept, ["doc_id"]).select("doc_id", F.size("input_digests").alias("n_inputs"), "verdict")
+
+
+@query
+def deepest_stack(spark, sf_dir):
+    return replies.deepest_stack(_ledger(spark, sf_dir))
+
+
+@query
+def sensitivity_gaps(spark, sf_dir):
+    none = F.when(F.col("doc_id") % 4 == 0, "bad bytes")
+    return replies.sensitivity_gaps(relation(spark, sf_dir, "concepts").withColumn("read_error", none).withColumn("parse_error", F.lit(None).cast("string")))
+
+
 # Text kernels
 
 
@@ -604,12 +702,9 @@ def chunk_windows(spark, sf_dir):
 
 @query
 def evidence_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    item = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("body"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("first"))
-    opening = item.withColumn("gram", F.array_join(F.slice(F.split("first", " "), 1, 4), " ")).filter(F.size(F.split("gram", " ")) == 4)
-    lines = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("text", " ")) - 3, F.lit(1))), lambda i: F.array_join(F.slice(F.split("text", " "), i, 4), " ")))).alias("gram"))
-    hit = lines.join(opening, "gram")
-    return hit.select("doc_id", "item_id", text_udfs.evidence_line("body", "text").alias("evidence")).filter("evidence is not null")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("body_id"), F.col("text").alias("body"))
+    return lexical.evidence_pairs(items, docs).select(F.col("source_id").alias("doc_id"), F.col("body_id").alias("item_id"), "evidence")
 
 
 @query

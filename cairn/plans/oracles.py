@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cairn.operators import replies
 from cairn.plans.catalogue import QUERY_VECTOR, TODAY
 from cairn.sources.adapters import with_adapters
 from cairn.vocabulary import ENGLISH, SPANISH
@@ -237,6 +238,25 @@ w AS (SELECT *, CASE WHEN long THEN list_reduce(list_transform(string_split(body
 SELECT concat('sources/', CAST(doc_id AS VARCHAR)) AS concept_id, CAST(windows AS BIGINT) AS windows, CAST(CASE WHEN long THEN windows ELSE 2 END + CASE WHEN meeting THEN 1 ELSE 0 END + 1 AS BIGINT) AS calls FROM w""",
     "verdict_parse": """SELECT event_id, CASE WHEN event_type = 'click' THEN CASE WHEN user_id % 3 = 0 THEN 'CONTRADICTS' ELSE 'UNCERTAIN' END WHEN event_type = 'view' THEN 'CONSISTENT' ELSE 'UNCERTAIN' END AS verdict,
   round(CASE WHEN event_id % 11 < 2 THEN 0.0 ELSE greatest(0.0, least(1.0, coalesce(value, 0) / 50)) END, 6) AS confidence FROM events""",
+    "object_validation": """SELECT event_id, type, title, description, body, CASE WHEN other <> type THEN other END AS type_alternative FROM (SELECT event_id, event_id % 13 AS x, event_id % 17 AS j,
+  CASE event_id % 7 WHEN 1 THEN 'Person' WHEN 4 THEN 'Concept' WHEN 5 THEN 'Concept' WHEN 6 THEN 'Concept' END AS type, CASE WHEN event_id % 11 > 1 THEN event_type END AS title,
+  concat('d', CAST(event_id AS VARCHAR)) AS description, CASE event_id % 5 WHEN 0 THEN '' WHEN 3 THEN event_type WHEN 4 THEN event_type END AS body, CASE event_id % 3 WHEN 0 THEN 'Person' WHEN 1 THEN 'Concept' END AS other
+  FROM events) WHERE type IS NOT NULL AND title IS NOT NULL AND body IS NOT NULL AND x <> 0 AND j <> 0""",
+    "relation_suggestions": f"""SELECT event_id, CASE WHEN j = 0 THEN NULL WHEN k = 0 THEN 'part_of' WHEN k > 3 THEN event_type END AS suggested_type,
+  CASE WHEN j = 0 THEN '{replies.MALFORMED}' WHEN k = 1 THEN '{replies.ENGINE_OWNED.replace("'", "''")}' WHEN k IN (2, 3) AND trim(r) = '' THEN '{replies.DEGRADED}' ELSE r END AS rationale
+  FROM (SELECT event_id, event_type, event_id % 19 AS j, event_id % 6 AS k, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE concat('r', CAST(user_id AS VARCHAR)) END AS r FROM events)""",
+    "volatility_suggestions": f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'slow' WHEN 3 THEN 'volatile' END AS suggested_tier,
+  CASE WHEN p_partkey % 3 <> 0 THEN p_brand WHEN p_partkey % 4 IN (1, 2) THEN '{replies.DEGRADED}' ELSE '' END AS rationale FROM part""",
+    "high_confidence_findings": "SELECT event_id FROM events WHERE event_type = 'click' AND least(1.0, value / 50) >= 0.7",
+    "type_alias": """SELECT a.asked, a.d AS link_dir, count(*) AS n FROM (VALUES ('people', 'people', 0), ('Person', 'people', 0), ('Source', 'sources', 2)) a(asked, d, k) JOIN part ON p_size % 3 = k GROUP BY 1, 2""",
+    "undeclined_findings": "SELECT o_orderkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_custkey IS NULL OR c_custkey % 3 <> 1",
+    "merged_body_candidates": f"""WITH {_LEDGER} SELECT concat('orders/', CAST(survivor_id AS VARCHAR)) AS survivor_id, seq, concat('orders/', CAST(survivor_id AS VARCHAR), ':survivor_before=', substr(sha256(concat('before ', CAST(seq AS VARCHAR))), 1, 8), ',',
+  absorbed_id, ':absorbed_snapshot=', substr(sha256(concat('body of ', absorbed_id)), 1, 8)) AS digests FROM ledger JOIN orders ON o_orderkey = survivor_id WHERE survivor_id % 5 <> 0 AND o_orderstatus <> 'P'""",
+    "served_verdicts": _with("concepts", """SELECT doc_id, CAST(CASE WHEN a THEN 1 ELSE 0 END + CASE WHEN b THEN 1 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS INT) AS n_inputs,
+  CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 3 <> 0 THEN 'new' END WHEN NOT a AND NOT b AND doc_id % 2 <> 0 THEN 'old' END AS verdict
+  FROM (SELECT doc_id, doc_id % 7 <> 0 AS a, (doc_id + 1) % 7 <> 0 AND doc_id + 1 IN (SELECT doc_id FROM concepts) AS b FROM concepts)"""),
+    "deepest_stack": f"WITH {_LEDGER} SELECT max(n) AS max_entries FROM (SELECT count(*) AS n FROM ledger GROUP BY survivor_id)",
+    "sensitivity_gaps": _with("concepts", "SELECT concept_id FROM concepts WHERE sensitivity IS NULL AND doc_id % 4 <> 0"),
     "resource_shape": "SELECT p_partkey, CASE p_size % 6 WHEN 1 THEN 'parent' WHEN 2 THEN 'backslash' WHEN 3 THEN 'missing' WHEN 4 THEN 'shape' WHEN 5 THEN 'missing' END AS reason FROM part",
     "titleize": "SELECT p_partkey, replace(p_type, ' ', ' ') AS title FROM part",
     "decision_keys": "SELECT n_nationkey, substr(sha256(concat(least(n_name, r), chr(0), greatest(n_name, r))), 1, 32) AS decision_key FROM (SELECT *, concat('region/', CAST(n_regionkey AS VARCHAR)) AS r FROM nation)",
@@ -246,6 +266,9 @@ SELECT concat('sources/', CAST(doc_id AS VARCHAR)) AS concept_id, CAST(windows A
     "union_dedup_lists": "SELECT p_partkey, concat_ws('|', p_brand, p_name, p_brand, p_type) AS merged FROM part",
     "attribution_split": """SELECT event_id, concat('Answer ', CAST(event_id AS VARCHAR)) AS prose, CASE WHEN k = 0 OR (k > 1 AND len(n) > 0) THEN 'reported' ELSE 'unparsed' END AS status, CASE WHEN k > 1 THEN array_to_string(n, ',') ELSE '' END AS used
   FROM (SELECT event_id, event_id % 13 AS k, list_filter(CASE WHEN a = b THEN [a] ELSE [a, b] END, lambda x: x BETWEEN 1 AND 4) AS n FROM (SELECT event_id, event_id % 7 AS a, user_id % 5 AS b FROM events))""",
+    "chunk_windows": """WITH r AS (SELECT doc_id, list_reduce(list_transform(string_split(text, chr(10)), lambda x: {'done': CAST([] AS BIGINT[]), 's': CAST(length(x) + 1 AS BIGINT)}),
+  lambda a, b: CASE WHEN a.s + b.s > 4000 THEN {'done': list_append(a.done, a.s - 1), 's': b.s} ELSE {'done': a.done, 's': a.s + b.s} END) AS r FROM documents WHERE text IS NOT NULL),
+  w AS (SELECT doc_id, list_append(r.done, r.s - 1) AS w FROM r) SELECT doc_id, CAST(unnest(range(len(w))) AS INT) AS "window", CAST(unnest(w) AS INT) AS n_chars FROM w""",
     "json_replies": """SELECT event_id, concat('{"event": ', CAST(event_id AS VARCHAR), ', "props": "', event_type, '"}') AS object FROM events""",
     "streaming_latest": "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,11 +46,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An adapter as a DataFrame; base tables are views under their own names while it is planned."""
-    for t in TABLES:
-        if f" {t}" in ADAPTERS[name]:
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(ADAPTERS[name].replace("VARCHAR(20)", "STRING"))
+    """An adapter as a DataFrame; no view of the session's is touched."""
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", ADAPTERS[name].replace("VARCHAR(20)", "STRING"))
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text})
 
 
 def with_adapters(*names: str) -> str:

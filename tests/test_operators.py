@@ -321,3 +321,17 @@ def test_lint_report_unites_all_checks(spark, tmp_path):
     assert {p for k, p in found if k == "below-source-sensitivity"} == {"concepts/one"}
     assert [(p, r) for k, p, _, r in got if r] == [("concepts/two", "set-sensitivity concepts/two confidential")]
     assert {p for k, p in found if k == "stale-stamp"} >= {"projects/old", "concepts/one"} and ("stale-stamp", "sources/a") not in found
+
+
+def test_evidence_pairs_equal_all_pairs(spark):
+    from cairn.functions import kernels as K
+
+    rnd = random.Random(9)
+    vocab = ["the", "of", "Fox", "fox.", "runs", "ΣΑΣ", "straße", "a,", "b", "c"]
+    line = lambda n: rnd.choice(["", "- ", "# ", "1. "]) + " ".join(rnd.choice(vocab) for _ in range(n))
+    shared = [line(rnd.randrange(3, 9)) for _ in range(12)]
+    text = lambda: "\n".join(rnd.choice([rnd.choice(shared), line(rnd.randrange(1, 7)), "x" + rnd.choice(shared) + "y z"]) for _ in range(rnd.randrange(0, 6)))
+    bodies, sources = [(i, text()) for i in range(25)] + [(99, None)], [(i, text().upper() if i % 5 == 0 else text()) for i in range(40)] + [(98, None)]
+    got = lexical.evidence_pairs(spark.createDataFrame(bodies, "body_id long, body string"), spark.createDataFrame(sources, "source_id long, text string")).collect()
+    want = {(i, j): e for i, b in bodies for j, t in sources if b is not None and t is not None and (e := K.evidence_line(b, t)) is not None}
+    assert len(got) == len(want) and {(r[0], r[1]): r[2] for r in got} == want and len(want) > 20
