@@ -25,18 +25,33 @@ class TokenTree:
         self.reencoded = 0
         self._build(text)
 
+    @classmethod
+    def of_leaves(cls, leaves: list[tuple[str, int]], enc: Encoder, leaf: int = 32) -> TokenTree:
+        """A tree from its leaves (text, tokens) as leaves() gave them; nothing is encoded again."""
+        out = cls.__new__(cls)
+        out.enc, out.leaf, out.reencoded = enc, leaf, 0
+        out._lay(leaves or [("", 0)])
+        return out
+
+    def leaves(self) -> list[tuple[str, int]]:
+        """(text, tokens) of the leaves that hold text."""
+        return [(t, self.tokens[self.size + i]) for i, t in enumerate(self.texts) if t]
+
     def _count(self, text: str) -> int:
         return self.enc.count(self.enc.stretches(text)) if text else 0
 
     def _build(self, text: str) -> None:
         cuts = self.enc.stretches(text) if text else []
         parts = [cuts[i : i + self.leaf] for i in range(0, len(cuts), self.leaf)] or [[]]
-        self.texts = ["".join(p) for p in parts]
-        self.size = 1 << (len(self.texts) - 1).bit_length()
-        self.chars = [0] * (2 * self.size)
-        self.tokens = [0] * (2 * self.size)
-        for i, p in enumerate(parts):
-            self.chars[self.size + i], self.tokens[self.size + i] = len(self.texts[i]), self.enc.count(p)
+        self._lay([("".join(p), self.enc.count(p)) for p in parts])
+
+    def _lay(self, leaves: list[tuple[str, int]]) -> None:
+        """The tree over these leaves."""
+        self.texts = [t for t, _ in leaves]
+        self.size = 1 << (len(leaves) - 1).bit_length()
+        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
+        for i, (t, n) in enumerate(leaves):
+            self.chars[self.size + i], self.tokens[self.size + i] = len(t), n
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
 
@@ -116,14 +131,67 @@ class TokenTree:
         parts = ["".join(cuts[i : i + self.leaf]) for i in range(0, len(cuts), self.leaf)]
         known = [(t, self.tokens[self.size + i]) for i, t in enumerate(self.texts)]
         known[leaf : leaf + 1] = [(p, self._count(p)) for p in parts]
-        known = [x for x in known if x[0]] or [("", 0)]
-        self.texts = [t for t, _ in known]
-        self.size = 1 << (len(known) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, (t, n) in enumerate(known):
-            self.chars[self.size + i], self.tokens[self.size + i] = len(t), n
-        for i in range(self.size - 1, 0, -1):
-            self._sum(i)
+        self._lay([x for x in known if x[0]] or [("", 0)])
+
+
+    def apply(self, edits: list[dict | None] | None) -> None:
+        """Edits in order, each to the text that the ones before left; nulls are 0 or empty."""
+        for e in edits or []:
+            e = e or {}
+            self.edit(e.get("pos") or 0, e.get("n_deleted") or 0, e.get("inserted") or "")
+
+
+_LEAVES = "array<struct<text: string, n_tokens: int>>"
+_KEPT = pa.list_(pa.struct([("text", pa.string()), ("n_tokens", pa.int32())]))
+
+
+def _dumped(tree: TokenTree) -> list[dict]:
+    return [{"text": t, "n_tokens": n} for t, n in tree.leaves()]
+
+
+def token_trees(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, version (0), n_tokens, leaves: each document's tree as its leaves, to write and edit later by edit_trees().
+
+    A null text is empty and has no leaves; repeated rows give repeated trees, an empty table none; other columns are ignored.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())  # a file of fixed size, under 1 MB
+
+    def run(batches):
+        with encoding(held.value, pattern) as enc:
+            for batch in batches:
+                trees = [TokenTree(t or "", enc) for t in batch.column(1).to_pylist()]
+                kept = pa.array([_dumped(t) for t in trees], _KEPT)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0] * len(trees), pa.int32()), pa.array([t.n_tokens for t in trees], pa.int64()), kept], ["doc_id", "version", "n_tokens", "leaves"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, version int, n_tokens long, leaves {_LEAVES}")
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, version, n_tokens, leaves, n_reencoded of all trees (doc_id, version, leaves): those that edits (doc_id, edits) names are
+    edited and their version rises by one, with n_reencoded tokens encoded again; the others stay as they are.
+
+    Several rows of edits of one document apply in the order of their column `turn` where there is one. Trees and edits meet by
+    doc_id; a null one has no edits.
+    """
+    held = trees.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
+    order = "turn" if "turn" in edits.columns else "edits"
+    todo = edits.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("edits").cast(EDITS).alias("e")))).alias("all"))
+    todo = todo.select("doc_id", F.flatten(F.transform("all", lambda x: F.coalesce(x["e"], F.expr(f"cast(array() as {EDITS})")))).alias("edits"))
+
+    def run(batches):
+        with encoding(held.value, pattern) as enc:
+            for batch in batches:
+                versions, counts, kept, again = [], [], [], []
+                for version, leaves, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    tree = TokenTree.of_leaves([(x["text"], x["n_tokens"]) for x in leaves or []], enc)
+                    tree.apply(own)
+                    for column, x in zip((versions, counts, kept, again), (version + (own is not None), tree.n_tokens, _dumped(tree), tree.reencoded), strict=True):
+                        column.append(x)
+                columns = [batch.column(0), pa.array(versions, pa.int32()), pa.array(counts, pa.int64()), pa.array(kept, _KEPT), pa.array(again, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "n_tokens", "leaves", "n_reencoded"])
+
+    held_rows = trees.select("doc_id", "version", "leaves").join(todo, "doc_id", "left")
+    return held_rows.mapInArrow(run, f"doc_id long, version int, n_tokens long, leaves {_LEAVES}, n_reencoded long")
 
 
 def count_with_edits(docs: DataFrame, edits: Column, ranks_path: str, pattern: str, keep_text: bool = False) -> DataFrame:
@@ -131,8 +199,8 @@ def count_with_edits(docs: DataFrame, edits: Column, ranks_path: str, pattern: s
 
     edits: a column of docs, an array of (pos, n_deleted, inserted) in code points, applied in
     order, each to the text that the ones before left. A null text is empty, a null list has no
-    edits, null positions and lengths are 0, a null insertion is empty. Repeated rows give
-    repeated results; an empty table gives none; other columns are ignored.
+    edits, null positions and lengths are 0, a null insertion is empty. Very long texts are taken whole. Repeated rows give
+    repeated results; an empty table gives none; other columns are ignored. token_trees() and edit_trees() do the same with trees that are kept.
     """
     held = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())  # a file of fixed size, under 1 MB
     schema = "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_reencoded long" + ", text_edited string" * keep_text
@@ -144,9 +212,7 @@ def count_with_edits(docs: DataFrame, edits: Column, ranks_path: str, pattern: s
                 for text, todo in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     tree = TokenTree(text or "", enc)
                     before = tree.n_tokens
-                    for e in todo or []:
-                        e = e or {}
-                        tree.edit(e.get("pos") or 0, e.get("n_deleted") or 0, e.get("inserted") or "")
+                    tree.apply(todo)
                     for column, x in zip(out, (before, len(todo or []), tree.n_tokens, tree.reencoded, tree.text if keep_text else None), strict=True):
                         column.append(x)
                 columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in out[:4]]]

@@ -511,6 +511,35 @@ def test_edits_reencode_little(spark, reference):
     assert all(r["n_edits"] == 0 and r["n_tokens"] == r["n_tokens_edited"] for r in none)
 
 
+def test_kept_trees_are_edited_where_edits_name_them(spark, reference, tmp_path):
+    rnd = random.Random(15)
+    texts = {i: prose(rnd, 150 * i) if i % 2 else noise(rnd, 200) for i in range(8)} | {8: None, 9: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("leaves", F.lit("clash"))
+    token_counts.token_trees(df, RANKS, P.PATTERN).write.parquet(f"{tmp_path}/v0")
+    now = {d: t or "" for d, t in texts.items()}
+    for version in range(3):
+        trees = spark.read.parquet(f"{tmp_path}/v{version}")
+        assert {r["doc_id"]: r["n_tokens"] for r in trees.collect()} == {d: len(reference.encode_ordinary(t)) for d, t in now.items()}
+        assert all("".join(x["text"] for x in r["leaves"]) == now[r["doc_id"]] for r in trees.collect())
+        rows = []
+        for d in (0, 1, 3, 9):
+            for turn in range(2):
+                pos, n, new = rnd.randrange(0, len(now[d]) + 1), rnd.randrange(0, 9), rnd.choice(["", " new", "x\n"])
+                rows.append((d, 1 - turn, [(pos, n, new)]))
+        for d, _, ((pos, n, new),) in sorted(rows, key=lambda r: r[:2]):
+            now[d] = now[d][:pos] + new + now[d][pos + n :]
+        edits = spark.createDataFrame([*rows, (77, 0, None)], f"doc_id long, turn int, edits {token_counts.EDITS}")
+        out = token_counts.edit_trees(trees, edits, RANKS, P.PATTERN)
+        out.write.parquet(f"{tmp_path}/v{version + 1}")
+        got = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/v{version + 1}").collect()}
+        assert {d: r["version"] for d, r in got.items()} == {d: (version + 1 if d in (0, 1, 3, 9) else 0) for d in texts}
+        assert got[5]["n_reencoded"] == 0 and got[3]["n_reencoded"] < got[3]["n_tokens"]
+    assert token_counts.edit_trees(trees.limit(0), edits, RANKS, P.PATTERN).collect() == []
+    both = df.unionByName(df.filter("doc_id = 1"))
+    twice = token_counts.count_with_edits(both, token_counts.sample_edits(F.col("text")), RANKS, P.PATTERN).collect()
+    assert len(twice) == 11 and token_counts.count_with_edits(df.limit(0), token_counts.sample_edits(F.col("text")), RANKS, P.PATTERN).collect() == []
+
+
 # 7
 
 
