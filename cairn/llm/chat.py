@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 CONTROL = r"([\[<])(/?INST\]|/?s>|/?ROLE\]|TEXT\]|NEXT\])"
 BLOCK = r"(?s)(\[INST\] .*? \[/INST\]|<s>.*?</s>|\[ROLE\].*?\[/ROLE\])"
 NEXT = "[NEXT]"
+BLOCK_TURNS = 128
 
 
 def escape(text: Column) -> Column:
@@ -37,6 +38,29 @@ def _closing(role: Column) -> Column:
     return F.when(role == "user", F.lit(" [/INST]")).when(role == "assistant", F.lit("</s>")).otherwise(F.lit("[/ROLE]"))
 
 
+def _spans(pieces: Column) -> Column:
+    """[start, end) of the bodies under the loss, in the order of pieces: within blocks of pieces first, then moved to where their block
+    begins, so that no list grows by copies over a whole conversation."""
+    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+
+    def place(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x["open"])
+        end = start + F.length(x["body"])
+        span = F.when(x["loss"], F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(none)
+        return F.struct((end + F.length(x["close"])).alias("at"), F.concat(state["spans"], span).alias("spans"))
+
+    def moved(blocks: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+        step = lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
+        starts = F.aggregate(blocks, first, step, lambda s: s["starts"])
+        return F.flatten(F.zip_with(blocks, starts, lambda b, s: F.transform(b["spans"], lambda x: F.struct((x["start"] + s).alias("start"), (x["end"] + s).alias("end")))))
+
+    last = F.floor((F.size(pieces) - 1) / BLOCK_TURNS).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(pieces, b * BLOCK_TURNS + 1, F.lit(BLOCK_TURNS)), begin, place))
+    return F.get(F.transform(F.array(blocks), moved), F.lit(0))  # the lambda works blocks out once
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans.
 
@@ -44,7 +68,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     sorted by (turn, role, text), nulls first, so ties have one order; repeated rows
     stay repeated turns. A null text or role counts as empty, a null conv_id is a
     conversation of its own. loss_spans holds [start, end) code-point offsets of
-    each assistant text in formatted, without controls. No rows give no rows.
+    each assistant text in formatted, without controls. Texts are taken whole; a conversation is one value, as its output is. No rows give no rows.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     held = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -62,20 +86,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
         return F.transform(all_turns, piece)
 
-    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-
-    def place(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["open"])
-        end = start + F.length(x["body"])
-        span = F.when(x["loss"], F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(none)
-        return F.struct((end + F.length(x["close"])).alias("at"), F.concat(state["spans"], span).alias("spans"))
-
-    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
     cut = held.select("conv_id", pieces(F.col("turns")).alias("pieces"))
     return cut.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda x: F.concat(x["open"], x["body"], x["close"])), "").alias("formatted"),
-        F.aggregate("pieces", begin, place, lambda s: s["spans"]).alias("loss_spans"),
+        _spans(F.col("pieces")).alias("loss_spans"),
     )
 
 

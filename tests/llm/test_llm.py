@@ -727,3 +727,13 @@ def test_chats_read_back_exactly(spark):
         assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
         assert got[c]["formatted_chars"] == len(formatted[c]["formatted"]) and len(formatted[c]["loss_spans"]) == sum(x[2] == "assistant" for x in ts)
     assert chat.digest_chats(df.limit(0)).collect() == []
+
+
+def test_long_chats_keep_their_spans(spark):
+    rnd = random.Random(16)
+    turns = [(1, t, rnd.choice(["user", "assistant"]), "x" * rnd.randrange(0, 5) + f"<s>{t}") for t in range(3 * chat.BLOCK_TURNS + 5)]
+    turns += [(2, t, "assistant", str(t)) for t in range(chat.BLOCK_TURNS)] + [(3, 0, "user", "")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    for r in chat.format_chats(df).collect():
+        spoken = [x[3] for x in turns if x[0] == r["conv_id"] and x[2] == "assistant"]
+        assert [r["formatted"][s["start"] : s["end"]].replace("<\\s>", "<s>") for s in r["loss_spans"]] == spoken
