@@ -20,46 +20,93 @@ def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return ranked(vectors.select("concept_id", F.round(F.sqrt(total), 9).alias("distance")), [F.col("distance"), F.col("concept_id")], k)
 
 
-def neighbours(vectors: DataFrame, k: int, block: int = 2048, most: int = 64) -> DataFrame:
+class _Nearest:
+    """The k nearest so far of each of a task's vectors: by distance to 9 places, then name; what isn't a number ranks last."""
+
+    def __init__(self, names: np.ndarray, x: np.ndarray, k: int):
+        self.names, self.x, self.k = names, x, k
+        self.squares = (x * x).sum(1)
+        self.found = np.full((len(x), k), "", dtype=object)
+        self.distance = np.full((len(x), k), np.nan)
+        self.empty = np.ones((len(x), k), bool)
+
+    def offer(self, names: np.ndarray, y: np.ndarray, step: int = 1024) -> None:
+        y2 = (y * y).sum(1)
+        for a in range(0, len(self.x), step):
+            rows = slice(a, min(a + step, len(self.x)))
+            x, x2 = self.x[rows], self.squares[rows]
+            squares = x2[:, None] - 2 * x @ y.T + y2[None]
+            #: Above what the product's rounding and that of the distances to 9 places can hide.
+            slack = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (x2 + np.nanmax(y2, initial=0))
+            m = min(len(y), self.k)
+            most = np.partition(squares, m - 1, axis=1)[:, m - 1] + slack  # partition puts what isn't a number last
+            if m == self.k:
+                held = np.where(self.empty[rows, -1], np.inf, self.distance[rows, -1])
+                most = np.fmin(most, (held + 1e-9) ** 2 + slack)
+            top = (np.sqrt(np.maximum(most, 0)) + 2e-9) ** 2 + slack
+            i, j = np.nonzero(~(squares > top[:, None]))
+            self._merge(a + i, names[j], np.round(np.sqrt(((x[i] - y[j]) ** 2).sum(1)), 9))
+
+    def _merge(self, rows: np.ndarray, names: np.ndarray, distances: np.ndarray) -> None:
+        if not len(rows):
+            return
+        own = np.unique(rows)
+        row = np.concatenate((np.repeat(own, self.k), rows))
+        name = np.concatenate((self.found[own].ravel(), names)).astype(str)
+        distance = np.concatenate((self.distance[own].ravel(), distances))
+        empty = np.concatenate((self.empty[own].ravel(), np.zeros(len(rows), bool)))
+        order = np.lexsort((name, distance, empty, row))
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        kept = order[place < self.k]
+        self.found[own] = name[kept].reshape(len(own), self.k)
+        self.distance[own] = distance[kept].reshape(len(own), self.k)
+        self.empty[own] = empty[kept].reshape(len(own), self.k)
+
+    def rows(self) -> pa.RecordBatch:
+        i, j = np.nonzero(~self.empty)
+        columns = [pa.array(self.names[i].tolist(), pa.string()), pa.array(self.found[i, j].tolist(), pa.string()), pa.array(self.distance[i, j], pa.float64()), pa.array(j + 1, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["concept_id", "neighbour_id", "distance", "rank"])
+
+
+def neighbours(vectors: DataFrame, k: int, block: int = 2048, wide: int = 8) -> DataFrame:
     """(concept_id, neighbour_id, distance, rank) of every vector's k nearest, itself included; ties by id.
 
-    Vectors are packed into blocks of bounded size; each pair of blocks is one row, whose distances one matrix
-    product gives; all rows as near as the kth smallest product are measured exactly, and only k candidates a vector and
-    block leave the task. Null vectors take no part.
+    Vectors are packed into blocks of about `block` rows. A task holds a wide block of `wide` times as many and lets all blocks pass by, one
+    after the other: a matrix product gives distances, those that can be among the k nearest are measured exactly, and only the k nearest leave
+    the task. Every block is sent once for each wide block, so bytes sent and products grow with the square of the rows, in
+    bounded memory. Null vectors take no part; all are of one length.
     """
-    n_blocks = max(1, min(most, -(-vectors.count() // block)))
-    ids = vectors.filter("embedding is not null").select("concept_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    dealt = ids.withColumn("_b", F.pmod(F.xxhash64("concept_id"), F.lit(n_blocks)))
-    packed = dealt.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("concept_id", "embedding"))).alias("_v"))
-    packed = packed.select("_b", F.col("_v.concept_id").alias("ids"), F.col("_v.embedding").alias("vecs"))
-    left = packed.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
-    pairs = left.join(packed.select(F.col("_b").alias("_to"), F.col("ids").alias("ids2"), F.col("vecs").alias("vecs2")), "_to")
+    rows = vectors.filter("embedding is not null").select("concept_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n = rows.count()
+    blocks, wides = max(1, -(-n // block)), max(1, -(-n // (block * wide)))
+
+    def packed(name: str, count: int) -> DataFrame:
+        held = rows.groupBy(F.pmod(F.xxhash64("concept_id"), F.lit(count)).alias(name)).agg(F.collect_list(F.struct("concept_id", "embedding")).alias("_v"))
+        return held.select(name, F.col("_v.concept_id").alias("ids"), F.flatten(F.col("_v.embedding")).alias("flat"))
+
+    here = packed("task", wides).select("task", F.lit(-1).cast("long").alias("part"), "ids", "flat")
+    passing = packed("part", blocks).select(F.explode(F.sequence(F.lit(0), F.lit(wides - 1)).cast("array<bigint>")).alias("task"), "part", "ids", "flat")
+    sent = here.unionByName(passing).repartition(wides, "task").sortWithinPartitions("task", "part")
 
     def run(batches):
+        now = task = None
         for batch in batches:
-            for row in range(batch.num_rows):  # a batch holds many pairs of blocks
-                ids, vecs, ids2, vecs2 = (batch.column(i)[row].as_py() for i in range(4))
-                x, y, names = np.array(vecs), np.array(vecs2), np.array(ids2)
-                x2, y2 = (x * x).sum(1), (y * y).sum(1)
-                squares = x2[:, None] - 2 * x @ y.T + y2[None]
-                #: Above what the product's rounding and that of the distances to 9 places can hide.
-                slack = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (x2 + y2.max())
-                out_a, out_b, out_d = [], [], []
-                m = min(len(ids2), k)
-                kth = np.partition(squares, m - 1, axis=1)[:, m - 1]
-                top = (np.sqrt(np.maximum(kth + slack, 0)) + 2e-9) ** 2 + slack
-                for i, name in enumerate(ids):
-                    near = np.flatnonzero(~(squares[i] > top[i]))  # not a number: kept, ranks last
-                    d = np.round(np.sqrt(((x[i] - y[near]) ** 2).sum(1)), 9)  # exact where it ranks
-                    for j in np.lexsort((names[near], d))[:k]:
-                        out_a.append(name)
-                        out_b.append(names[near[j]])
-                        out_d.append(float(d[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.string()), pa.array(out_b, pa.string()), pa.array(out_d, pa.float64())], ["concept_id", "neighbour_id", "distance"])
-
-    found = pairs.select("ids", "vecs", "ids2", "vecs2").mapInArrow(run, "concept_id string, neighbour_id string, distance double")
-    order = W.partitionBy("concept_id").orderBy("distance", "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            for row in range(batch.num_rows):
+                opens = batch.column(1)[row].as_py() < 0
+                if not opens and batch.column(0)[row].as_py() != task:
+                    continue  # a wide block without rows
+                names = np.array(batch.column(2)[row].as_py(), dtype=object)
+                x = batch.column(3)[row].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
+                if opens:
+                    if now is not None:
+                        yield now.rows()
+                    now, task = _Nearest(names, x, k), batch.column(0)[row].as_py()
+                else:
+                    now.offer(names, x)
+        if now is not None:
+            yield now.rows()
+
+    return sent.select("task", "part", "ids", "flat").mapInArrow(run, "concept_id string, neighbour_id string, distance double, rank int")
 
 
 def proximity_pairs(vectors: DataFrame, min_similarity: float = 0.70, top: int = 5) -> DataFrame:

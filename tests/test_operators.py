@@ -128,8 +128,10 @@ def test_neighbours_break_ties_of_many_copies_by_id(spark):
     names = [f"v{i:04d}" for i in range(400)]
     v = spark.createDataFrame(list(zip(names, vecs, strict=True)), "concept_id string, embedding array<double>")
     want = {(a, n): b for a, x in zip(names, vecs, strict=True) for n, (_, b) in enumerate(sorted((round(math.dist(x, y), 9), b) for b, y in zip(names, vecs, strict=True))[:6], 1)}
-    for block in (2048, 100):
-        assert {(r["concept_id"], r["rank"]): r["neighbour_id"] for r in dense.neighbours(v, 6, block).collect()} == want
+    for block, wide in ((2048, 8), (100, 8), (30, 2)):
+        assert {(r["concept_id"], r["rank"]): r["neighbour_id"] for r in dense.neighbours(v, 6, block, wide).collect()} == want
+    alike = spark.createDataFrame([("x", [1.0, 0.0])] * 5, "concept_id string, embedding array<double>")
+    assert [r["rank"] for r in dense.neighbours(alike, 9, 2, 1).filter("neighbour_id = 'x'").collect()] == [1, 2, 3, 4, 5] * 5
     copies = [n for n, x in zip(names, vecs, strict=True) if x == vecs[7]]
     pairs = {(r["id_a"], r["id_b"]) for r in dense.proximity_pairs(v, 0.999999).collect()}
     near = {c: [b for b in copies[:6] if b != c][:5] for c in copies}
