@@ -220,20 +220,23 @@ def token_labels(spans: list[tuple[int, int]], base: list[Span]) -> dict[int, in
     return out
 
 
-def train(texts: list[str], steps: int = 300, rate: float = 1.0, decay: float = 1e-3) -> SkipChain:
+def train(texts: list[str], steps: int = 300, rate: float = 1.0, decay: float = 1e-3, max_tokens: int = 200_000) -> SkipChain:
     """The weights of largest pseudo-likelihood, by gradient ascent: each label given its token and the labels that edges tie to it.
 
-    Labels are the patterns'. decay keeps weights that few tokens speak for small; without tokens all weights are nought.
+    Labels are the patterns'. decay keeps weights that few tokens speak for small; without tokens all weights are nought. Texts are
+    taken in turn until they have max_tokens tokens; tokens with the same features share a row.
     """
-    rows: list[list[str]] = []
+    rows: list[tuple[str, ...]] = []
     labels: list[int] = []
     chain: list[tuple[int, int]] = []
     skip: list[tuple[int, int]] = []
     for text in texts:
         spans, at = candidates(text), len(rows)
+        if at >= max_tokens:
+            break
         known = token_labels(spans, base_spans(text))
         labels += [known.get(i, 0) for i in range(len(spans))]
-        rows += [features(text[a:b]) for a, b in spans]
+        rows += [tuple(features(text[a:b])) for a, b in spans]
         for into, found in zip((chain, skip), edges(text, spans), strict=True):
             into += [(at + i, at + j) for i, j in found]
     names = sorted({f for r in rows for f in r})
@@ -241,9 +244,10 @@ def train(texts: list[str], steps: int = 300, rate: float = 1.0, decay: float =
     n, m = len(rows), len(LABELS)
     node, across, alike = np.zeros((len(names), m)), np.zeros((m, m)), np.zeros((m, m))
     if n:
-        x = np.zeros((n, len(names)), np.float32)
-        for i, r in enumerate(rows):
-            x[i, [place[f] for f in r]] = 1
+        kinds = {r: i for i, r in enumerate(dict.fromkeys(rows))}
+        kind = np.array([kinds[r] for r in rows])
+        most = max(map(len, kinds))
+        held = np.array([[*(place[f] for f in r), *[len(names)] * (most - len(r))] for r in kinds])  # the row after the last is of no feature
         y = np.eye(m)[labels]
 
         def beside(pairs: list[tuple[int, int]]) -> np.ndarray:
@@ -258,8 +262,11 @@ def train(texts: list[str], steps: int = 300, rate: float = 1.0, decay: float =
         tied = beside([*skip, *[(j, i) for i, j in skip]])
         weight = 1 / np.maximum(tied.sum(1, keepdims=True), 1)  # a large group speaks once a token
         for _ in range(steps):
-            miss = y - _softmax(x @ node + before @ across + after @ across.T + (tied * weight) @ alike)
-            node += rate * (x.T @ miss / n - decay * node)
+            own = np.concatenate((node, np.zeros((1, m))))[held].sum(1)
+            miss = y - _softmax(own[kind] + before @ across + after @ across.T + (tied * weight) @ alike)
+            by_kind = [np.repeat(np.bincount(kind, miss[:, k], len(kinds)), most) for k in range(m)]
+            step = np.stack([np.bincount(held.ravel(), w, len(names) + 1)[:-1] for w in by_kind], 1)
+            node += rate * (step / n - decay * node)
             across += rate * ((before.T @ miss + (after.T @ miss).T) / n - decay * across)
             step = (tied * weight).T @ miss / n
             alike += rate * ((step + step.T) / 2 - decay * alike)
