@@ -13,7 +13,6 @@ behind the input.
 from __future__ import annotations
 
 import base64
-import ctypes
 import gc
 import hashlib
 import re
@@ -25,7 +24,6 @@ import regex
 _SPACES = r"\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_SPACE = re.compile(rf" [ {_SPACES}]|[{_SPACES}] ")
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -174,8 +172,6 @@ class Encoder:
         """Gives the memory back: Python workers are used again by tasks that need theirs for other things."""
         self.new, self.old = {}, {}
         self.transducer.forget()
-        if _TRIM:
-            _TRIM(0)
 
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
@@ -289,9 +285,11 @@ def encoder(data: bytes, pattern: str) -> Encoder:
 
 
 @contextmanager
-def encoding(data: bytes, pattern: str):
-    """The worker's encoder for the length of a task, which forgets all but the trie when the task ends."""
+def encoding(data: bytes, pattern: str, memory: int = 200_000):
+    """The worker's encoder for the length of a task, which forgets all but the trie when the task ends. memory: how many stretches each of
+    two generations holds; as many states as three quarters of that are held."""
     held = encoder(data, pattern)
+    held.max_memory, held.transducer.max_states = memory, 3 * memory // 4
     try:
         yield held
     finally:

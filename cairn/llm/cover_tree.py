@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize
+from cairn.llm.common import materialize, tidy
 
 LOW = np.iinfo(np.int64).min
 
@@ -200,7 +200,7 @@ def _search(rows: DataFrame, k: int, leaf: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["chunk", "dim", "query_id", "packed", "ids", "scores"])
 
     wanted = rows.repartition("block").sortWithinPartitions("block", "kind").select("block", "kind", "dim", "chunk", "ids", "packs", "floor")
-    return wanted.mapInArrow(run, "chunk long, dim int, query_id long, packed binary, ids array<long>, scores array<long>")
+    return wanted.mapInArrow(tidy(run), "chunk long, dim int, query_id long, packed binary, ids array<long>, scores array<long>")
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, block_rows: int = 4096, chunk_rows: int = 256, max_cells: int = 256, sample: int = 4096) -> DataFrame:
@@ -245,7 +245,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, block_rows: int = 40
                 ["dim", "cell", "away", "vec_id", "packed"],
             )
 
-    placed = materialize(rows.mapInArrow(cells, "dim int, cell int, away double, vec_id long, packed binary"))
+    placed = materialize(rows.mapInArrow(tidy(cells), "dim int, cell int, away double, vec_id long, packed binary"))
     is_query = F.col("vec_id") % every == 0
     sizes = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("n_q"), F.max("away").alias("radius")).orderBy("dim", "cell").collect()
     layout, blocks, chunks = [], 0, 0
@@ -299,7 +299,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, block_rows: int = 40
     kth = F.when(F.size("scores") >= k, F.element_at("scores", -1)).otherwise(F.lit(int(LOW)))
     again = near.select("chunk", "dim", F.struct("query_id", "packed", kth.alias("floor")).alias("held")).groupBy("chunk", "dim").agg(F.collect_list("held").alias("held"))
     again = again.select("chunk", "dim", "held.query_id", "held.packed", "held.floor")
-    visits = again.mapInArrow(visit, "block long, kind int, dim int, chunk long, ids array<long>, packs array<binary>, floor array<long>")
+    visits = again.mapInArrow(tidy(visit), "block long, kind int, dim int, chunk long, ids array<long>, packs array<binary>, floor array<long>")
     far = _search(data_rows.unionByName(visits), k, leaf=512)
     hits = near.unionByName(far).select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("hit")).select("query_id", F.col("hit.ids").alias("vec_id"), F.col("hit.scores").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import discard, materialize, mix, release, text_blocks, word_hashes
+from cairn.llm.common import discard, materialize, mix, release, text_blocks, tidy, word_hashes
 
 WIDTH = 5
 _M = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -176,7 +176,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _signed(np.array(fp, np.uint64)), *[_signed(sk[:, i]) for i in range(SKETCH_WORDS)], pa.array(wide, pa.binary())], ["doc_id", "n_shingles", "fp", *[f"s{i}" for i in range(SKETCH_WORDS)], "wide"])
 
     schema = "doc_id long, n_shingles long, fp long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)) + ", wide binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), schema)
 
 
 def _signature_rows(docs: DataFrame, percent: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _signature_rows(docs: DataFrame, percent: int) -> DataFrame:
                 if sigs:
                     yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), _signed(np.concatenate(fps))], ["sig", "fp"])
 
-    return docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "sig long, fp long")
+    return docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(tidy(run), "sig long, fp long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def _shared(rows: DataFrame) -> DataFrame:
         for i in range(0, len(out[0]), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], pa.int64()) for x in out], ["sig", "fp", "leader"])
 
-    return rows.repartition("sig").mapInArrow(run, "sig long, fp long, leader long")
+    return rows.repartition("sig").mapInArrow(tidy(run), "sig long, fp long, leader long")
 
 
 def _by_signature(batches, width: int):
@@ -269,7 +269,7 @@ def _some(rows: DataFrame, picks: int = 2) -> DataFrame:
         pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right))), axis=1)
         yield from _yield_rows(list(pairs), ["a", "b"])
 
-    return rows.select("sig", "fp", "root").repartition("sig").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("sig", "fp", "root").repartition("sig").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _apart(rows: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _apart(rows: DataFrame) -> DataFrame:
             keep = np.concatenate([np.arange(a, b) for a, b, _ in groups])
             yield from _yield_rows([c[keep] for c in columns], ["sig", "fp", "root"])
 
-    return rows.select("sig", "fp", "root").repartition("sig").mapInArrow(run, "sig long, fp long, root long")
+    return rows.select("sig", "fp", "root").repartition("sig").mapInArrow(tidy(run), "sig long, fp long, root long")
 
 
 def _across(rows: DataFrame, percent: int, block: int = 1 << 20) -> DataFrame:
@@ -319,7 +319,7 @@ def _across(rows: DataFrame, percent: int, block: int = 1 << 20) -> DataFrame:
                         found, size = [np.zeros((2, 0), np.int64)], 0
         yield told(found)
 
-    return rows.select(*names).repartition("sig").mapInArrow(run, "a long, bs array<long>")
+    return rows.select(*names).repartition("sig").mapInArrow(tidy(run), "a long, bs array<long>")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -351,7 +351,7 @@ def _still_likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
             ]
             yield batch.select(names).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(run, pairs.schema)
+    return both.mapInArrow(tidy(run), pairs.schema)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int, most: int = 256) -> DataFrame:
@@ -363,7 +363,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, most: int = 256) ->
             yield pa.RecordBatch.from_arrays([_signed(np.array([fingerprint(x) for x in out], np.uint64)), pa.array([x.tobytes() for x in out], pa.binary())], ["fp", "held"])
 
     need = materialize(pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select("rep_b")).distinct())
-    held = docs.select(F.col("doc_id").cast("long"), "text").join(need, "doc_id").select("text").mapInArrow(sets, "fp long, held binary")
+    held = docs.select(F.col("doc_id").cast("long"), "text").join(need, "doc_id").select("text").mapInArrow(tidy(sets), "fp long, held binary")
     held = materialize(held.dropDuplicates(["fp"]))
     counts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / most) + 1).cast("int").alias("copies"))
     firsts = counts.join(held.withColumnRenamed("fp", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rep_a"), F.lit(None).cast("long").alias("rep_b"), "held")
@@ -390,7 +390,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, most: int = 256) ->
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["rep_a", "rep_b"])
 
     rows = firsts.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    out = materialize(rows.mapInArrow(compare, "rep_a long, rep_b long").distinct())
+    out = materialize(rows.mapInArrow(tidy(compare), "rep_a long, rep_b long").distinct())
     discard(held)
     discard(need)
     return out

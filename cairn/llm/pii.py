@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import few_at_a_time, tidy
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 
@@ -328,7 +330,7 @@ def find_personal_data(docs: DataFrame, model: SkipChain) -> DataFrame:
     def run(batches):
         field = SkipChain.from_json(held)
         empty = hashlib.sha256(b"").hexdigest()
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, spans = find(text, field) if text and _ANY.search(text) else ([], [])
@@ -340,4 +342,4 @@ def find_personal_data(docs: DataFrame, model: SkipChain) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), schema)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.bpe import Encoder, encoding
+from cairn.llm.common import few_at_a_time, tidy
 
 EDITS = "array<struct<pos: bigint, n_deleted: bigint, inserted: string>>"
 
@@ -158,12 +159,12 @@ def token_trees(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         with encoding(held.value, pattern) as enc:
-            for batch in batches:
+            for batch in few_at_a_time(batches):
                 trees = [TokenTree(t or "", enc) for t in batch.column(1).to_pylist()]
                 kept = pa.array([_dumped(t) for t in trees], _KEPT)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0] * len(trees), pa.int32()), pa.array([t.n_tokens for t in trees], pa.int64()), kept], ["doc_id", "version", "n_tokens", "leaves"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, version int, n_tokens long, leaves {_LEAVES}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), f"doc_id long, version int, n_tokens long, leaves {_LEAVES}")
 
 
 def edit_trees(trees: DataFrame, edits: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -191,7 +192,7 @@ def edit_trees(trees: DataFrame, edits: DataFrame, ranks_path: str, pattern: str
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "n_tokens", "leaves", "n_reencoded"])
 
     held_rows = trees.select("doc_id", "version", "leaves").join(todo, "doc_id", "left")
-    return held_rows.mapInArrow(run, f"doc_id long, version int, n_tokens long, leaves {_LEAVES}, n_reencoded long")
+    return held_rows.mapInArrow(tidy(run), f"doc_id long, version int, n_tokens long, leaves {_LEAVES}, n_reencoded long")
 
 
 def count_with_edits(docs: DataFrame, edits: Column, ranks_path: str, pattern: str, keep_text: bool = False) -> DataFrame:
@@ -207,7 +208,7 @@ def count_with_edits(docs: DataFrame, edits: Column, ranks_path: str, pattern: s
 
     def run(batches):
         with encoding(held.value, pattern) as enc:
-            for batch in batches:
+            for batch in few_at_a_time(batches):
                 out: list[list] = [[], [], [], [], []]
                 for text, todo in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     tree = TokenTree(text or "", enc)
@@ -221,7 +222,7 @@ def count_with_edits(docs: DataFrame, edits: Column, ranks_path: str, pattern: s
                     columns, names = [*columns, pa.array(out[4], pa.string())], [*names, "text_edited"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", edits.cast(EDITS).alias("edits")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", edits.cast(EDITS).alias("edits")).mapInArrow(tidy(run), schema)
 
 
 def sample_edits(text: Column) -> Column:

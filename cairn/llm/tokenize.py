@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.bpe import decode_stream, encoder, encoding
+from cairn.llm.common import few_at_a_time, tidy
 
 
 def _vocabulary(docs: DataFrame, ranks_path: str):
@@ -28,11 +29,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     def run(batches):
         with encoding(held.value, pattern) as enc:
-            for batch in batches:
+            for batch in few_at_a_time(batches):
                 ids = [enc.encode(t) if t else [] for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -49,12 +50,12 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 texts.append("".join([p[1] for p in parts]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(data, pa.binary())], ["doc_id", "text", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, keep: tuple[str, ...] = (), memory: int = 200_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids), then the whole-number columns named in keep: encodes, then decodes the ids,
-    one text at a time.
+    one text at a time. memory bounds what a worker holds (see bpe.encoding): less is slower, with the same result.
 
     The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded bytes.
     A null text is empty, a very long one is taken whole; repeated rows give repeated results, an empty table none; other columns are ignored.
@@ -63,9 +64,9 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool =
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + "".join(f", `{c}` long" for c in keep)
 
     def run(batches):
-        with encoding(held.value, pattern) as enc:
+        with encoding(held.value, pattern, memory) as enc:
             bytes_of = enc.transducer.bytes_of
-            for batch in batches:
+            for batch in few_at_a_time(batches):
                 counts, packed, decoded, kept = [], [], [], []
                 for t in batch.column(1).to_pylist():
                     ids = enc.encode(t) if t else []
@@ -86,4 +87,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool =
                 columns, names = [*columns, *batch.columns[2:]], [*names, *keep]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *[F.col(f"`{c}`").cast("long") for c in keep]).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *[F.col(f"`{c}`").cast("long") for c in keep]).mapInArrow(tidy(run), schema)
