@@ -49,7 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding them, and its slot and position. Files keep no order, and documents no column for it:
     the schedule follows from the rows alone, so it is worked out again as the stage before had it."""
-    return tokenize.round_trip(mixing.mix_sources(docs.select(*COLUMNS)), RANKS, PATTERN, keep_ids=True, keep=ORDER)
+    return tokenize.round_trip(mixing.mix_sources(docs.select(*COLUMNS)), RANKS, PATTERN, keep_ids=True, keep=ORDER, memory=60_000)
 
 
 STAGES = [
