@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers as P
 from cairn.llm import mixing
 from cairn.llm.bpe import load_ranks
-from tests.llm.test_llm import DATA, DOCS, WORD, brute_components, brute_longest, brute_stats
+from test_llm import DATA, DOCS, WORD, brute_components, brute_longest, brute_stats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
