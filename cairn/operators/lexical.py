@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +11,25 @@ from pyspark.sql import functions as F
 TOKEN = r"([\p{L}\p{N}]+)"
 
 
+def _folds() -> dict[str, str]:
+    """Latin letters with one mark to those without; such marks of their own to nothing."""
+    held, alone = {"ſ": "s"}, set()
+    for c in map(chr, range(0xC0, 0x1F00)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if len(marks) == 1 and base.isascii() and base.isalpha() and unicodedata.combining(marks[0]):
+            held[c] = base.lower()
+            alone.add(marks[0])
+    return held | dict.fromkeys(alone, "")
+
+
+#: Letters first: translate() drops what has no counterpart.
+FOLDS = _folds()
+_FROM, _TO = "".join(sorted(FOLDS, key=lambda c: not FOLDS[c])), "".join(filter(None, (FOLDS[c] for c in sorted(FOLDS, key=lambda c: not FOLDS[c]))))
+
+
 def tokens(*columns: Column) -> Column:
-    """Lower-case runs of letters and digits of all columns, in order."""
-    text = F.lower(F.concat_ws(" ", *columns))
+    """Lower-case runs of letters and digits of all columns, in order, without diacritics."""
+    text = F.translate(F.lower(F.concat_ws(" ", *columns)), _FROM, _TO)
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
 
 
@@ -31,7 +48,8 @@ def quote(question: str) -> list[list[str]]:
     """White-space tokens, each a phrase of its own terms; tokens without a term match nothing."""
     import re
 
-    return [p for raw in question.split() if (p := [w.lower() for w in re.findall(r"[^\W_]+", raw)])]
+    table = str.maketrans(FOLDS)
+    return [p for raw in question.split() if (p := re.findall(r"[^\W_]+", raw.lower().translate(table)))]
 
 
 def _occurrences(held: Column, phrase: list[str]) -> Column:

@@ -7,7 +7,7 @@ from cairn.plans.catalogue import QUERY_VECTOR, TODAY
 from cairn.sources.adapters import with_adapters
 from cairn.vocabulary import ENGLISH, SPANISH
 
-_TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_TOKENS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
 _VECTOR = "CAST([" + ", ".join(map(str, QUERY_VECTOR)) + "] AS DOUBLE[])"
 _EN = ", ".join(f"'{w}'" for w in ENGLISH)
 _ES = ", ".join(f"'{w}'" for w in SPANISH)
