@@ -356,3 +356,32 @@ def test_tokens_fold_as_the_index_of_the_reference_store(spark):
     assert len(differ) <= 0.03 * len(texts), differ
     assert got[len(texts) - 1] == want[len(texts) - 1] == ["elan", "vital", "naive", "facade", "x1", "et"]
     assert lexical.quote("Élan NAÏVE-façade") == [["elan"], ["naive", "facade"]]
+
+
+def test_vector_store_upserts_prunes_and_forgets(spark):
+    store = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "concept_id string, content_hash string")
+    changes = spark.createDataFrame([("b", "2"), ("d", "2"), ("d", "2")], "concept_id string, content_hash string")
+    merged = dense.upsert(store, changes, ["concept_id"])
+    assert sorted(map(tuple, merged.collect())) == [("a", "1"), ("b", "2"), ("c", "1"), ("d", "2")]
+    seen = spark.createDataFrame([("a",), ("a",), ("d",)], "concept_id string")
+    assert sorted(r[0] for r in dense.prune(merged, seen, ["concept_id"]).collect()) == ["a", "d"]
+    findings = merged.withColumnRenamed("concept_id", "survivor_id")
+    assert sorted(r["survivor_id"] for r in state.forget(findings, seen, "survivor_id").collect()) == ["b", "c"]
+    assert dense.upsert(store.limit(0), changes.limit(0), ["concept_id"]).collect() == []
+
+
+def test_raw_files_and_built_documents(spark, tmp_path):
+    for name, text in (("a.md", "one\ntwo"), ("b.TXT", ""), ("c.pdf", "no")):
+        (tmp_path / name).write_text(text)
+    got = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in bundle.read_raw(spark, f"{tmp_path}/*").collect()}
+    assert got.pop("b.TXT", "") == "" and got == {"a.md": "one\ntwo"}
+    rows = [("Person", "Ana", "who", "b", "ana"), ("Source", "S", "d", "", "s"), ("Concept", " ", "d", "", "x"), ("Concept", "T", "", "", "t"), ("Concept", "T\nU", "d", "", "u"), (None, "T", "d", "", "n")]
+    good, bad = bundle.build(spark.createDataFrame(rows, "type string, title string, description string, body string, slug string"))
+    assert [r["concept_id"] for r in good.collect()] == ["people/ana"]
+    assert {r["slug"]: r["reason"] for r in bad.collect()} == {"s": "type", "x": "title", "t": "description", "u": "newline", "n": "type"}
+
+
+def test_names_that_are_not_composed_or_misplaced(spark):
+    names = ["concepts/é.md", "concepts/é.md", ".state/ledger.md", "a/.state/b.md", "a/state/b.md", ".state/x.json"]
+    got = {(r["kind"], r["path"]) for r in lint.names(spark.createDataFrame([(n,) for n in names], "path string")).collect()}
+    assert got == {("non-nfc-name", "concepts/é.md"), ("state-markdown", ".state/ledger.md"), ("state-markdown", "a/.state/b.md")}
