@@ -44,9 +44,73 @@ def type_label(types: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(types)), "+")
 
 
+def _kinds(docs: DataFrame, *columns: str) -> DataFrame:
+    """(concept_id, kinds): each document's distinct combinations of these columns; one, unless its id stands for several documents."""
+    return docs.filter("concept_id is not null").groupBy("concept_id").agg(F.collect_set(F.struct(*columns)).alias("kinds"))
+
+
+def _titled(docs: DataFrame) -> DataFrame:
+    """The kinds that decide on acronyms and likeness: type, alternative type and key."""
+    return _kinds(docs.withColumn("type_alternative", F.coalesce(F.trim("type_alternative"), F.lit(""))), "type", "type_alternative", "key")
+
+
+def _kinds_as_docs(held: DataFrame) -> DataFrame:
+    """One row per distinct kind, as a document whose id is the kind."""
+    return held.select(F.explode("kinds").alias("concept_id")).distinct().select("concept_id", "concept_id.*")
+
+
+def _lone(held: DataFrame) -> DataFrame:
+    return held.filter("size(kinds) = 1").select(F.col("kinds")[0].alias("kind"), "concept_id")
+
+
+def _side(members: DataFrame, k: str, c: str) -> DataFrame:
+    return members.select(F.col("kind").alias(k), *[F.col(x).alias(c) for x in members.columns if x != "kind"])
+
+
+def _spread(pairs: DataFrame, held: DataFrame, block: int = 1000) -> DataFrame:
+    """Pairs of kinds (k1, k2, ...) as pairs of their documents (c1, c2, ...), for ids of one kind only: each such pair comes from one pair
+    of kinds, so nothing is left to dedupe. Blocks of ids meet blocks of ids: no kind is bound to a task, and no pair is shuffled.
+    Partitions are given by number, as their bytes don't tell how many pairs they make."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lone = _lone(held)
+    sizes = lone.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
+    lone = lone.join(sizes, "kind").select("kind", F.pmod(F.xxhash64("concept_id"), "n").alias("b"), "concept_id")
+    blocks = lone.groupBy("kind", "b").agg(F.collect_list("concept_id").alias("ids")).drop("b")
+    met = pairs.join(_side(blocks, "k1", "ids"), "k1").join(_side(sizes, "k2", "n"), "k2").drop("k1")
+    met = met.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n").repartition(n, "k2", "b")
+    # A hash join: the one form that generated code runs through pair by pair; its tables are blocks of ids.
+    there = lone.select(F.col("kind").alias("k2"), "b", F.col("concept_id").alias("c2")).repartition(n, "k2", "b").hint("shuffle_hash")
+    return met.withColumn("c1", F.explode("ids")).drop("ids").join(there, ["k2", "b"]).drop("k2", "b")
+
+
+def _spread_shared(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs that _spread leaves: those with an id of several kinds. The same pair may come from several pairs of kinds."""
+    lone = _lone(held)
+    shared = held.filter("size(kinds) > 1").select(F.explode("kinds").alias("kind"), "concept_id")
+    one = pairs.join(_side(shared, "k1", "c1"), "k1").join(_side(shared.union(lone), "k2", "c2"), "k2")
+    two = pairs.join(_side(shared, "k2", "c2"), "k2").join(_side(lone, "k1", "c1"), "k1")
+    return one.unionByName(two).filter("c1 <> c2").drop("k1", "k2")
+
+
+def _ids() -> list[Column]:
+    return [F.least("c1", "c2").alias("id_a"), F.greatest("c1", "c2").alias("id_b")]
+
+
 def acronym_pairs(docs: DataFrame, bridged: bool = False) -> DataFrame:
-    """(type, id_a, id_b, acronym) within a type, or between types that alternative types bridge: blocked on the acronym, an equi-join of
-    head words with runs of initials."""
+    """(type, id_a, id_b, acronym) within a type, or between types that alternative types bridge: found between kinds of documents, then
+    spread over their members."""
+    held = _titled(docs)
+    kinds = _acronym_kinds(_kinds_as_docs(held), bridged)
+    row = ["type", *_ids(), "acronym"]
+    return _spread(kinds, held).select(*row).union(_least_acronym(_spread_shared(kinds, held).select(*row)))
+
+
+def _least_acronym(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("type", "id_a", "id_b").agg(F.min("acronym").alias("acronym"))
+
+
+def _acronym_kinds(docs: DataFrame, bridged: bool) -> DataFrame:
+    """(type, k1, k2, acronym) with k1 < k2: blocked on the acronym, an equi-join of head words with runs of initials."""
     words = F.split("key", " ")
     from cairn.vocabulary import CONNECTIVES
 
@@ -59,8 +123,8 @@ def acronym_pairs(docs: DataFrame, bridged: bool = False) -> DataFrame:
     runs = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.transform(F.sequence(F.lit(3), F.greatest(F.size(words) - i, F.lit(3))), lambda n: F.array_join(F.slice(letters, i + 1, n), ""))))
     spelled = held.filter(F.size(words) >= 3).select("lane", F.col("crossing").alias("crossing2"), F.col("type").alias("type2"), F.col("concept_id").alias("other"), F.col("key").alias("other_key"), F.explode(F.array_distinct(runs)).alias("acronym")).filter(F.length("acronym") >= 3)
     found = heads.join(spelled, ["lane", "acronym"]).filter("concept_id <> other and key <> other_key and not (crossing and crossing2)")
-    pair = found.select(type_label(F.array("type", "type2")).alias("type"), F.least("concept_id", "other").alias("id_a"), F.greatest("concept_id", "other").alias("id_b"), "acronym")
-    return pair.groupBy("type", "id_a", "id_b").agg(F.min("acronym").alias("acronym"))
+    pair = found.select(type_label(F.array("type", "type2")).alias("type"), F.least("concept_id", "other").alias("k1"), F.greatest("concept_id", "other").alias("k2"), "acronym")
+    return pair.groupBy("type", "k1", "k2").agg(F.min("acronym").alias("acronym"))
 
 
 def near_pairs(docs: DataFrame, bridged: bool = False) -> DataFrame:
