@@ -167,11 +167,13 @@ def _alike_words(words: DataFrame) -> DataFrame:
 
 
 def bridge_pairs(docs: DataFrame) -> DataFrame:
-    """(id_a, id_b) across types: one document's alternative type is the other's type."""
-    a = docs.filter("type_alternative is not null and type_alternative <> type").select(F.col("concept_id").alias("x"), "type_alternative")
-    b = docs.select(F.col("concept_id").alias("y"), F.col("type").alias("type_alternative"))
-    hit = a.join(b, "type_alternative").filter("x <> y")
-    return hit.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    """(id_a, id_b) across types: one document's alternative type is the other's type. Found between kinds, then spread over their members."""
+    held = _kinds(docs, "type", "type_alternative")
+    kinds = _kinds_as_docs(held)
+    a = kinds.filter("type_alternative is not null and type_alternative <> type").select(F.col("concept_id").alias("x"), "type_alternative")
+    b = kinds.select(F.col("concept_id").alias("y"), F.col("type").alias("type_alternative"))
+    pairs = a.join(b, "type_alternative").select(F.least("x", "y").alias("k1"), F.greatest("x", "y").alias("k2")).distinct()
+    return _spread(pairs, held).select(*_ids()).union(_spread_shared(pairs, held).select(*_ids()).distinct())
 
 
 def report(docs: DataFrame, cap: int = 50) -> DataFrame:

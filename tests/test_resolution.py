@@ -29,7 +29,7 @@ def many(n=600):
     }
 
 
-@pytest.mark.parametrize("name", ["acronym_pairs"])
+@pytest.mark.parametrize("name", ["acronym_pairs", "bridge_pairs"])
 def test_pairs_of_many_members_are_not_shuffled(spark, name):
     df = spark.createDataFrame(many()[name], DOC)
     rows, moved = shuffled(spark, lambda: getattr(resolution, name)(df).collect())
