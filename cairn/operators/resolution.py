@@ -128,7 +128,17 @@ def _acronym_kinds(docs: DataFrame, bridged: bool) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, bridged: bool = False) -> DataFrame:
-    """(type, id_a, id_b, score) of titles alike word by word, within a type, or between types that alternative types bridge.
+    """(type, id_a, id_b, score) of titles alike word by word, within a type, or between types that alternative types bridge: found between
+    kinds of documents, then spread over their members."""
+    held = _titled(docs)
+    kinds = _near_kinds(_kinds_as_docs(held), bridged)
+    score = F.when(F.col("c1") < F.col("c2"), F.col("s12")).otherwise(F.col("s21"))
+    row = ["type", *_ids(), score.alias("score")]
+    return _spread(kinds, held).select(*row).union(_spread_shared(kinds, held).select(*row).distinct()).filter("score is not null")
+
+
+def _near_kinds(docs: DataFrame, bridged: bool) -> DataFrame:
+    """(type, k1, k2, s12, s21) with k1 < k2: the scores in both orders, null where one is no hit.
 
     Blocking loses no hit: a pair needs two words with a likeness of 0.75, so these share 3/8 of their letters taken
     together. A prefix filter over letters, the rare ones first, gives the word pairs that can; each is scored once, titles
@@ -146,8 +156,9 @@ def near_pairs(docs: DataFrame, bridged: bool = False) -> DataFrame:
     scored = pairs.join(keyed.filter("s12 is not null or s21 is not null"), ["k1", "k2"])
     left = scored.join(held.select("lane", "crossing", F.col("key").alias("k1"), F.col("concept_id").alias("c1"), F.col("type").alias("t1")), ["lane", "crossing", "k1"])
     both = left.join(held.filter("not crossing").select("lane", F.col("key").alias("k2"), F.col("concept_id").alias("c2"), F.col("type").alias("t2")), ["lane", "k2"])
-    score = F.when(F.col("c1") < F.col("c2"), F.col("s12")).otherwise(F.col("s21"))
-    out = both.select(type_label(F.array("t1", "t2")).alias("type"), F.least("c1", "c2").alias("id_a"), F.greatest("c1", "c2").alias("id_b"), F.round(score, 6).alias("score")).filter("score is not null")
+    ahead = F.col("c1") < F.col("c2")
+    s12, s21 = F.round("s12", 6), F.round("s21", 6)
+    out = both.select(type_label(F.array("t1", "t2")).alias("type"), F.least("c1", "c2").alias("k1"), F.greatest("c1", "c2").alias("k2"), F.when(ahead, s12).otherwise(s21).alias("s12"), F.when(ahead, s21).otherwise(s12).alias("s21"))
     return out.distinct() if bridged else out
 
 

@@ -29,9 +29,17 @@ def many(n=600):
     }
 
 
-@pytest.mark.parametrize("name", ["acronym_pairs", "bridge_pairs"])
+@pytest.mark.parametrize("name", ["acronym_pairs", "near_pairs", "bridge_pairs"])
 def test_pairs_of_many_members_are_not_shuffled(spark, name):
     df = spark.createDataFrame(many()[name], DOC)
     rows, moved = shuffled(spark, lambda: getattr(resolution, name)(df).collect())
     assert len({(r["id_a"], r["id_b"]) for r in rows}) == len(rows) == 600 * 600
     assert moved < 30_000
+
+
+def test_near_pairs_of_two_large_kinds_are_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    docs = [(f"c/{i}", "P", None, t, t) for i in range(10_600) for t in ["cold ring" if i < 600 else "old ring"]]
+    held = resolution.near_pairs(spark.createDataFrame(docs, DOC)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in held) == 6_000_000 and max(r["count"] for r in held) < 4_500_000
