@@ -187,21 +187,70 @@ def bridge_pairs(docs: DataFrame) -> DataFrame:
     return _spread(pairs, held).select(*_ids()).union(_spread_shared(pairs, held).select(*_ids()).distinct())
 
 
+def _low(pairs: DataFrame, score: str, *columns: Column | str) -> DataFrame:
+    return pairs.select(F.lit(2).alias("t"), F.lit("LOW").alias("tier"), F.format_number(score, 3).alias("trigger"), "type", F.round(score, 3).alias("s"), *columns)
+
+
+def _acronym(pairs: DataFrame, *columns: Column | str) -> DataFrame:
+    return pairs.select(F.lit(1).alias("t"), F.lit("ACRONYM").alias("tier"), F.col("acronym").alias("trigger"), "type", F.lit(0.0).alias("s"), *columns)
+
+
 def report(docs: DataFrame, cap: int = 50) -> DataFrame:
     """(tier, trigger, type, member_ids, produced): HIGH groups across types, then ACRONYM and LOW pairs within types and across bridges, each
     pair once under its strongest tier. The cap best by (tier, -score, type, ids) stay, shown by (type, tier, ids); produced counts all groups.
-    type joins the members' distinct types by +. LOW ranks by its score to three decimals."""
-    high = same_title(docs).select(F.lit(0).alias("t"), F.lit("HIGH").alias("tier"), F.col("key").alias("trigger"), type_label(F.col("member_types")).alias("type"), "member_ids", F.lit(0.0).alias("s"))
-    acronyms = acronym_pairs(docs, bridged=True)
-    acr = acronyms.select(F.lit(1), F.lit("ACRONYM"), "acronym", "type", F.array("id_a", "id_b"), F.lit(0.0))
-    low = near_pairs(docs, bridged=True).join(acronyms.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti")
-    low = low.select(F.lit(2), F.lit("LOW"), F.format_number("score", 3), "type", F.array("id_a", "id_b"), F.round("score", 3))
-    groups = cut(high.union(acr).union(low))
+    type joins the members' distinct types by +. LOW ranks by its score to three decimals.
+
+    Pairs of kinds stand for their members' pairs, which are counted by products and written out only where they can be among the cap best.
+    """
+    held = cut(_titled(docs))
+    acronyms, near = (cut(found(_kinds_as_docs(held), True)) for found in (_acronym_kinds, _near_kinds))
+    below = near.join(acronyms.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    row = ["type", *_ids()]
+    shared_acr = _least_acronym(_spread_shared(acronyms, held).select(*row, "acronym"))
+    score = F.when(F.col("c1") < F.col("c2"), F.col("s12")).otherwise(F.col("s21"))
+    shared_low = _spread_shared(near, held).select(*row, score.alias("score")).filter("score is not null").distinct().join(shared_acr.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti")
+    both = F.array("id_a", "id_b").alias("member_ids")
+    groups = same_title(docs).select(F.lit(0).alias("t"), F.lit("HIGH").alias("tier"), F.col("key").alias("trigger"), type_label(F.col("member_types")).alias("type"), F.lit(0.0).alias("s"), "member_ids")
+    groups = cut(groups.union(_acronym(shared_acr, both)).union(_low(shared_low, "score", both)))
+    counts = groups.select(F.lit(1).cast("long").alias("n")).union(_n_pairs(acronyms, below, held))
+    produced = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("produced"))
+    # k1's ids stand before k2's from here on
+    ways = _acronym(acronyms, "k1", "k2").union(_acronym(acronyms, "k2", "k1")).union(_low(below.filter("s12 is not null"), "s12", "k1", "k2")).union(_low(below.filter("s21 is not null"), "s21", "k2", "k1"))
+    groups = groups.union(_best_pairs(ways, held, cap))
     order = ["t", F.desc("s"), "type", "member_ids"]
-    top = groups.orderBy(*order).limit(cap).crossJoin(F.broadcast(groups.agg(F.count(F.lit(1)).alias("produced"))))  # one row
+    top = groups.orderBy(*order).limit(cap).crossJoin(F.broadcast(produced))  # one row
     return top.orderBy("type", "t", "member_ids").select("tier", "trigger", "type", "member_ids", "produced")
 
 
+def _n_pairs(acronyms: DataFrame, below: DataFrame, held: DataFrame) -> DataFrame:
+    """(n,), to be summed: how many pairs of ids of one kind these pairs of kinds stand for, acronyms and scores in either order."""
+    lone = _lone(held)
+    sizes = lone.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    whole = acronyms.select("k1", "k2").union(below.filter("s12 is not null and s21 is not null").select("k1", "k2"))
+    whole = whole.join(_side(sizes, "k1", "n1"), "k1").join(_side(sizes, "k2", "n2"), "k2").select((F.col("n1") * F.col("n2")).alias("n"))
+    half = below.filter("s12 is not null and s21 is null").select("k1", "k2").union(below.filter("s12 is null and s21 is not null").select("k2", "k1"))
+    sides = half.join(_side(lone, "k1", "c"), "k1").select("k1", "k2", "c", F.lit(1).alias("first")).unionByName(half.join(_side(lone, "k2", "c"), "k2").select("k1", "k2", "c", F.lit(0).alias("first")))
+    ahead = F.sum("first").over(W.partitionBy("k1", "k2").orderBy("c").rowsBetween(W.unboundedPreceding, 0))
+    return whole.union(sides.withColumn("n", ahead).filter("first = 0").select("n"))
+
+
+def _best_pairs(ways: DataFrame, held: DataFrame, cap: int) -> DataFrame:
+    """The cap best pairs of ids of one kind, k1's before k2's: first the pairs of kinds that can give one, by their first id, then the first
+    ids, then the pairs. Each of what is kept gives a pair at least that stands before all pairs of what isn't."""
+    lone = _lone(held)
+    ends = lone.groupBy("kind").agg(F.min("concept_id").alias("a"), F.max("concept_id").alias("z"))
+    pairs = ways.join(_side(ends.drop("z"), "k1", "a"), "k1").join(_side(ends.drop("a"), "k2", "z"), "k2").filter("a < z")
+    firsts = _first(pairs, cap).drop("a").join(_side(lone, "k1", "a"), "k1").filter("a < z")
+    out = _first(firsts, cap).join(_side(lone, "k2", "b"), "k2").filter("a < b").orderBy("t", F.desc("s"), "type", "a", "b").limit(cap)
+    return out.select("t", "tier", "trigger", "type", "s", F.array("a", "b").alias("member_ids"))
+
+
+def _first(pairs: DataFrame, cap: int) -> DataFrame:
+    """The first cap by (t, -s, type, a), and all that are equal to one of them there."""
+    keys = ["t", "s", "type", "a"]
+    return pairs.join(pairs.orderBy("t", F.desc("s"), "type", "a").limit(cap).select(*keys).distinct(), keys, "left_semi")
+
+
 def truncation_notice(produced: int, retained: int) -> str | None:
     """What to say when the cap left groups out."""
     return f"{retained} of {produced} candidate group(s) shown (cap reached)" if produced > retained else None
