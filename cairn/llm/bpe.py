@@ -34,7 +34,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """pieces -> token ids. At most max_states determinised states are held; beyond that they are built anew."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.max_states = max_states
@@ -161,7 +161,7 @@ class Encoder:
     unit of a bounded memory (two generations of max_memory stretches).
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memory: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memory: int = 400_000):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.max_memory = max_memory
@@ -285,7 +285,7 @@ def encoder(data: bytes, pattern: str) -> Encoder:
 
 
 @contextmanager
-def encoding(data: bytes, pattern: str, memory: int = 200_000):
+def encoding(data: bytes, pattern: str, memory: int = 400_000):
     """The worker's encoder for the length of a task, which forgets all but the trie when the task ends. memory: how many stretches each of
     two generations holds; as many states as three quarters of that are held."""
     held = encoder(data, pattern)

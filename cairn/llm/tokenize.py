@@ -53,7 +53,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, keep: tuple[str, ...] = (), memory: int = 200_000) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, keep: tuple[str, ...] = (), memory: int = 400_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids), then the whole-number columns named in keep: encodes, then decodes the ids,
     one text at a time. memory bounds what a worker holds (see bpe.encoding): less is slower, with the same result.
 

@@ -737,3 +737,14 @@ def test_long_chats_keep_their_spans(spark):
     for r in chat.format_chats(df).collect():
         spoken = [x[3] for x in turns if x[0] == r["conv_id"] and x[2] == "assistant"]
         assert [r["formatted"][s["start"] : s["end"]].replace("<\\s>", "<s>") for s in r["loss_spans"]] == spoken
+
+
+def test_a_task_encodes_each_of_300000_stretches_once(monkeypatch):
+    from cairn.llm import bpe
+
+    cuts = []
+    monkeypatch.setattr(bpe.Encoder, "_cut", lambda self, text: cuts.append(text) or (1,))
+    words = [f" x{i}y" for i in range(300_000)]
+    with bpe.encoding(open(RANKS, "rb").read(), P.PATTERN) as enc:
+        assert enc.count(words) == enc.count(words) == len(words)
+    assert len(cuts) == len(words)
